@@ -3,7 +3,7 @@
 Importing this package registers every query module.
 """
 
-from vetrina.plans import q_normalize, q_validation  # noqa: F401
+from vetrina.plans import q_normalize, q_profile, q_validation  # noqa: F401
 from vetrina.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
