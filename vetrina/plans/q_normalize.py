@@ -178,7 +178,7 @@ _UNITS_SQL = """units(unit_raw, standard_unit, factor) AS (VALUES
   ('lb', 'g', 453.592), ('oz', 'g', 28.3495), ('l', 'ml', 1000.0), ('gal', 'ml', 3785.41),
   ('qt', 'ml', 946.353))"""
 
-F11_SQL = f"""WITH {RP}, {_UNITS_SQL},
+FEATURE_BODY = f"""{_UNITS_SQL},
 feats AS (
   SELECT client_id, ingest_id, row_num, 'EF001001' AS etim_feature, "Length" AS value_raw,
          "Length_Unit" AS unit_raw, 'N' AS data_type, 'mm' AS standard_unit,
@@ -187,18 +187,23 @@ feats AS (
   UNION ALL
   SELECT client_id, ingest_id, row_num, 'EF001003', "Material", NULL, 'A', '',
          NULL, {sql_text(strip('"Material"'))}
-  FROM raw_product WHERE NOT {missing('"Material"')})
-SELECT f.client_id, f.ingest_id, f.row_num, f.etim_feature, f.value_raw, f.unit_raw, f.data_type,
-  f.value_number, f.value_text, CAST(NULL AS BOOLEAN) AS value_bool,
-  CASE WHEN coalesce(f.unit_raw, '') = '' OR coalesce(f.standard_unit, '') = '' THEN f.value_number
-       WHEN f.unit_raw = f.standard_unit OR f.value_number IS NULL OR f.value_number = 0 THEN f.value_number
-       WHEN u.factor IS NOT NULL THEN CAST(round_even(f.value_number * CAST(u.factor AS DECIMAL(38,18)), 6) AS DECIMAL(38,6))
-       ELSE f.value_number END AS value_converted,
-  CASE WHEN coalesce(f.unit_raw, '') = '' OR coalesce(f.standard_unit, '') = '' THEN f.unit_raw
-       WHEN f.unit_raw = f.standard_unit OR f.value_number IS NULL OR f.value_number = 0
-            OR u.factor IS NOT NULL THEN f.standard_unit
-       ELSE f.unit_raw END AS unit_normalized
-FROM feats f LEFT JOIN units u ON f.unit_raw = u.unit_raw AND f.standard_unit = u.standard_unit"""
+  FROM raw_product WHERE NOT {missing('"Material"')}),
+fconv AS (
+  SELECT f.client_id, f.ingest_id, f.row_num, f.etim_feature, f.value_raw, f.unit_raw, f.data_type,
+    f.value_number, f.value_text, CAST(NULL AS BOOLEAN) AS value_bool,
+    CASE WHEN coalesce(f.unit_raw, '') = '' OR coalesce(f.standard_unit, '') = '' THEN f.value_number
+         WHEN f.unit_raw = f.standard_unit OR f.value_number IS NULL OR f.value_number = 0 THEN f.value_number
+         WHEN u.factor IS NOT NULL THEN CAST(round_even(f.value_number * CAST(u.factor AS DECIMAL(38,18)), 6) AS DECIMAL(38,6))
+         ELSE f.value_number END AS value_converted,
+    CASE WHEN coalesce(f.unit_raw, '') = '' OR coalesce(f.standard_unit, '') = '' THEN f.unit_raw
+         WHEN f.unit_raw = f.standard_unit OR f.value_number IS NULL OR f.value_number = 0
+              OR u.factor IS NOT NULL THEN f.standard_unit
+         ELSE f.unit_raw END AS unit_normalized
+  FROM feats f LEFT JOIN units u ON f.unit_raw = u.unit_raw AND f.standard_unit = u.standard_unit)"""
+
+F11_SQL = f"""WITH {RP}, {FEATURE_BODY}
+SELECT client_id, ingest_id, row_num, etim_feature, value_raw, unit_raw, data_type, value_number,
+       value_text, value_bool, value_converted, unit_normalized FROM fconv"""
 
 
 @register("f11_normalize_features", F11_SQL)

@@ -15,7 +15,7 @@ from vetrina.operators.normalization import normalize_products
 from vetrina.operators import resolve as R
 from vetrina.plans.fixtures import raw_product, raw_product_sql
 from vetrina.plans.q_mapping import FULL_TEMPLATE
-from vetrina.plans.q_normalize import sql_gtin, sql_price, sql_text
+from vetrina.plans.q_normalize import sql_currency, sql_gtin, sql_price, sql_text
 from vetrina.plans.registry import register, round_doubles
 from vetrina.plans.sqlfrag import missing, r6, strip
 from vetrina.sources.reference_data import uom_df
@@ -65,14 +65,14 @@ def _mapped(x: str) -> str:
     return f"(CASE WHEN {missing(x)} THEN NULL ELSE {strip(x)} END)"
 
 
-RESOLVE_SQL = f"""WITH {raw_product_sql()},
-n AS (
+RESOLVE_BODY = f"""n AS (
   SELECT client_id, ingest_id, row_num,
     CASE WHEN {missing('"SKU"')} THEN NULL ELSE upper({sql_text(_mapped('"SKU"'))}) END AS sku_n,
     {sql_gtin(_mapped('"GTIN"'))} AS gtin_n,
     CASE WHEN {missing('"Name"')} THEN NULL ELSE {sql_text(_mapped('"Name"'))} END AS name_n,
     CASE WHEN {missing('"Brand"')} THEN NULL ELSE {sql_text(_mapped('"Brand"'))} END AS brand_n,
     {sql_price(_mapped('"Price"'))} AS price_n,
+    CASE WHEN {missing('"Currency"')} THEN NULL ELSE {sql_currency(_mapped('"Currency"'))} END AS currency_n,
     {_CLASS} AS class_n
   FROM raw_product),
 rec AS (SELECT *, sha256(client_id || '|' || sku_n) AS own_id FROM n WHERE {_ne('sku_n')}),
@@ -88,7 +88,20 @@ j AS (
 r AS (
   SELECT *, CASE WHEN score >= 0.8 THEN rep_id ELSE own_id END AS product_id,
          CASE WHEN score >= 0.8 THEN 'merged' ELSE 'created' END AS action
-  FROM j)"""
+  FROM j),
+prod AS (
+  SELECT product_id,
+    arg_min(client_id, CASE WHEN action <> 'merged' THEN row_num END) AS client_id,
+    arg_min(sku_n, CASE WHEN action <> 'merged' THEN row_num END) AS sku,
+    arg_max(gtin_n, CASE WHEN gtin_n IS NOT NULL THEN row_num END) AS gtin,
+    arg_max(name_n, CASE WHEN name_n IS NOT NULL THEN row_num END) AS product_name,
+    arg_max(brand_n, CASE WHEN brand_n IS NOT NULL THEN row_num END) AS brand,
+    arg_max(price_n, CASE WHEN price_n IS NOT NULL THEN row_num END) AS price,
+    arg_max(currency_n, CASE WHEN currency_n IS NOT NULL THEN row_num END) AS currency,
+    arg_max(class_n, CASE WHEN class_n IS NOT NULL THEN row_num END) AS etim_class,
+    max(row_num) AS seq, count(*) AS n_records
+  FROM r GROUP BY product_id)"""
+RESOLVE_SQL = f"WITH {raw_product_sql()},\n{RESOLVE_BODY}"
 
 
 @register("e02_gtin_resolution", f"""WITH {RESOLVE_SQL.split('WITH ', 1)[1]}
@@ -114,16 +127,8 @@ def q_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.action_counts(res["records"], res["failures"])
 
 
-@register("e06_product_snapshot", f"""WITH {RESOLVE_SQL.split('WITH ', 1)[1]}
-SELECT product_id,
-  arg_min(client_id, CASE WHEN action <> 'merged' THEN row_num END) AS client_id,
-  arg_min(sku_n, CASE WHEN action <> 'merged' THEN row_num END) AS sku,
-  arg_max(gtin_n, CASE WHEN gtin_n IS NOT NULL THEN row_num END) AS gtin,
-  arg_max(name_n, CASE WHEN name_n IS NOT NULL THEN row_num END) AS product_name,
-  arg_max(brand_n, CASE WHEN brand_n IS NOT NULL THEN row_num END) AS brand,
-  arg_max(price_n, CASE WHEN price_n IS NOT NULL THEN row_num END) AS price,
-  count(*) AS n_records
-FROM r GROUP BY product_id""")
+@register("e06_product_snapshot", f"""{RESOLVE_SQL}
+SELECT product_id, client_id, sku, gtin, product_name, brand, price, n_records FROM prod""")
 def q_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product snapshot after the first import."""
     res = first_import(spark, sf_dir)
