@@ -3,7 +3,8 @@
 Importing this package registers every query module.
 """
 
-from vetrina.plans import q_export, q_mapping, q_normalize, q_profile, q_quality, q_resolve, q_validation  # noqa: F401
+from vetrina.plans import (q_export, q_lineage, q_mapping, q_normalize, q_profile, q_quality,  # noqa: F401
+                           q_resolve, q_validation)
 from vetrina.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
