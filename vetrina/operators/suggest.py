@@ -105,15 +105,18 @@ def pair_unit_columns(columns: DataFrame) -> DataFrame:
 
 
 def adapt_template(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Match each expected column of a predefined template to the
+    """Match each expected column of a predefined template to every
     file's columns: equal names score 1.0, containment either way 0.8
-    (case-insensitive); the first matching actual column wins, an exact
-    match before a containment one."""
-    e = expected.select("file_id", F.col("ordinal").alias("e_ord"), F.col("column_name").alias("expected"))
+    (case-insensitive); the best score wins, then the first column.
+
+    ``expected`` (ordinal, column_name) is the template's handful of names:
+    it is broadcast and joined with the containment condition, so each
+    file's columns are compared with it without pairing files."""
+    e = expected.select(F.col("ordinal").alias("e_ord"), F.col("column_name").alias("expected"))
     a = actual.select("file_id", F.col("ordinal").alias("a_ord"), F.col("column_name").alias("actual"))
     el, al = F.lower(F.col("expected")), F.lower(F.col("actual"))
-    score = F.when(el == al, 1.0).when(al.contains(el) | el.contains(al), 0.8)
-    j = e.join(a, "file_id").withColumn("score", score).filter(F.col("score").isNotNull())
+    cond = (el == al) | al.contains(el) | el.contains(al)
+    j = a.join(F.broadcast(e), cond).withColumn("score", F.when(el == al, 1.0).otherwise(0.8))
     best = j.groupBy("file_id", "e_ord", "expected").agg(
         F.min_by(F.struct("actual", "score"), F.struct(-F.col("score"), F.col("a_ord"))).alias("m"))
     return best.select("file_id", "e_ord", "expected", "m.actual", "m.score")
