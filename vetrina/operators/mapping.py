@@ -25,6 +25,8 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+
+from vetrina.session import bounded_broadcast
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,7 +134,7 @@ def t_direct(v: Column, cfg: dict, cols: set[str]):
 def t_lookup(v: Column, cfg: dict, cols: set[str]):
     """Exact key, then first case-insensitive key, then the default,
     else the original value.  The table is a literal map for small tables;
-    ``lookup_join`` handles large ones by broadcast-checked join."""
+    ``lookup_join`` handles large ones with joins."""
     table = {str(k): (None if x is None else str(x)) for k, x in (cfg.get("lookup_table") or {}).items()}
     key = py_strip(v)
     lowered: dict[str, str | None] = {}
@@ -151,17 +153,42 @@ def t_lookup(v: Column, cfg: dict, cols: set[str]):
     return out, None
 
 
+def lookup_join(df: DataFrame, column: str, table: DataFrame, out: str,
+                default_value: str | None = None) -> DataFrame:
+    """P04 for large lookup tables (``table``: key, value, ordinal).
+
+    Two left joins: on the exact stripped key, then on the lower-cased key
+    where the first key by ``ordinal`` wins (pre-aggregated, so the second
+    join is many-to-one).  Each side is broadcast only when its row count
+    is within the reference-data bound, otherwise shuffled."""
+    key = py_strip(F.col(f"`{column}`"))
+    exact = table.select(F.col("key").alias("__k1"), F.col("value").alias("__v1"))
+    ci = (table.groupBy(F.lower("key").alias("__k2"))
+          .agg(F.min_by("value", "ordinal").alias("__v2")))
+    j = (df.withColumn("__key", key)
+         .join(bounded_broadcast(exact), F.col("__key") == F.col("__k1"), "left")
+         .join(bounded_broadcast(ci), F.lower(F.col("__key")) == F.col("__k2"), "left"))
+    fallback = F.lit(default_value) if default_value is not None else F.col(f"`{column}`")
+    res = (F.when(F.col("__k1").isNotNull(), F.col("__v1"))
+            .when(F.col("__k2").isNotNull(), F.col("__v2")).otherwise(fallback))
+    return j.withColumn(out, res).drop("__key", "__k1", "__v1", "__k2", "__v2")
+
+
 _FORMULA_TEXT = re.compile(r"^[\d\+\-\*\/\.\(\)\s]+$")
 _PLACEHOLDER = re.compile(r"\{([^{}]+)\}")
 
 
+_INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+
+
 def _formula_column(formula: str, cols: set[str], value: Column):
     """Compile an arithmetic formula with ``{value}`` / ``{column}`` slots.
 
     Python's own parser reads the formula once on the driver; each slot
-    becomes ``float(column)``.  Returns (Column, [slot columns]) or None
-    when the formula cannot pass the reference's whitelist for any row.
-    """
+    becomes ``float(column)``.  Alongside the value, a boolean column says
+    whether Python would produce an int (int operands, no true division),
+    so the text result prints like Python's.  Returns (value, is_int,
+    [slot columns]) or None when no row could pass the whitelist."""
     slots: dict[str, str] = {}
 
     def repl(m):
@@ -184,30 +211,32 @@ def _formula_column(formula: str, cols: set[str], value: Column):
 
     def build(node):
         if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
-            return F.lit(float(node.value))
+            return F.lit(float(node.value)), F.lit(isinstance(node.value, int))
         if isinstance(node, ast.Name) and node.id in slot_cols:
-            return python_float(slot_cols[node.id])
+            c = slot_cols[node.id]
+            return python_float(c), c.rlike(_INT_TEXT)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
-            x = build(node.operand)
-            return -x if isinstance(node.op, ast.USub) else x
+            x, xi = build(node.operand)
+            return (-x if isinstance(node.op, ast.USub) else x), xi
         if isinstance(node, ast.BinOp):
-            a, b = build(node.left), build(node.right)
+            (a, ai), (b, bi) = build(node.left), build(node.right)
             op = node.op
             if isinstance(op, ast.Add):
-                return a + b
+                return a + b, ai & bi
             if isinstance(op, ast.Sub):
-                return a - b
+                return a - b, ai & bi
             if isinstance(op, ast.Mult):
-                return a * b
+                return a * b, ai & bi
             if isinstance(op, ast.Div):
-                return F.try_divide(a, b)
+                return F.try_divide(a, b), F.lit(False)
             if isinstance(op, ast.FloorDiv):
-                return F.floor(F.try_divide(a, b)).cast("double")
+                return F.floor(F.try_divide(a, b)).cast("double"), ai & bi
             if isinstance(op, ast.Pow):
-                return F.pow(a, b)
+                return F.pow(a, b), ai & bi & (b >= 0)
         raise ValueError("unsupported formula")
     try:
-        return build(tree), list(slot_cols.values())
+        expr, is_int = build(tree)
+        return expr, is_int, list(slot_cols.values())
     except ValueError:
         return None
 
@@ -217,7 +246,8 @@ def t_formula(v: Column, cfg: dict, cols: set[str]):
 
     A slot whose text is not a plain number makes the row keep its
     original value (the reference would string-substitute and ``eval``;
-    only plain numbers are evaluated here).
+    only plain numbers are evaluated here).  An int result prints as an
+    int, a float as Spark's double text (the same as Python's below 1e7).
     """
     formula = cfg.get("formula") or ""
     if not formula:
@@ -225,13 +255,11 @@ def t_formula(v: Column, cfg: dict, cols: set[str]):
     compiled = _formula_column(formula, cols, v)
     if compiled is None:
         return v, None
-    expr, slots = compiled
+    expr, is_int, slots = compiled
     ok = F.lit(True)
     for s in slots:
         ok = ok & python_float(s).isNotNull()
-    # Integral results print without a fraction, like Python ints.
-    as_text = F.when(expr == F.floor(expr), F.floor(expr).cast("string")) \
-               .otherwise(expr.cast("string"))
+    as_text = F.when(is_int, expr.cast("bigint").cast("string")).otherwise(expr.cast("string"))
     return F.when(ok & expr.isNotNull(), as_text).otherwise(v), None
 
 
