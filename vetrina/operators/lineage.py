@@ -105,8 +105,10 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "up", max_depth: i
                                                   F.lit(level).alias("depth"))
         if not all_paths:
             step = step.dropDuplicates(["root", "node_id"]).join(visited, ["root", "node_id"], "left_anti")
-        if level % checkpoint_every == 0:
-            step = cut_lineage(step)
+        # Each level is computed once: persisted (memory, spilling to disk)
+        # and, every few levels, checkpointed to the shared folder so a lost
+        # executor does not replay the whole walk.
+        step = cut_lineage(step) if level % checkpoint_every == 0 else step.persist()
         if step.isEmpty():
             break
         parts.append(step)

@@ -49,8 +49,10 @@ def features_long(mapped: DataFrame) -> DataFrame:
     """Features array -> one row per (row, feature position)."""
     keys = [c for c in mapped.columns if c not in ("product", "features", "issues", "rule_issues")
             and not c.startswith("n_")]
+    # posexplode_outer + filter: see rules.explode_computed.
     return (mapped.select(*keys, F.col("product.etim_class").alias("etim_class"),
-                          F.posexplode("features").alias("pos", "f"))
+                          F.posexplode_outer("features").alias("pos", "f"))
+            .filter(F.col("f").isNotNull())
             .select(*keys, "etim_class", "pos", "f.*"))
 
 

@@ -1,16 +1,15 @@
 """Column profiling.
 
 A table of any width is unpivoted to a long ``(column, value)`` form and
-profiled with two aggregations, both partially aggregated before the
-shuffle:
-
-1. ``groupBy(column)``: counts, null / empty counts, numeric / date /
-   boolean ratios, numeric and length statistics, pattern match counts;
-2. ``groupBy(column, value)``: exact distinct count and the top-5 values.
-
-The two results are one row per column and are joined at the end.  The
-reference profiles a 1000-row sample; here every row counts (true counts,
-SURVEY 3.5 #8), so a type guess looks at all clean values.
+aggregated once to value counts -- the only shuffle of the cell data,
+partially aggregated before it.  Everything else is computed from the
+value counts: parses and regex tests run once per distinct value, counts
+are weighted sums, the exact distinct count is a row count and the top-5
+is an exact two-stage top-k.  Spark reuses the value-count exchange for
+all three consumers.
+
+The reference profiles a 1000-row sample; here every row counts (true
+counts, SURVEY 3.5 #8), so a type guess looks at all clean values.
 """
 
 from __future__ import annotations
@@ -55,30 +54,63 @@ def _numeric_value(v):
     return python_float(F.regexp_replace(v, ",", ""))
 
 
-def column_stats(long: DataFrame) -> DataFrame:
-    """A01, A03, A04, A05, A06 per column in one aggregation."""
+def value_counts(long: DataFrame) -> DataFrame:
+    """(column, value) -> count, null values included.  This is the only
+    shuffle of the cell data; partial aggregation folds repeated values
+    before it."""
+    return long.groupBy("column", "ordinal", "value").agg(F.count("*").alias("cnt"))
+
+
+def _value_flags(vc: DataFrame) -> DataFrame:
+    """Per distinct value: the parses and pattern tests, evaluated once per
+    distinct value instead of once per cell."""
     v = F.col("value")
     clean = v.isNotNull() & (v != "")
-    num = F.when(clean, _numeric_value(v))
     s = py_strip(v)
-    length = F.when(clean, F.length(v))
+    return vc.select(
+        "column", "ordinal", "value", "cnt", clean.alias("clean"),
+        F.when(clean, _numeric_value(v)).alias("num"),
+        F.when(clean, F.length(v)).alias("len"),
+        (clean & is_date_like(v)).alias("is_date"),
+        (clean & F.lower(s).isin(*BOOLEAN_WORDS)).alias("is_bool"),
+        *[(clean & s.rlike(pat)).alias(f"is_{name}") for name, pat in PATTERNS])
+
+
+def column_stats(vc: DataFrame) -> DataFrame:
+    """A01, A03, A04, A05, A06 per column from the value counts.
+
+    Counts are weighted sums; mean and average length are weighted means;
+    the sample standard deviation is a second pass over the distinct
+    numeric values against the column mean (numerically stable), joined
+    with a one-row-per-column table."""
+    d = _value_flags(vc)
+    w = lambda cond: F.sum(F.when(cond, F.col("cnt")).otherwise(F.lit(0))).cast("bigint")
+    num, ln = F.col("num"), F.col("len")
     aggs = [
         F.min("ordinal").alias("ordinal"),
-        F.count("*").alias("total_count"),
-        F.count_if(v.isNull()).alias("null_count"),
-        F.count_if(v == "").alias("empty_count"),
-        F.count_if(clean).alias("clean_count"),
-        F.count_if(num.isNotNull()).alias("numeric_count"),
-        F.count_if(clean & is_date_like(v)).alias("date_count"),
-        F.count_if(clean & F.lower(s).isin(*BOOLEAN_WORDS)).alias("boolean_count"),
+        F.sum("cnt").cast("bigint").alias("total_count"),
+        w(F.col("value").isNull()).alias("null_count"),
+        w(F.col("value") == "").alias("empty_count"),
+        w(F.col("clean")).alias("clean_count"),
+        F.count_if(F.col("value").isNotNull()).cast("bigint").alias("unique_count"),
+        w(num.isNotNull()).alias("numeric_count"),
+        w(F.col("is_date")).alias("date_count"),
+        w(F.col("is_bool")).alias("boolean_count"),
         F.min(num).alias("min_value"), F.max(num).alias("max_value"),
-        F.avg(num).alias("mean_value"), F.stddev_samp(num).alias("std_value"),
-        F.min(length).alias("min_length"), F.max(length).alias("max_length"),
-        F.avg(length).alias("avg_length"),
+        F.sum(num * F.col("cnt")).alias("__sum"),
+        F.min(ln).alias("min_length"), F.max(ln).alias("max_length"),
+        F.sum(ln * F.col("cnt")).alias("__len_sum"),
     ]
-    for name, pat in PATTERNS:
-        aggs.append(F.count_if(clean & s.rlike(pat)).alias(f"pat_{name}"))
-    st = long.groupBy("column").agg(*aggs)
+    for name, _ in PATTERNS:
+        aggs.append(w(F.col(f"is_{name}")).alias(f"pat_{name}"))
+    st = d.groupBy("column").agg(*aggs)
+    st = st.withColumn("mean_value", F.when(F.col("numeric_count") > 0, F.col("__sum") / F.col("numeric_count"))) \
+           .withColumn("avg_length", F.when(F.col("clean_count") > 0, F.col("__len_sum") / F.col("clean_count")))
+    means = st.select("column", "mean_value", "numeric_count")
+    var = (d.filter(num.isNotNull()).join(F.broadcast(means), "column")
+           .groupBy("column").agg(F.sum(F.col("cnt") * F.pow(num - F.col("mean_value"), 2)).alias("__ss")))
+    st = st.join(var, "column", "left").withColumn(
+        "std_value", F.when(F.col("numeric_count") > 1, F.sqrt(F.col("__ss") / (F.col("numeric_count") - 1))))
     n = F.col("clean_count").cast("double")
     guess = (F.when(F.col("clean_count") == 0, F.lit("string"))
               .when(F.col("numeric_count") / n > TYPE_RATIO, "numeric")
@@ -94,19 +126,13 @@ def column_stats(long: DataFrame) -> DataFrame:
     patterns = F.array_sort(patterns, lambda a, b: F.when(a["confidence"] > b["confidence"], -1)
                             .when(a["confidence"] < b["confidence"], 1)
                             .otherwise(a["rank"] - b["rank"]))
-    return st.select(
+    return st.drop("__sum", "__len_sum", "__ss").select(
         "*",
         (1.0 - (F.col("null_count") + F.col("empty_count")) / F.col("total_count")).alias("completeness"),
         guess.alias("data_type_guess"),
         patterns.alias("patterns"))
 
 
-def value_counts(long: DataFrame) -> DataFrame:
-    """(column, value) -> count; nulls are not values (pandas semantics)."""
-    return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count("*").alias("cnt"))
-
-
 def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int,
                     buckets: int = 256, bucket_key: str = "value") -> DataFrame:
     """Exact top-k per group without putting a whole group in one task.
@@ -123,22 +149,18 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int,
     return local.withColumn("rk", F.row_number().over(w2)).filter(F.col("rk") <= k)
 
 
-def distinct_and_top(vc: DataFrame, k: int = TOP_K) -> DataFrame:
-    """A01 distinct count and A02 top-k values (ties: value ascending)."""
-    ranked = top_k_per_group(vc, ["column"], [F.col("cnt").desc(), F.col("value")], k)
-    top = ranked.groupBy("column").agg(
+def top_values(vc: DataFrame, k: int = TOP_K) -> DataFrame:
+    """A02 top-k values per column (ties: value ascending)."""
+    ranked = top_k_per_group(vc.filter(F.col("value").isNotNull()), ["column"],
+                             [F.col("cnt").desc(), F.col("value")], k)
+    return ranked.groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("rk", "value", "cnt"))).alias("top_values"))
-    nd = vc.groupBy("column").agg(F.count("*").alias("unique_count"))
-    return nd.join(top, "column", "left")
 
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Full column profile: one row per column."""
-    long = to_long(df, columns)
-    st = column_stats(long)
-    dt = distinct_and_top(value_counts(long))
-    p = st.join(dt, "column", "left").withColumn(
-        "unique_count", F.coalesce(F.col("unique_count"), F.lit(0)).cast("bigint"))
+    vc = value_counts(to_long(df, columns))
+    p = column_stats(vc).join(top_values(vc), "column", "left")
     numeric = F.col("data_type_guess") == "numeric"
     string = F.col("data_type_guess") == "string"
     top = F.get(F.col("patterns"), 0)

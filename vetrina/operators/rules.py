@@ -205,19 +205,30 @@ def validate(mapped: DataFrame, rules, compat: bool = False,
     checks = [rule_issue(r, compat) for r in rule_list]
     arr = (F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks
            else F.array().cast(T.ArrayType(ISSUE_TYPE)))
-    out = m.withColumn("rule_issues", arr)
-    out = out.withColumn("n_error", F.size(F.filter("rule_issues", lambda i: i["severity"] == "ERROR")))
-    out = out.withColumn("n_warn", F.size(F.filter("rule_issues", lambda i: i["severity"] == "WARN")))
-    out = out.withColumn("n_info", F.size(F.filter("rule_issues", lambda i: i["severity"] == "INFO")))
-    return out.drop("__mandatory") if "__mandatory" in out.columns else out
+    keep = [F.col(f"`{c}`") for c in m.columns if c != "__mandatory"]
+    out = m.select(*keep, arr.alias("rule_issues"))
+    count = lambda sev: F.size(F.filter("rule_issues", lambda i: i["severity"] == sev))
+    return out.select("*", count("ERROR").alias("n_error"), count("WARN").alias("n_warn"),
+                      count("INFO").alias("n_info"))
+
+
+def explode_computed(df: DataFrame, keep: list[str], array_col: str, alias: str = "i") -> DataFrame:
+    """Explode an array that is an expensive expression.
+
+    With ``explode`` the optimizer infers ``size(array) > 0`` and pushes
+    it below the projection that computes the array, evaluating it twice
+    (outside code generation, since higher-order functions fall back to
+    interpretation); ``explode_outer`` infers nothing, and the null rows it
+    adds for empty arrays are filtered above the generator."""
+    return (df.select(*keep, F.explode_outer(array_col).alias(alias))
+            .filter(F.col(alias).isNotNull()))
 
 
 def issues_long(validated: DataFrame,
                 keys: tuple[str, ...] = ("client_id", "ingest_id", "row_num")) -> DataFrame:
     """Failures as rows: one per (row, failed rule)."""
     k = [c for c in keys if c in validated.columns]
-    return (validated.select(*k, F.explode("rule_issues").alias("i"))
-            .select(*k, "i.*"))
+    return explode_computed(validated, k, "rule_issues").select(*k, "i.*")
 
 
 def severity_summary(issues: DataFrame, by: tuple[str, ...] = ("client_id", "ingest_id")) -> DataFrame:

@@ -167,8 +167,8 @@ def suggest_rules(df: DataFrame, columns: list[str] | None = None, compat: bool
         sug((ns > 0) & (F.col("n_distinct") <= 10) & (F.col("n_distinct") < ns * 0.5), "domain", "WARN",
             SUGGEST_DOMAIN_CONF, vals=F.col("vals")),
     )
-    return (s.select("column", F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("r"))
-            .select("column", "r.*"))
+    return (s.select("column", F.explode_outer(F.filter(arr, lambda x: x.isNotNull())).alias("r"))
+            .filter(F.col("r").isNotNull()).select("column", "r.*"))
 
 
 def suggest_rules_from_reference(class_features: DataFrame, features: DataFrame) -> DataFrame:

@@ -186,3 +186,20 @@ def q_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural findings (documents with their partial labels)."""
     p = P.profile_columns(_docs_labels(spark, sf_dir), DOC_COLS)
     return round_doubles(P.structural_issues(p))
+
+
+LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@register("a01_profile_lineitem", f"""{stats_sql(long_sql('lineitem', LINEITEM_COLS))},
+vc AS (SELECT "column", count(DISTINCT value) AS unique_count FROM long GROUP BY "column")
+SELECT g."column", total_count, null_count, unique_count, data_type_guess,
+       {r6("CASE WHEN data_type_guess = 'numeric' THEN mean_value END")} AS mean_value,
+       {r6('1.0 - (null_count + empty_count) / CAST(total_count AS DOUBLE)')} AS completeness
+FROM g JOIN vc ON g."column" = vc."column" """)
+def q_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A01/A03/A05 on the largest table: every cell of lineitem profiled."""
+    p = P.profile_columns(table(spark, sf_dir, "lineitem"), LINEITEM_COLS)
+    return round_doubles(p.select("column", "total_count", "null_count", "unique_count", "data_type_guess",
+                                  "mean_value", "completeness"))

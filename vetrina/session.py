@@ -83,5 +83,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int = REFERENCE_BROADCAST_ROWS) -
     large side; beyond the bound the frame is returned unhinted and the
     planner (with AQE) chooses a shuffle join.
     """
+    if df.isLocal():
+        # Built from driver-side literals: its size is already bounded by
+        # the driver's memory and known without a job.
+        return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
