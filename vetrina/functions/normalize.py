@@ -101,13 +101,14 @@ def normalize_numeric(c, precision: int = 6) -> Column:
 
     Steps: strip; drop ',' and ' '; a single '.' followed by exactly three
     digits is a thousands mark and is dropped ("1.250" -> 1250); parse;
-    round half to even.
+    round half to even.  Each step is one expression applied once (no
+    intermediate is re-derived), which keeps generated code small when
+    many numeric fields are normalised in one projection.
     """
     raw = lit_or_col(c)
-    s = F.regexp_replace(py_strip(raw), "[, ]", "")
-    s = F.when(s.rlike(r"^[^.]*\.[0-9]{3}$"), F.regexp_replace(s, r"\.", "")).otherwise(s)
-    wide = F.when(s.rlike(NUMBER_RE), s.try_cast("decimal(38,18)"))
-    out = F.bround(wide, precision).cast(f"decimal(38,{precision})")
+    s = F.regexp_replace(raw, f"^{WS}+|{WS}+$|[, ]", "")
+    s = F.regexp_replace(s, r"^([^.]*)\.([0-9]{3})$", "$1$2")
+    out = F.bround(s.try_cast("decimal(38,18)"), precision).cast(f"decimal(38,{precision})")
     return F.when(raw.isNull() | (raw == ""), F.lit(None).cast(f"decimal(38,{precision})")) \
             .otherwise(out)
 
@@ -132,12 +133,14 @@ def normalize_gtin(c, pad_to_14: bool = False) -> Column:
     digits to 14)."""
     raw = lit_or_col(c)
     d = F.regexp_replace(raw, r"[^0-9]", "")
-    n = F.length(d)
-    padded = (F.when(n == 12, F.lpad(d, 14, "0") if pad_to_14 else F.concat(F.lit("0"), d))
-               .when(n == 13, F.concat(F.lit("0"), d))
-               .otherwise(d))
-    return F.when(raw.isNull() | (raw == ""), F.lit(None).cast("string")) \
-            .when(n.isin(*GTIN_LENGTHS), padded)
+    if pad_to_14:
+        g = F.regexp_replace(F.regexp_replace(d, r"^([0-9]{12})$", "00$1"), r"^([0-9]{13})$", "0$1")
+        ok = F.length(g).isin(8, 14)
+    else:
+        # 12 -> 13 and 13 -> 14 digits; valid originals end as 8, 13 or 14.
+        g = F.regexp_replace(d, r"^([0-9]{12,13})$", "0$1")
+        ok = F.length(g).isin(8, 13, 14)
+    return F.when(raw.isNull() | (raw == ""), F.lit(None).cast("string")).when(ok, g)
 
 
 def normalize_boolean(c) -> Column:

@@ -41,25 +41,35 @@ def words(c: Column) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(s, " ")))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """|A ∩ B| / |A ∪ B| of word sets; 0 when either is empty."""
-    wa, wb = words(a), words(b)
+def jaccard_sets(wa: Column, wb: Column) -> Column:
+    """E04 on word sets already computed: |A ∩ B| / |A ∪ B|, 0 when either
+    is empty."""
     u = F.size(F.array_union(wa, wb))
     return F.when((F.size(wa) == 0) | (F.size(wb) == 0) | (u == 0), F.lit(0.0)) \
             .otherwise(F.size(F.array_intersect(wa, wb)) / u)
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Word Jaccard of two texts."""
+    return jaccard_sets(words(a), words(b))
+
+
 def _nonempty(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def similarity(n1, b1, c1, n2, b2, c2) -> Column:
+def similarity(n1, b1, c1, n2, b2, c2, nw1=None, bw1=None, nw2=None, bw2=None) -> Column:
     """0.4 * name Jaccard + 0.3 * brand (equal -> 1, else Jaccard)
-    + 0.3 * (class equal); a part missing on either side adds 0."""
-    name = F.when(_nonempty(n1) & _nonempty(n2), jaccard(n1, n2) * NAME_WEIGHT).otherwise(0.0)
+    + 0.3 * (class equal); a part missing on either side adds 0.  Word
+    sets may be passed precomputed (``nw*``, ``bw*``)."""
+    nw1 = words(n1) if nw1 is None else nw1
+    nw2 = words(n2) if nw2 is None else nw2
+    bw1 = words(b1) if bw1 is None else bw1
+    bw2 = words(b2) if bw2 is None else bw2
+    name = F.when(_nonempty(n1) & _nonempty(n2), jaccard_sets(nw1, nw2) * NAME_WEIGHT).otherwise(0.0)
     brand = F.when(_nonempty(b1) & _nonempty(b2),
                    F.when(F.lower(b1) == F.lower(b2), F.lit(BRAND_WEIGHT))
-                    .otherwise(jaccard(b1, b2) * BRAND_WEIGHT)).otherwise(0.0)
+                    .otherwise(jaccard_sets(bw1, bw2) * BRAND_WEIGHT)).otherwise(0.0)
     cls = F.when(_nonempty(c1) & _nonempty(c2) & (c1 == c2), F.lit(CLASS_WEIGHT)).otherwise(0.0)
     return name + brand + cls
 
@@ -107,28 +117,38 @@ def resolve(batch: DataFrame, base_products: DataFrame | None = None,
         rec = rec.withColumn("cw_product_id", F.lit(None).cast("string"))
 
     usable_gtin = _nonempty(F.col("gtin")) & ~F.col("gtin").rlike("^0+$")
+    # Derived once per record: own id and the word sets of name and brand.
+    rec = rec.select("*", product_id(F.col("client_id"), F.col("sku")).alias("__own"),
+                     words(F.col("product_name")).alias("__nw"), words(F.col("brand")).alias("__bw"))
     # Representatives per GTIN: base first, then the batch's earliest record.
-    own = F.struct(F.col("first_row"), product_id(F.col("client_id"), F.col("sku")).alias("pid"),
-                   "product_name", "brand", "etim_class")
+    own = F.struct(F.col("first_row"), F.col("__own").alias("pid"), "product_name", "brand", "etim_class",
+                   "__nw", "__bw")
     batch_rep = (rec.filter(usable_gtin & F.col("cw_product_id").isNull())
                  .groupBy("gtin").agg(F.min_by(own, F.struct("first_row", "client_id", "sku")).alias("br")))
-    reps = batch_rep.select("gtin", F.col("br.pid").alias("rep_id"), F.col("br.first_row").alias("rep_row"),
-                            F.col("br.product_name").alias("rep_name"), F.col("br.brand").alias("rep_brand"),
-                            F.col("br.etim_class").alias("rep_class"), F.lit(False).alias("rep_in_base"))
+    rep_cols = lambda p, in_base, row: [
+        F.col(f"{p}.product_name").alias("rep_name"), F.col(f"{p}.brand").alias("rep_brand"),
+        F.col(f"{p}.etim_class").alias("rep_class"), F.col(f"{p}.__nw").alias("rep_nw"),
+        F.col(f"{p}.__bw").alias("rep_bw"), row.alias("rep_row"), F.lit(in_base).alias("rep_in_base")]
+    reps = batch_rep.select("gtin", F.col("br.pid").alias("rep_id"),
+                            *rep_cols("br", False, F.col("br.first_row")))
     if base_products is not None:
         bp = (base_products.filter(usable_gtin).groupBy("gtin").agg(
             F.min_by(F.struct("product_id", "product_name", "brand", "etim_class"), "product_id").alias("b")))
-        bp = bp.select("gtin", F.col("b.product_id").alias("rep_id"), F.lit(None).cast("bigint").alias("rep_row"),
-                       F.col("b.product_name").alias("rep_name"), F.col("b.brand").alias("rep_brand"),
-                       F.col("b.etim_class").alias("rep_class"), F.lit(True).alias("rep_in_base"))
+        bp = bp.select("gtin", F.col("b.product_id").alias("rep_id"),
+                       F.struct(F.col("b.product_name").alias("product_name"), F.col("b.brand").alias("brand"),
+                                F.col("b.etim_class").alias("etim_class"),
+                                words(F.col("b.product_name")).alias("__nw"),
+                                words(F.col("b.brand")).alias("__bw")).alias("bb"))
+        bp = bp.select("gtin", "rep_id", *rep_cols("bb", True, F.lit(None).cast("bigint")))
         reps = bp.unionByName(reps.join(bp.select("gtin"), "gtin", "left_anti"))
 
     j = rec.join(reps, "gtin", "left")
-    own_id = product_id(F.col("client_id"), F.col("sku"))
+    own_id = F.col("__own")
     is_rep_itself = (~F.col("rep_in_base")) & (F.col("rep_row") == F.col("first_row")) & (F.col("rep_id") == own_id)
     score = F.when(F.col("rep_id").isNotNull() & ~F.coalesce(is_rep_itself, F.lit(False)),
                    similarity(F.col("product_name"), F.col("brand"), F.col("etim_class"),
-                              F.col("rep_name"), F.col("rep_brand"), F.col("rep_class")))
+                              F.col("rep_name"), F.col("rep_brand"), F.col("rep_class"),
+                              F.col("__nw"), F.col("__bw"), F.col("rep_nw"), F.col("rep_bw")))
     j = j.withColumn("score", score)
     merged = F.col("cw_product_id").isNull() & F.col("score").isNotNull() & (F.col("score") >= threshold)
     pid = (F.when(F.col("cw_product_id").isNotNull(), F.col("cw_product_id"))

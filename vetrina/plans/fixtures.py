@@ -40,10 +40,18 @@ _EXPRS = [
 ]
 
 
-def raw_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-string supplier rows keyed by (client_id, ingest_id, row_num)."""
+def raw_product(spark: SparkSession, sf_dir: str, materialized: bool = False) -> DataFrame:
+    """All-string supplier rows keyed by (client_id, ingest_id, row_num).
+
+    ``materialized`` writes the rows to the shared folder first, so they
+    reach the mapping as a scan of plain columns -- the shape a supplier
+    file has -- instead of computed expressions fused into the mapping."""
     part = table(spark, sf_dir, "part")
-    return part.selectExpr(*[f"{e.format(vc='string')} as `{n}`" for n, e in _EXPRS])
+    df = part.selectExpr(*[f"{e.format(vc='string')} as `{n}`" for n, e in _EXPRS])
+    if materialized:
+        from vetrina.session import materialize
+        df = materialize(df, "raw-product")
+    return df
 
 
 def raw_product_sql(name: str = "raw_product") -> str:

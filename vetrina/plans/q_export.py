@@ -13,9 +13,9 @@ from vetrina.operators.normalization import normalize_features
 from vetrina.plans.fixtures import raw_product, raw_product_sql
 from vetrina.plans.q_mapping import FULL_TEMPLATE
 from vetrina.plans.q_normalize import FEATURE_BODY
-from vetrina.plans.q_resolve import RESOLVE_BODY, RESOLVE_SQL, normalized_batch
+from vetrina.plans.q_resolve import RESOLVE_BODY, RESOLVE_SQL, mapped_full, normalized_batch
 from vetrina.plans.registry import register
-from vetrina.session import scratch_path
+from vetrina.session import materialize, scratch_path
 from vetrina.sources.reference_data import etim_feature_df, uom_df
 
 AS_OF = "2024-01-31 00:00:00"
@@ -24,10 +24,10 @@ CODES = ["EF001001", "EF001003"]
 
 def catalogue(spark: SparkSession, sf_dir: str) -> dict:
     """First import: records, products, crosswalk and feature values."""
-    batch = normalized_batch(spark, sf_dir)
+    mapped = mapped_full(spark, sf_dir)
+    batch = normalized_batch(spark, sf_dir, mapped=mapped)
     recs = R.resolve(batch)["records"]
-    mapped = apply_template(raw_product(spark, sf_dir), FULL_TEMPLATE, uom=uom_df(spark))
-    nf = normalize_features(mapped, etim_feature_df(spark), uom_df(spark))
+    nf = materialize(normalize_features(mapped, etim_feature_df(spark), uom_df(spark)), "features")
     feats = (nf.join(batch.select("client_id", "row_num", "sku"), ["client_id", "row_num"])
              .withColumn("value_normalized", F.coalesce(F.col("value_converted").cast("string"),
                                                         F.col("value_text"), F.col("value_bool").cast("string"))))

@@ -18,15 +18,24 @@ from vetrina.plans.q_mapping import FULL_TEMPLATE
 from vetrina.plans.q_normalize import sql_currency, sql_gtin, sql_price, sql_text
 from vetrina.plans.registry import register, round_doubles
 from vetrina.plans.sqlfrag import missing, r6, strip
+from vetrina.session import materialize
 from vetrina.sources.reference_data import uom_df
 
 
-def normalized_batch(spark: SparkSession, sf_dir: str, price_bump: float | None = None) -> DataFrame:
-    raw = raw_product(spark, sf_dir)
+def mapped_full(spark: SparkSession, sf_dir: str, price_bump: float | None = None) -> DataFrame:
+    """Mapped rows (cut point: feeds validation, normalisation, features)."""
+    raw = raw_product(spark, sf_dir, materialized=True)
     if price_bump is not None:
         # A second supplier file: same SKUs, prices raised.
         raw = raw.withColumn("Price", F.format_string("%.2f", F.col("Price").cast("double") + price_bump))
-    return normalize_products(apply_template(raw, FULL_TEMPLATE, uom=uom_df(spark)))
+    return materialize(apply_template(raw, FULL_TEMPLATE, uom=uom_df(spark)), "mapped")
+
+
+def normalized_batch(spark: SparkSession, sf_dir: str, price_bump: float | None = None,
+                     mapped: DataFrame | None = None) -> DataFrame:
+    """Normalised rows of the mapped file, materialised as a cut point."""
+    m = mapped if mapped is not None else mapped_full(spark, sf_dir, price_bump)
+    return materialize(normalize_products(m), "normalized-batch")
 
 
 def first_import(spark, sf_dir):
@@ -169,7 +178,8 @@ def second_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = (raw.withColumn("SKU", F.concat(F.lit("alt-"), F.col("row_num").cast("string")))
               .withColumn("Name", F.regexp_replace("Name", r"\s+XL$", ""))
               .withColumn("Brand", F.upper("Brand")))
-    return normalize_products(apply_template(raw, FULL_TEMPLATE, uom=uom_df(spark)))
+    mapped = materialize(apply_template(raw, FULL_TEMPLATE, uom=uom_df(spark)), "mapped")
+    return materialize(normalize_products(mapped), "normalized-batch")
 
 
 @register("e02_cross_supplier_merge", f"""WITH {RESOLVE_SQL.split('WITH ', 1)[1]},

@@ -89,3 +89,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int = REFERENCE_BROADCAST_ROWS) -
         return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut point: write ``df`` as Parquet into the shared checkpoint folder
+    and read it back.
+
+    Used between pipeline stages whose expressions would otherwise be
+    fused into one projection (mapping + normalisation + matching), which
+    can outgrow the code generator and fall back to interpreted
+    execution.  The written table also cuts lineage: a lost executor
+    re-reads it instead of recomputing the stages before it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
