@@ -4,7 +4,7 @@ Importing this package registers every query module.
 """
 
 from vetrina.plans import (q_export, q_files, q_lineage, q_mapping, q_normalize, q_profile, q_quality,  # noqa: F401
-                           q_resolve, q_streaming, q_validation)
+                           q_reports, q_resolve, q_streaming, q_validation)
 from vetrina.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
