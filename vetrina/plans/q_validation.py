@@ -130,3 +130,53 @@ FROM checked GROUP BY client_id, ingest_id HAVING sum(f_sku + f_gtin + f_len + f
 def q_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ERROR / WARN / INFO counts per ingest."""
     return severity_summary(issues_long(validated_products(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Compat mode: the reference's own semantics: the seeded GTIN
+# pattern as written (``re.match`` of an unanchored alternation), required
+# rules only on present fields, gate scores not clamped.
+# ---------------------------------------------------------------------------
+from vetrina.sources.reference_data import SEED_GTIN_PATTERN  # noqa: E402
+
+COMPAT_CHECKED_SQL = MAPPED_SQL.replace(
+    f"CASE WHEN {blank('sku')} THEN 1 ELSE 0 END AS f_sku",
+    f"CASE WHEN sku IS NOT NULL AND {strip('sku')} = '' THEN 1 ELSE 0 END AS f_sku").replace(
+    f"NOT regexp_full_match(gtin, '{_GTIN[1:-1]}')",
+    f"NOT regexp_matches(gtin, '^(?:{SEED_GTIN_PATTERN})')")
+
+
+@register("v09_issues_compat", f"""WITH {COMPAT_CHECKED_SQL},
+long AS (
+  SELECT client_id, ingest_id, row_num, 'Required SKU' AS rule_name, 'ERROR' AS severity FROM checked WHERE f_sku = 1
+  UNION ALL SELECT client_id, ingest_id, row_num, 'GTIN Format', 'ERROR' FROM checked WHERE f_gtin = 1
+  UNION ALL SELECT client_id, ingest_id, row_num, 'Positive Length', 'ERROR' FROM checked WHERE f_len = 1
+  UNION ALL SELECT client_id, ingest_id, row_num, 'Valid Material', 'WARN' FROM checked WHERE f_mat = 1)
+SELECT * FROM long""")
+def q_issues_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V01-V04/V09 with the reference's semantics (compat mode)."""
+    return issues_long(validated_products(spark, sf_dir, compat=True)).select(
+        *KEYS, "rule_name", "severity")
+
+
+@register("a11_gate_compat", f"""WITH {COMPAT_CHECKED_SQL},
+agg AS (
+  SELECT client_id, ingest_id, count(*) AS total_rows,
+         CAST(sum(f_sku + f_gtin + f_len) AS BIGINT) AS error_count,
+         CAST(sum(f_mat) AS BIGINT) AS warning_count
+  FROM checked GROUP BY client_id, ingest_id),
+s AS (
+  SELECT *, greatest(0.0, 1.0 - error_count * 0.1) AS completeness,
+         1.0 - error_count / CAST(total_rows AS DOUBLE) AS validity,
+         1.0 - warning_count / CAST(total_rows AS DOUBLE) AS consistency
+  FROM agg)
+SELECT client_id, ingest_id, total_rows, error_count, warning_count,
+       {r6('(completeness + validity + consistency + validity) / 4.0')} AS overall_score,
+       CASE WHEN error_count > 0 AND (completeness + validity + consistency + validity) / 4.0 < 0.8
+            THEN 'FAIL' WHEN warning_count > 0 THEN 'WARN' ELSE 'PASS' END AS gate_status
+FROM s""")
+def q_gate_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10/A11 with the reference's semantics (compat mode)."""
+    g = quality.gate(validated_products(spark, sf_dir, compat=True), compat=True)
+    return round_doubles(g.select("client_id", "ingest_id", "total_rows", "error_count", "warning_count",
+                                  "overall_score", "gate_status"))

@@ -104,24 +104,32 @@ def detect_delimiter(lines: DataFrame, sample_lines: int | None = None) -> DataF
     times on every non-empty line; the largest such count wins (ties: the
     candidate order , ; tab | :); none -> ','.
 
-    ``sample_lines=5`` restricts the test to the first five non-empty lines
-    like the reference; the default uses every line of the file."""
-    ne = lines.filter(py_strip(F.col("line")) != "")
+    One pass: every line contributes one row per candidate to a
+    (file, candidate) aggregation (partially aggregated), whose min / max
+    over non-empty lines decide consistency; a file with no usable line
+    still appears and gets the default.  ``sample_lines=5`` restricts the
+    test to the first five non-empty lines like the reference; the default
+    uses every line of the file."""
+    ne = py_strip(F.col("line")) != ""
+    src = lines
     if sample_lines:
-        w = Window.partitionBy("file_id").orderBy("line_no")
-        ne = ne.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= sample_lines).drop("__k")
-    counts = [F.struct(F.lit(i).alias("cand"), (F.length("line") - F.length(F.replace(F.col("line"), F.lit(d), F.lit(""))))
-                       .alias("cnt")) for i, d in enumerate(DELIMITERS)]
-    per = (ne.select("file_id", F.explode(F.array(*counts)).alias("c"))
-             .groupBy("file_id", F.col("c.cand").alias("cand"))
-             .agg(F.min("c.cnt").alias("lo"), F.max("c.cnt").alias("hi")))
-    ok = per.filter((F.col("lo") > 0) & (F.col("lo") == F.col("hi")))
-    best = ok.groupBy("file_id").agg(F.min_by("cand", F.struct(-F.col("lo"), F.col("cand"))).alias("cand"))
+        w = Window.partitionBy("file_id").orderBy(F.when(ne, 0).otherwise(1), "line_no")
+        src = lines.withColumn("__k", F.row_number().over(w)).withColumn(
+            "__ne", ne & (F.col("__k") <= sample_lines))
+    else:
+        src = lines.withColumn("__ne", ne)
+    counts = [F.struct(F.lit(i).alias("cand"),
+                       (F.length("line") - F.length(F.replace(F.col("line"), F.lit(d), F.lit("")))).alias("cnt"))
+              for i, d in enumerate(DELIMITERS)]
+    per = (src.select("file_id", "__ne", F.explode(F.array(*counts)).alias("c"))
+              .groupBy("file_id", F.col("c.cand").alias("cand"))
+              .agg(F.min(F.when(F.col("__ne"), F.col("c.cnt"))).alias("lo"),
+                   F.max(F.when(F.col("__ne"), F.col("c.cnt"))).alias("hi")))
+    ok = (F.col("lo") > 0) & (F.col("lo") == F.col("hi"))
+    best = per.groupBy("file_id").agg(F.min(F.when(ok, F.struct((-F.col("lo")).alias("k"), "cand"))).alias("b"))
     cand = F.create_map(*[x for i, d in enumerate(DELIMITERS) for x in (F.lit(i), F.lit(d))])
-    files = lines.select("file_id").distinct()
-    return (files.join(best, "file_id", "left")
-            .select("file_id", F.coalesce(F.element_at(cand, F.col("cand")), F.lit(DEFAULT_DELIMITER))
-                    .alias("delimiter")))
+    return best.select("file_id", F.coalesce(F.element_at(cand, F.col("b.cand")), F.lit(DEFAULT_DELIMITER))
+                       .alias("delimiter"))
 
 
 def detect_header(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
