@@ -98,7 +98,7 @@ def q_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header rule on the first two non-empty lines of each text."""
     lines = doc_lines(spark, sf_dir)
     h = FS.detect_header(lines, FS.detect_delimiter(lines))
-    return h.select("file_id", "delimiter", "has_header", F.size("columns").alias("n_columns"))
+    return h.select("file_id", "delimiter", "has_header", F.size("columns").cast("bigint").alias("n_columns"))
 
 
 COLS_SQL = f"""{HEADER_SQL},
@@ -119,7 +119,8 @@ SELECT file_id, ordinal, column_name, arg_min(kind, priority) AS kind, arg_min(t
 FROM hits GROUP BY file_id, ordinal, column_name""")
 def q_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First matching name rule per header column."""
-    return SG.suggest_targets(header_columns(spark, sf_dir), SG.name_rules_df(spark))
+    return SG.suggest_targets(header_columns(spark, sf_dir), SG.name_rules_df(spark)).withColumn(
+        "ordinal", F.col("ordinal").cast("bigint"))
 
 
 def _base_sql(x: str) -> str:
@@ -142,7 +143,7 @@ pairs AS (SELECT a.file_id, a.ordinal AS v_ord, a.column_name AS value_column, b
 SELECT file_id, v_ord, value_column, arg_min(unit_column, u_ord) AS unit_column FROM pairs GROUP BY ALL""")
 def q_unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value column -> its unit column within each file."""
-    return SG.pair_unit_columns(header_columns(spark, sf_dir))
+    return SG.pair_unit_columns(header_columns(spark, sf_dir)).withColumn("v_ord", F.col("v_ord").cast("bigint"))
 
 
 _EXPECTED = ", ".join(f"({i}, '{c}')" for i, c in enumerate(DEMO_SOURCE_COLUMNS))

@@ -108,7 +108,8 @@ def q_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type guess, numeric stats, string-length stats."""
     p = P.profile_columns(table(spark, sf_dir, "events"), EVENT_COLS)
     return round_doubles(p.select("column", "data_type_guess", "min_value", "max_value", "mean_value",
-                                  "std_value", "min_length", "max_length", "avg_length"))
+                                  "std_value", F.col("min_length").cast("bigint").alias("min_length"),
+                                  F.col("max_length").cast("bigint").alias("max_length"), "avg_length"))
 
 
 def _pattern_ctes() -> str:
