@@ -74,3 +74,20 @@ def test_walk_depth_bound(spark):
     roots = spark.createDataFrame([("n0", "n0")], "root string, node_id string")
     got = L.walk(chain, roots, "down", max_depth=10)
     assert got.agg(F.max("depth")).first()[0] == 10 and got.count() == 10
+
+
+def test_profile_sketch_mode_agrees_with_exact(spark):
+    from vetrina.operators.profile import profile_columns
+    rows = [(i, f"v{i % 37}", None if i % 5 == 0 else str(i * 1.5), "" if i % 7 == 0 else "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b string, c string, d string")
+    ex = {r.column: r for r in profile_columns(df).collect()}
+    sk = {r.column: r for r in profile_columns(df, exact=False).collect()}
+    for c in ex:
+        for f in ("total_count", "null_count", "empty_count", "data_type_guess", "min_value", "max_value"):
+            assert ex[c][f] == sk[c][f], (c, f)
+        assert abs(sk[c].unique_count - ex[c].unique_count) <= 0.03 * ex[c].unique_count + 1
+        if ex[c].mean_value is not None:
+            assert abs(ex[c].mean_value - sk[c].mean_value) < 1e-6 * max(1.0, abs(ex[c].mean_value))
+            assert abs(ex[c].std_value - sk[c].std_value) < 1e-6 * max(1.0, abs(ex[c].std_value))
+    assert [t.value for t in sk["b"].top_values][:1] == [t.value for t in ex["b"].top_values][:1] or \
+        sk["b"].top_values[0].cnt == ex["b"].top_values[0].cnt

@@ -111,26 +111,7 @@ def column_stats(vc: DataFrame) -> DataFrame:
            .groupBy("column").agg(F.sum(F.col("cnt") * F.pow(num - F.col("mean_value"), 2)).alias("__ss")))
     st = st.join(var, "column", "left").withColumn(
         "std_value", F.when(F.col("numeric_count") > 1, F.sqrt(F.col("__ss") / (F.col("numeric_count") - 1))))
-    n = F.col("clean_count").cast("double")
-    guess = (F.when(F.col("clean_count") == 0, F.lit("string"))
-              .when(F.col("numeric_count") / n > TYPE_RATIO, "numeric")
-              .when(F.col("date_count") / n > TYPE_RATIO, "date")
-              .when(F.col("boolean_count") / n > TYPE_RATIO, "boolean")
-              .otherwise("string"))
-    patterns = F.filter(F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.lit(name).alias("pattern"),
-                 F.col(f"pat_{name}").alias("matches"),
-                 (F.col(f"pat_{name}") / n).alias("confidence"))
-        for i, (name, _) in enumerate(PATTERNS)]), lambda p: p["matches"] > 0)
-    # Highest confidence first; equal confidence keeps the list order.
-    patterns = F.array_sort(patterns, lambda a, b: F.when(a["confidence"] > b["confidence"], -1)
-                            .when(a["confidence"] < b["confidence"], 1)
-                            .otherwise(a["rank"] - b["rank"]))
-    return st.drop("__sum", "__len_sum", "__ss").select(
-        "*",
-        (1.0 - (F.col("null_count") + F.col("empty_count")) / F.col("total_count")).alias("completeness"),
-        guess.alias("data_type_guess"),
-        patterns.alias("patterns"))
+    return _with_guess(st.drop("__sum", "__len_sum", "__ss"))
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int,
@@ -157,10 +138,70 @@ def top_values(vc: DataFrame, k: int = TOP_K) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("rk", "value", "cnt"))).alias("top_values"))
 
 
-def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Full column profile: one row per column."""
-    vc = value_counts(to_long(df, columns))
-    p = column_stats(vc).join(top_values(vc), "column", "left")
+def column_stats_sketch(long: DataFrame, k: int = TOP_K) -> DataFrame:
+    """A01-A06 without shuffling cells: every cell's flags are aggregated per
+    column (one partial row per column per task reaches the shuffle); the
+    distinct count is a HyperLogLog estimate and the top values come from
+    ``approx_top_k``.  Counts, ratios and numeric statistics stay exact."""
+    v = F.col("value")
+    clean = v.isNotNull() & (v != "")
+    s = py_strip(v)
+    cells = long.select(
+        "column", "ordinal", v, clean.alias("clean"), F.when(clean, _numeric_value(v)).alias("num"),
+        F.when(clean, F.length(v)).alias("len"), (clean & is_date_like(v)).alias("is_date"),
+        (clean & F.lower(s).isin(*BOOLEAN_WORDS)).alias("is_bool"),
+        *[(clean & s.rlike(pat)).alias(f"is_{name}") for name, pat in PATTERNS])
+    num, ln = F.col("num"), F.col("len")
+    aggs = [F.min("ordinal").alias("ordinal"), F.count("*").alias("total_count"),
+            F.count_if(v.isNull()).alias("null_count"), F.count_if(v == "").alias("empty_count"),
+            F.count_if("clean").alias("clean_count"),
+            F.approx_count_distinct(v, rsd=0.01).cast("bigint").alias("unique_count"),
+            F.count_if(num.isNotNull()).alias("numeric_count"), F.count_if("is_date").alias("date_count"),
+            F.count_if("is_bool").alias("boolean_count"),
+            F.min(num).alias("min_value"), F.max(num).alias("max_value"), F.avg(num).alias("mean_value"),
+            F.stddev_samp(num).alias("std_value"), F.min(ln).alias("min_length"), F.max(ln).alias("max_length"),
+            F.avg(ln).alias("avg_length"), F.expr(f"approx_top_k(value, {k})").alias("__top")]
+    aggs += [F.count_if(f"is_{name}").alias(f"pat_{name}") for name, _ in PATTERNS]
+    st = cells.groupBy("column").agg(*aggs)
+    st = st.withColumn("top_values", F.transform(
+        "__top", lambda x, i: F.struct((i + 1).alias("rk"), x["item"].alias("value"), x["count"].alias("cnt"))))
+    return _with_guess(st.drop("__top"))
+
+
+def _with_guess(st: DataFrame) -> DataFrame:
+    """Completeness, type guess and ranked patterns from the counts."""
+    n = F.col("clean_count").cast("double")
+    guess = (F.when(F.col("clean_count") == 0, F.lit("string"))
+              .when(F.col("numeric_count") / n > TYPE_RATIO, "numeric")
+              .when(F.col("date_count") / n > TYPE_RATIO, "date")
+              .when(F.col("boolean_count") / n > TYPE_RATIO, "boolean")
+              .otherwise("string"))
+    patterns = F.filter(F.array(*[
+        F.struct(F.lit(i).alias("rank"), F.lit(name).alias("pattern"),
+                 F.col(f"pat_{name}").alias("matches"),
+                 (F.col(f"pat_{name}") / n).alias("confidence"))
+        for i, (name, _) in enumerate(PATTERNS)]), lambda p: p["matches"] > 0)
+    patterns = F.array_sort(patterns, lambda a, b: F.when(a["confidence"] > b["confidence"], -1)
+                            .when(a["confidence"] < b["confidence"], 1)
+                            .otherwise(a["rank"] - b["rank"]))
+    return st.select(
+        "*",
+        (1.0 - (F.col("null_count") + F.col("empty_count")) / F.col("total_count")).alias("completeness"),
+        guess.alias("data_type_guess"), patterns.alias("patterns"))
+
+
+def profile_columns(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """Full column profile: one row per column.
+
+    ``exact`` (default) shuffles value counts for exact distinct counts and
+    top values; ``exact=False`` is the sketch mode for very large tables,
+    whose only shuffle is one partial row per column per task."""
+    long = to_long(df, columns)
+    if exact:
+        vc = value_counts(long)
+        p = column_stats(vc).join(top_values(vc), "column", "left")
+    else:
+        p = column_stats_sketch(long)
     numeric = F.col("data_type_guess") == "numeric"
     string = F.col("data_type_guess") == "string"
     top = F.get(F.col("patterns"), 0)
