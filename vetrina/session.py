@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 # class-feature pairs; one million rows of short strings is still far below
 # the default 8 GB broadcast ceiling.
 REFERENCE_BROADCAST_ROWS = 1_000_000
+# Where the local fallback checkpoint folder is remembered (tests only).
+SCRATCH_KEY = "vetrina.scratch.dir"
 
 
 def build_session(master: str | None = None, app: str = "vetrina",
@@ -54,10 +56,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when it is unset (tests, a laptop) do we create a scratch
     folder, so reliable checkpoints still work locally.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH_KEY, None)
     if not path:
+        # spark.checkpoint.dir cannot be changed on a running session, so
+        # the local fallback is registered with the context and remembered
+        # under a key of our own.
         path = tempfile.mkdtemp(prefix="vetrina-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.conf.set(SCRATCH_KEY, path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
