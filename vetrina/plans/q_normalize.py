@@ -212,3 +212,22 @@ def q_norm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     nf = normalize_features(mapped_products(spark, sf_dir), etim_feature_df(spark), uom_df(spark))
     return nf.select(*KEYS, "etim_feature", "value_raw", "unit_raw", "data_type", "value_number",
                      "value_text", "value_bool", "value_converted", "unit_normalized")
+
+
+# Compat: the reference's feature normalisation -- the raw value is typed
+# (mapping transforms are lost), only the seeded unit table is consulted
+# (no inch conversion), offsets are ignored.
+F11_COMPAT_SQL = (F11_SQL.replace(_UNITS_SQL, """units(unit_raw, standard_unit, factor) AS (VALUES
+  ('mm', 'cm', 0.1), ('cm', 'mm', 10.0), ('m', 'mm', 1000.0), ('kg', 'g', 1000.0),
+  ('g', 'kg', 0.001), ('lb', 'kg', 0.453592))""")
+                  .replace(sql_numeric(strip('"Length"')), sql_numeric('"Length"'))
+                  .replace(sql_text(strip('"Material"')), sql_text('"Material"')))
+
+
+@register("f11_normalize_features_compat", F11_COMPAT_SQL)
+def q_norm_features_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F07/F08/F11 with the reference's semantics (compat mode)."""
+    nf = normalize_features(mapped_products(spark, sf_dir), etim_feature_df(spark),
+                            uom_df(spark, with_builtin=False), compat=True)
+    return nf.select(*KEYS, "etim_feature", "value_raw", "unit_raw", "data_type", "value_number",
+                     "value_text", "value_bool", "value_converted", "unit_normalized")
