@@ -65,3 +65,11 @@ def test_quarantine_and_dedup_stream(spark):
     assert spark.read.parquet(out_good).count() == 1
     errs = sorted(r.error for r in spark.read.parquet(out_bad).collect())
     assert errs == ["malformed event", "missing envelope field"]
+
+
+def test_delimiter_sample_lines(spark):
+    text = "\n".join(["a;b"] * 5 + ["x;y;z;w"] + [""])
+    docs = spark.createDataFrame([(1, "\n" + text)], "id int, text string")
+    lines = FS.text_lines(docs, "id", "text")
+    assert FS.detect_delimiter(lines).first().delimiter == ","             # all lines: no consistent count
+    assert FS.detect_delimiter(lines, sample_lines=5).first().delimiter == ";"   # first five non-empty lines

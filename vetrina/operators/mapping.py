@@ -24,7 +24,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from vetrina.session import bounded_broadcast
 from pyspark.sql import functions as F

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 from vetrina.operators import export as X
 from vetrina.operators import resolve as R
-from vetrina.operators.mapping import apply_template
 from vetrina.operators.normalization import normalize_features
-from vetrina.plans.fixtures import raw_product, raw_product_sql
-from vetrina.plans.q_mapping import FULL_TEMPLATE
+from vetrina.plans.fixtures import raw_product_sql
 from vetrina.plans.q_normalize import FEATURE_BODY
 from vetrina.plans.q_resolve import RESOLVE_BODY, RESOLVE_SQL, mapped_full, normalized_batch
 from vetrina.plans.registry import register

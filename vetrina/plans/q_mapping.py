@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetrina.operators.mapping import (FeatureMapping, FieldMapping, Template, apply_template,
+from vetrina.operators.mapping import (FieldMapping, Template, apply_template,
                                        assemble_templates, catalogue_template, choose_templates)
 from vetrina.operators.rules import issues_long, validate
 from vetrina.operators.suggest import suggest_rules

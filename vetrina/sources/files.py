@@ -111,11 +111,13 @@ def detect_delimiter(lines: DataFrame, sample_lines: int | None = None) -> DataF
     test to the first five non-empty lines like the reference; the default
     uses every line of the file."""
     ne = py_strip(F.col("line")) != ""
-    src = lines
     if sample_lines:
-        w = Window.partitionBy("file_id").orderBy(F.when(ne, 0).otherwise(1), "line_no")
-        src = lines.withColumn("__k", F.row_number().over(w)).withColumn(
-            "__ne", ne & (F.col("__k") <= sample_lines))
+        # The first k non-empty lines by an exact two-stage top-k, so a long
+        # file is never ranked in one task; other lines still list the file.
+        from vetrina.operators.profile import top_k_per_group
+        first = top_k_per_group(lines.filter(ne), ["file_id"], [F.col("line_no")], sample_lines,
+                                bucket_key="line_no").select("file_id", "line_no", F.lit(True).alias("__ne"))
+        src = lines.join(first, ["file_id", "line_no"], "left").fillna(False, ["__ne"])
     else:
         src = lines.withColumn("__ne", ne)
     counts = [F.struct(F.lit(i).alias("cand"),
