@@ -98,7 +98,8 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "up", max_depth: i
     frm, to = ("target_node_id", "source_node_id") if direction == "up" else ("source_node_id", "target_node_id")
     e = edges.select(F.col(frm).alias("node_id"), F.col(to).alias("next_id"))
     if shared and not all_paths:
-        return _walk_shared(e, roots.select("root", "node_id"), max_depth, 1, checkpoint_every)
+        # The edge table is read once per level: keep it (spilling to disk).
+        return _walk_shared(e.persist(), roots.select("root", "node_id"), max_depth, 1, checkpoint_every)
     return _walk_frontier(e, roots, max_depth, all_paths, checkpoint_every)
 
 
@@ -121,6 +122,8 @@ def _walk_shared(e: DataFrame, roots: DataFrame, max_depth: int, level: int,
     starts = hop.select(F.col("node_id").alias("root"), "node_id").distinct()
     if starts.isEmpty():
         return first
+    # ``sub`` is referenced exactly once below, so the plan grows linearly
+    # with the depth of the walk.
     sub = _walk_shared(e, starts, max_depth - 1, level + 1, checkpoint_every)
     via = (hop.alias("h").join(sub.alias("s"), F.col("h.node_id") == F.col("s.root"))
            .select(F.col("h.root").alias("root"), F.col("s.node_id").alias("node_id"),
