@@ -55,7 +55,8 @@ GTIN_SUGGEST_PATTERN = r"^\d{8}|\d{12}|\d{13}|\d{14}$"
 ETIM_NUMERIC_PATTERN = r"^\d+(\.\d+)?$"
 
 
-def name_rules_df(spark, compat: bool = False, exclude_units: bool = True) -> DataFrame:
+def name_rules_df(spark, compat: bool = False) -> DataFrame:
+    """P12 name rules (priority, keyword, kind, target, confidence) as a DataFrame."""
     rules = NAME_RULES + ([] if compat else EXTRA_NAME_RULES)
     return spark.createDataFrame(rules, "priority int, keyword string, kind string, target string, "
                                         "confidence double")
