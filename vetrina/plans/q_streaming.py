@@ -189,3 +189,23 @@ def q_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-topic retention (7 or 30 days before ``as_of``)."""
     return S.apply_retention(envelopes(spark, sf_dir), AS_OF).groupBy("event_type").agg(
         F.count("*").alias("n_kept"))
+
+
+@register("t07_latest_nodes_stream", f"""WITH {ENV_SQL},
+n AS (SELECT client_id, ingest_id, CASE event_type
+        {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in S.NODE_TYPES.items())} ELSE 'unknown' END AS node_type,
+        timestamp, event_id FROM env2)
+SELECT client_id, ingest_id, node_type, min(timestamp) AS created_at, max(timestamp) AS updated_at,
+       CAST(arg_max(CAST(event_id AS BIGINT), (timestamp, event_id)) AS VARCHAR) AS last_event_id
+FROM n GROUP BY ALL""")
+def q_latest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest node per (client, ingest, type) as streaming state (the
+    twin of G03); the final state is read back from the batch-id sink."""
+    ev, _ = S.quarantine_split(_stream_source(spark, sf_dir))
+    got = _drain(spark, S.latest_nodes_stream(ev, SOURCE_DELAY).select(
+        "client_id", "ingest_id", "node_type", "created_at", F.col("l.timestamp").alias("updated_at"),
+        F.col("l.event_id").alias("last_event_id")), mode="update")
+    last = _last_per_key(got, ["client_id", "ingest_id", "node_type"])
+    return last.select("client_id", "ingest_id", "node_type",
+                       F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+                       F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "last_event_id")

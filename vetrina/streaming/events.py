@@ -206,3 +206,22 @@ def apply_retention(events: DataFrame, as_of) -> DataFrame:
     days = F.create_map(*[F.lit(x) for kv in TOPIC_RETENTION_DAYS.items() for x in kv])
     keep = F.coalesce(F.element_at(days, F.col("event_type")), F.lit(7))
     return events.filter(F.col("timestamp") >= F.lit(as_of).cast("timestamp") - F.make_interval(days=keep))
+
+
+NODE_TYPES = {
+    "file.received": "file", "file.profiled": "profile", "mapping.applied": "mapping",
+    "validation.results": "validation", "normalization.done": "normalization",
+    "persistence.upserted": "product", "export.completed": "export",
+}
+
+
+def latest_nodes_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Per (client, ingest, node type) the latest event's metadata --
+    the keyed state the lineage tracker keeps in memory, here in the state
+    store, one day window per ingest so the watermark evicts it."""
+    m = F.create_map(*[F.lit(x) for kv in NODE_TYPES.items() for x in kv])
+    e = events.withColumn("node_type", F.coalesce(F.element_at(m, F.col("event_type")), F.lit("unknown")))
+    return (e.withWatermark("timestamp", delay)
+            .groupBy("client_id", "ingest_id", "node_type", F.window("timestamp", "1 day").alias("w"))
+            .agg(F.max_by(F.struct("timestamp", "event_id", "payload"), F.struct("timestamp", "event_id"))
+                 .alias("l"), F.min("timestamp").alias("created_at")))
