@@ -301,3 +301,19 @@ def q_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed.write.parquet(tmp)
     ST.upsert_staging(spark.read.parquet(tmp), path)
     return ST.read_staging(spark, path, "c0", "ing-0").select("row_num", "sku", F.col("Name").alias("name"))
+
+
+_RULES_COMPAT = ", ".join(f"({p}, '{k}', '{kind}', '{t}', CAST({c} AS DOUBLE))" for p, k, kind, t, c in SG.NAME_RULES)
+
+
+@register("p12_column_suggestions_compat", f"""WITH {COLS_SQL},
+rules(priority, keyword, kind, target, confidence) AS (VALUES {_RULES_COMPAT}),
+hits AS (SELECT c.*, r.* FROM cols c JOIN rules r ON contains(lower(trim(c.column_name)), r.keyword))
+SELECT file_id, ordinal, column_name, arg_min(kind, priority) AS kind, arg_min(target, priority) AS target,
+       arg_min(confidence, priority) AS confidence
+FROM hits GROUP BY file_id, ordinal, column_name""")
+def q_suggest_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P12 with the reference's semantics: no ``artikel`` rule, unit columns
+    offered to feature rules too (SURVEY 3.5 #15, #16)."""
+    return SG.suggest_targets(header_columns(spark, sf_dir), SG.name_rules_df(spark, compat=True),
+                              compat=True).withColumn("ordinal", F.col("ordinal").cast("bigint"))
