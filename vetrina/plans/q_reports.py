@@ -68,3 +68,37 @@ def q_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten rows of each file (a preview; the limit is the
     feature)."""
     return RP.sample_rows(raw_product(spark, sf_dir).select("client_id", "ingest_id", "row_num", "SKU"))
+
+
+REQUEST_SQL = ("CASE WHEN ingest_id = 'ing-0' THEN 'tmpl-catalogue' WHEN client_id = 'c1' THEN 'tmpl-c1' "
+               "ELSE 'tmpl-demo' END")
+
+
+@register("p15_application_check", f"""WITH {raw_product_sql()},
+jobs AS (SELECT DISTINCT client_id, ingest_id, sha256(client_id || '|' || ingest_id) AS job_id,
+                'created' AS status, {REQUEST_SQL} AS template_id FROM raw_product),
+t(template_id, template_client, n_fields, n_features) AS (VALUES
+  ('tmpl-demo', 'demo', 4, 3), ('tmpl-catalogue', 'global', 6, 3), ('tmpl-c1', 'c1', 6, 3))
+SELECT jobs.job_id, jobs.template_id,
+       (t.template_client = jobs.client_id OR t.template_client = 'global') AS allowed,
+       CASE WHEN (t.template_client = jobs.client_id OR t.template_client = 'global')
+            THEN 'mapped' ELSE 'created' END AS new_status,
+       CAST(t.n_fields + t.n_features AS BIGINT) AS mapping_count
+FROM jobs JOIN t ON jobs.template_id = t.template_id""")
+def q_application(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each import job asks for one template (the file decides
+    which); the check joins the request to the template on its id: allowed
+    for the same client or a global template, status created -> mapped,
+    mapping count = field + feature mappings."""
+    from vetrina.operators.mapping import (Template, application_check, catalogue_template, demo_template,
+                                           template_tables)
+    raw = raw_product(spark, sf_dir)
+    jobs = raw.select("client_id", "ingest_id").distinct().select(
+        _job_id(F.col("client_id"), F.col("ingest_id")).alias("job_id"), "client_id",
+        F.lit("created").alias("status"), F.expr(REQUEST_SQL).alias("template_id"))
+    cat = catalogue_template()
+    tmpls = [demo_template(), cat, Template(cat.field_mappings, cat.feature_mappings, "tmpl-c1", "c1", "c1 template")]
+    parts = [template_tables(spark, t) for t in tmpls]
+    t_df, f_df, g_df = (parts[0][i].unionByName(parts[1][i]).unionByName(parts[2][i]) for i in range(3))
+    out = application_check(jobs, t_df, f_df, g_df)
+    return out.select("job_id", "template_id", "allowed", "new_status", "mapping_count")
