@@ -73,3 +73,15 @@ def test_delimiter_sample_lines(spark):
     lines = FS.text_lines(docs, "id", "text")
     assert FS.detect_delimiter(lines).first().delimiter == ","             # all lines: no consistent count
     assert FS.detect_delimiter(lines, sample_lines=5).first().delimiter == ";"   # first five non-empty lines
+
+
+def test_malformed_rows_quarantine_and_salvage(spark):
+    d = tempfile.mkdtemp(prefix="vt-bad-")
+    open(f"{d}/b.csv", "w").write("1,2,3\n4,5,6\n7,8,9,10\n11,12,13\n")
+    df = FS.read_delimited(spark, [f"{d}/b.csv"], ",", False, schema="a string, b string, c string")
+    good, bad = FS.quarantine(df)
+    assert sorted(r.a for r in good.collect()) == ["1", "11", "4"]
+    assert [r.line for r in bad.collect()] == ["7,8,9,10"]             # over-long row kept whole
+    salv = FS.salvage_split(spark, [f"{d}/b.csv"], ",", 4)
+    rows = sorted((r.col_0, r.col_3) for r in salv.collect())
+    assert rows == [("1", None), ("11", None), ("4", None), ("7", "10")]  # padded / full width
