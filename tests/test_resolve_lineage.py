@@ -91,3 +91,23 @@ def test_profile_sketch_mode_agrees_with_exact(spark):
             assert abs(ex[c].std_value - sk[c].std_value) < 1e-6 * max(1.0, abs(ex[c].std_value))
     assert [t.value for t in sk["b"].top_values][:1] == [t.value for t in ex["b"].top_values][:1] or \
         sk["b"].top_values[0].cnt == ex["b"].top_values[0].cnt
+
+
+def test_ingest_graph_and_retention(spark):
+    import datetime as dt
+    t = lambda d: dt.datetime(2024, 1, d)
+    nodes = spark.createDataFrame(
+        [("n1", "file", "c", "i1", t(1)), ("n2", "profile", "c", "i1", t(20)),
+         ("n3", "file", "c", "i2", t(20)), ("n4", "product", "c", "i2", t(25))],
+        "node_id string, node_type string, client_id string, ingest_id string, created_at timestamp")
+    edges = spark.createDataFrame(
+        [("e1", "n1", "n2", "processes", t(20)), ("e2", "n3", "n4", "generates", t(25)),
+         ("e3", "n2", "n4", "derives_from", t(26)), ("e4", "n3", "n3", "self", t(26))],
+        "edge_id string, source_node_id string, target_node_id string, edge_type string, created_at timestamp")
+    n, e = L.ingest_graph(nodes, edges, "c", "i1")
+    assert sorted(r.node_id for r in n.collect()) == ["n1", "n2"]
+    assert sorted(r.edge_id for r in e.collect()) == ["e1", "e3"]     # touching by source OR target, once each
+    kn, ke = L.retention(nodes, edges, "2024-01-31 00:00:00", days=15)
+    assert sorted(r.node_id for r in kn.collect()) == ["n2", "n3", "n4"]
+    # e1 is recent but its source n1 was dropped: a dangling edge goes too
+    assert sorted(r.edge_id for r in ke.collect()) == ["e2", "e3", "e4"]
