@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vetrina.operators import lineage as L
 from vetrina.plans.q_resolve import RESOLVE_SQL, first_import
 from vetrina.plans.registry import register
+from vetrina.session import materialize
 from vetrina.sources.tables import table
 
 AS_OF = "2024-03-01 00:00:00"
@@ -94,8 +95,11 @@ def pipeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline_graph(spark: SparkSession, sf_dir: str):
+    """Nodes are one row per (client, ingest, stage): far smaller than the
+    events and read several times (both edge ends, filters), so they are
+    materialised once instead of re-aggregating the events per use."""
     ev = pipeline_events(spark, sf_dir)
-    nodes = L.derive_nodes(ev)
+    nodes = materialize(L.derive_nodes(ev), "lineage-nodes")
     return nodes, L.derive_edges(nodes, ev), ev
 
 
