@@ -13,6 +13,7 @@ Nothing here is specific to one operator.  The rules every module follows:
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +54,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, registering it with the context.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and we use it
-    as is.  Only when it is unset (tests, a laptop) do we create a scratch
-    folder, so reliable checkpoints still work locally.
+    as is.  Only when it is unset on a ``local`` master (tests, a laptop) do
+    we create a scratch folder; a cluster without the setting is an error,
+    since its executors would not see each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH_KEY, None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         # spark.checkpoint.dir cannot be changed on a running session, so
         # the local fallback is registered with the context and remembered
         # under a key of our own.
