@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vetrina.llm import bpe, exact_dedup, packing, substring_dedup, suffix_dedup, topk_search, warc
+from vetrina.llm import bpe, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup, topk_search, warc
 from vetrina.llm.common import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def _query(sql: str | None = None):
     return add
 
 
+@_query()
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
