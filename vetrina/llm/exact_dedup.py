@@ -45,12 +45,18 @@ def _places(h: Column, bits: int) -> tuple[Column, Column, Column]:
     return block, one, (one + step) % (1 << BLOCK_BITS)
 
 
-def repeated_filter(hashes: DataFrame, h: str, bits: int) -> DataFrame:
-    """(x8_block, x8_words map<word, 64 bits>) of the bits hit twice."""
+def filter_bits(rows: int) -> int:
+    """Width of a filter for so many rows, as a power of two."""
+    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(16 * max(rows, 1)))))
+
+
+def bloom_filter(hashes: DataFrame, h: str, bits: int, times: int = 1) -> DataFrame:
+    """(x8_block, x8_words map<word, 64 bits>) of the bits hit ``times``
+    times or more."""
     block, one, two = _places(F.col(h), bits)
     hits = hashes.select(block.alias("x8_block"), F.explode(F.array(one, two)).alias("bit"))
-    twice = hits.groupBy("x8_block", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    words = (twice.groupBy("x8_block", F.shiftright("bit", 6).cast("int").alias("word"))
+    often = hits.groupBy("x8_block", "bit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= times)
+    words = (often.groupBy("x8_block", F.shiftright("bit", 6).cast("int").alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")))
     return words.groupBy("x8_block").agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("x8_words"))
 
@@ -60,13 +66,20 @@ def _hit(bit: str) -> Column:
     return F.coalesce(F.getbit(word, F.col(bit).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
 
 
+def might_contain(rows: DataFrame, h: str, filter_: DataFrame, bits: int) -> DataFrame:
+    """The rows whose bits are all in the filter."""
+    block, one, two = _places(F.col(h), bits)
+    placed = rows.withColumns({"x8_block": block, "x8_one": one, "x8_two": two}).join(F.broadcast(filter_), "x8_block")
+    return placed.where(_hit("x8_one") & _hit("x8_two")).drop("x8_block", "x8_one", "x8_two", "x8_words")
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Input rows with keep_id, group_size, kept and text_sha256."""
     own = [c for c in df.columns if c not in RESULT]
     rows = df.select(*[F.col(f"`{c}`") for c in own])
-    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(16 * max(rows.count(), 1)))))
+    bits = filter_bits(rows.count())
     keyed = rows.withColumn("x8_text", normalised(text_col)).withColumn("x8_hash", F.xxhash64("x8_text"))
-    filter_ = repeated_filter(keyed.select("x8_hash"), "x8_hash", bits)
+    filter_ = bloom_filter(keyed.select("x8_hash"), "x8_hash", bits, times=2)
 
     block, one, two = _places(F.col("x8_hash"), bits)
     probed = (keyed.withColumns({"x8_block": block, "x8_one": one, "x8_two": two})

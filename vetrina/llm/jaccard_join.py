@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetrina.llm.common import chars, materialize, pieces_for, text_key, whole_text
+from vetrina.llm.exact_dedup import bloom_filter, filter_bits, might_contain
 from vetrina.llm.graph import components
 from vetrina.llm.substring_dedup import word_hashes
 from vetrina.llm.windows import mix
@@ -91,7 +92,7 @@ def _sketches(n: int, id_type: str):
 
 # -- chosen paths -------------------------------------------------------
 
-def _children(members: DataFrame) -> DataFrame:
+def _children(members: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The buckets that each record of a bucket goes on to."""
     t = lambda salt, m: F.pmod(F.xxhash64("path", F.lit(salt)), F.lit(m)).cast("int")
     one = t(1, COORDINATES)
@@ -99,38 +100,48 @@ def _children(members: DataFrame) -> DataFrame:
     extra = round(1000 * (1 / THRESHOLD - 1))
     chosen: Column = F.when(t(3, 1000) < extra, F.array(one, two)).otherwise(F.array(one))
     return (members.withColumn("c", F.explode(chosen))
-            .withColumn("path", F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1))).drop("c", "sketch"))
+            .withColumn("path", F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1))).drop("c", *({"sketch"} - set(keep))))
 
 
-def _candidates(records: DataFrame, runs: range, name: str) -> DataFrame:
+def _undecided(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """Without the buckets whose records are joined already."""
+    own = F.coalesce("label", "set_key")
+    least = live.join(labels, "set_key", "left").groupBy("path").agg(F.min(own).alias("l0"), F.max(own).alias("l1"))
+    return live.join(least.where("l0 <> l1").select("path"), "path", "left_semi")
+
+
+def _candidates(records: DataFrame, runs: range, name: str, labels: DataFrame | None = None) -> DataFrame:
     """(a, b) edges between records of small or dense buckets whose sketches
-    are alike.  ``records``: set_key, sketch, label; a bucket whose records
-    have one label is done."""
-    start = records.select("set_key", "sketch", "label", F.explode(F.array(*[F.lit(r).cast("long") for r in runs])).alias("path"),
-                           F.lit(None).cast("long").alias("above"))
-    members, leaves, known = _children(start), [], records.select("set_key", "sketch")
+    are alike.  ``records``: set_key, sketch; ``labels`` (set_key, label): a
+    bucket whose records have one label is done."""
+    start = records.select("set_key", "sketch", F.explode(F.array(*[F.lit(r).cast("long") for r in runs])).alias("path"))
+    members, leaves = _children(start).select("path", "set_key"), []
     for level in range(1, LEVELS + 1):
-        bucket = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        bucket = bucket.where("n > 1 and l0 <> l1").select("path", "n")
-        live = materialize(members.join(bucket, "path"), f"{name}-level")
+        shared = members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        live = members.join(shared, "path")
+        if labels is not None:
+            live = _undecided(live, labels)
+        if level == 1:  # sketches join what is left of the first split, once
+            live = live.withColumn("above", F.lit(None).cast("long")).join(records.select("set_key", "sketch").hint("merge"), "set_key")
+        live = materialize(live, f"{name}-level")
         dense = F.col("n") >= THRESHOLD * THRESHOLD * F.col("above")
         leaf = (F.col("n") <= SMALL) | F.coalesce(dense, F.lit(False)) | F.lit(level == LEVELS)
-        leaves.append(live.where(leaf).select("path", "n", "set_key"))
+        leaves.append(live.where(leaf).select("path", "n", "set_key", "sketch"))
         more = live.where(~leaf)
         if more.isEmpty():
             break
-        members = _children(more.select("set_key", "label", "path", F.col("n").alias("above")).join(known, "set_key"))
+        members = _children(more.select("set_key", "path", "sketch", F.col("n").alias("above")), ("sketch",))
     found = leaves[0]
     for x in leaves[1:]:
         found = found.union(x)
     # blocks of large buckets meet pairwise; several small buckets share a group
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    found = _block_pairs(found.join(known, "set_key").withColumn("blocks", blocks), "path")
+    found = _block_pairs(found.withColumn("blocks", blocks))
     total = records.count() * len(runs)
     return _grouped(found, ["path"], pieces_for(total, 40_000, 4), _alike, "set_key binary, sketch array<int>", "a binary, b binary")
 
 
-def _block_pairs(rows: DataFrame, key: str) -> DataFrame:
+def _block_pairs(rows: DataFrame) -> DataFrame:
     """Each row once for every pair of blocks (i <= j) that its block is in."""
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -245,6 +256,14 @@ def _first_copies(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "text_key binary, text string")
 
 
+def _among(texts: DataFrame, member: DataFrame) -> DataFrame:
+    """The texts of members, and a few others: a Bloom filter of bounded size
+    keeps the rest from being shuffled."""
+    bits = filter_bits(member.count())
+    keys = bloom_filter(member.select(F.xxhash64("text_key").alias("h")), "h", bits)
+    return might_contain(texts.withColumn("h", F.xxhash64("text_key")), "h", keys, bits).select("text_key", "text")
+
+
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Per row: id, class_id (smallest id among linked texts and copies),
     n_links (different n-gram sets of similarity ``threshold`` or more),
@@ -261,11 +280,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # the first run, then the others on what it has left apart
     runs = math.ceil(math.log(1 - recall) / math.log(1 - SURVIVAL))
-    records = sets.select("set_key", "sketch", F.col("set_key").alias("label"))
+    records = sets.select("set_key", "sketch")
     groups = components(_candidates(records, range(1), "run"))
-    labelled = records.drop("label").join(groups.select(F.col("a").alias("set_key"), F.col("b").alias("label")), "set_key", "left")
-    labelled = materialize(labelled.withColumn("label", F.coalesce("label", "set_key")), "labelled")
-    groups = components(groups.union(_candidates(labelled, range(1, runs), "runs")))
+    labels = groups.select(F.col("a").alias("set_key"), F.col("b").alias("label"))
+    groups = components(groups.union(_candidates(records, range(1, runs), "runs", labels)))
 
     # exact links inside each group
     member = groups.select(F.col("a").alias("set_key"), F.col("b").alias("grp")).union(groups.select("b", "b").distinct())
@@ -273,8 +291,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = member.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / 1_000_000)).cast("int")
     member = materialize(member.join(sized, "grp").select("grp", "set_key", "text_key", blocks.alias("blocks")), "members")
-    texts = _first_copies(rows.select("text_key", "text")).join(member, "text_key")
-    compared = _grouped(_block_pairs(texts, "grp").withColumn("grp", F.xxhash64("grp")), ["grp"], pieces_for(2 * chars(rows, "text"), 16e6, 4), _links(n, threshold),
+    texts = _first_copies(_among(rows.select("text_key", "text"), member)).join(member.hint("merge"), "text_key")
+    compared = _grouped(_block_pairs(texts).withColumn("grp", F.xxhash64("grp")), ["grp"], pieces_for(2 * chars(rows, "text"), 16e6, 4), _links(n, threshold),
                         "set_key binary, text string", "set_key binary, root binary, links long")
     compared = materialize(compared, "links")
     root = components(compared.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("set_key"), F.col("b").alias("root"))
