@@ -24,6 +24,7 @@ place inside the window, so
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -195,7 +196,7 @@ def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float
     sketch = repeated_sketch(texts, spec, total)
     buckets = pieces_for(total * payload_per_char, bucket_mb * 1e6, 4)
 
-    schema = pa.schema([("bucket", pa.int32()), ("seg_key", pa.binary()), ("windows", pa.int32()), ("weight", pa.int32()), ("payload", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("anchor", pa.int64()), ("seg_key", pa.binary()), ("windows", pa.int32()), ("weight", pa.int32()), ("payload", pa.binary())])
 
     def payloads(batches):
         seen: dict = {}
@@ -208,9 +209,9 @@ def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float
                 for _, n, anchor, payload in _segments(spec, text, sketch.value):
                     k = xxhash.xxh3_128_digest(payload)
                     if k in held:
-                        held[k][3] = 2
+                        held[k][4] = 2
                     else:
-                        held[k] = [anchor % buckets, k, n, 1, payload]
+                        held[k] = [anchor % buckets, anchor - (1 << 63), k, n, 1, payload]
                         size += len(payload)
                 if size > 16_000_000:
                     yield _batch(held.values(), schema)
@@ -219,13 +220,20 @@ def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float
 
     def exact(table: pa.Table) -> pa.Table:
         segments: dict[bytes, list] = {}
-        for k, n, w, p in zip(*(table[c].to_pylist() for c in ("seg_key", "windows", "weight", "payload")), strict=True):
+        for k, a, n, w, p in zip(*(table[c].to_pylist() for c in ("seg_key", "anchor", "windows", "weight", "payload")), strict=True):
             if k in segments:
                 segments[k][1] += w
             else:
-                segments[k] = [n, w, p]
-        keys, n, weight, payload = list(segments), *(list(x) for x in zip(*segments.values(), strict=True))
-        out = [(k, _runs(mask)) for k, mask in zip(keys, spec.find(n, weight, payload), strict=True) if mask.any()]
+                segments[k] = [n, w, p, a]
+        # equal windows have equal anchors: a segment that is alone with its
+        # anchor repeats if it came twice, and need not be compared
+        alike = Counter(a for *_, a in segments.values())
+        alone = [(k, n, w) for k, (n, w, _, a) in segments.items() if alike[a] == 1]
+        rest = [(k, n, w, p) for k, (n, w, p, a) in segments.items() if alike[a] > 1]
+        out = [(k, np.array([0, n], np.int32).tobytes()) for k, n, w in alone if w > 1]
+        if rest:
+            keys, n, weight, payload = (list(x) for x in zip(*rest, strict=True))
+            out += [(k, _runs(mask)) for k, mask in zip(keys, spec.find(n, weight, payload), strict=True) if mask.any()]
         return pa.table({"seg_key": pa.array([k for k, _ in out], pa.binary()), "runs": pa.array([r for _, r in out], pa.binary())})
 
     place_schema = pa.schema([("text_key", pa.binary()), ("start", pa.int32()), ("seg_key", pa.binary())])
@@ -243,7 +251,7 @@ def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float
                 rows += [(key, start, xxhash.xxh3_128_digest(payload)) for start, _, _, payload in _segments(spec, text, sketch.value)]
             yield _batch(rows, place_schema)
 
-    answers = (texts.mapInArrow(payloads, "bucket int, seg_key binary, windows int, weight int, payload binary")
+    answers = (texts.mapInArrow(payloads, "bucket int, anchor long, seg_key binary, windows int, weight int, payload binary")
                .groupBy("bucket").applyInArrow(exact, "seg_key binary, runs binary"))
     # the answers are small; written, they cut the lineage of the long pass
     answers = materialize(answers, "repeated-segments")
