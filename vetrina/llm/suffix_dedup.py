@@ -142,8 +142,9 @@ def _find(length: int):
         order = suffix_order(s, length)
         owner = np.repeat(np.arange(len(n)), size)
         starts = (np.arange(len(s)) - begin[owner]) < np.asarray(n)[owner]
+        # equal windows stand together, with no other suffix between them
+        order = order[starts[order]]
         same = common_prefixes(s, order, length) >= length
-        same &= starts[order[1:]] & starts[order[:-1]]
         repeated = np.zeros(len(s), bool)
         repeated[order[1:][same]] = True
         repeated[order[:-1][same]] = True
