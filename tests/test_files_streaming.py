@@ -85,3 +85,14 @@ def test_malformed_rows_quarantine_and_salvage(spark):
     salv = FS.salvage_split(spark, [f"{d}/b.csv"], ",", 4)
     rows = sorted((r.col_0, r.col_3) for r in salv.collect())
     assert rows == [("1", None), ("11", None), ("4", None), ("7", "10")]  # padded / full width
+
+
+def test_admission_judges_whole_content(spark):
+    """Late non-ASCII bytes, characters across old probe edges, long headers."""
+    cases = {"late.csv": b"a;b\n" + b"x;y\n" * 4000 + "Müller;1\n".encode("latin-1"), "edge.csv": b"a\n" + b"x" * 1021 + "ü\n".encode(),
+             "tail.csv": "a\nÃ".encode("latin-1"), "wide.csv": (";".join(f"column_{i}" for i in range(200)) + "\n1\n").encode()}
+    rows = [(f"/x/{k}", len(v), None, bytearray(v)) for k, v in cases.items()]
+    files = spark.createDataFrame(rows, "path string, length long, modificationTime timestamp, content binary")
+    got = {r.path[3:]: (r.valid, r.encoding) for r in FS.admission(files).collect()}
+    assert got == {"late.csv": (True, "iso-8859-1"), "edge.csv": (True, "utf-8"), "tail.csv": (True, "iso-8859-1"), "wide.csv": (True, "utf-8")}
+    assert FS.admission(files, max_size=10).filter("valid").count() == 1

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
 # ---------------------------------------------------------------------------
-MAX_EXPORT_SIZE = 1_000_000
 BASE_COLUMNS = ["sku", "gtin", "product_name", "brand", "description", "etim_class"]
 FULL_EXTRA = ["category", "manufacturer", "model", "price", "currency",
               "length", "width", "height", "diameter", "weight"]
@@ -55,10 +54,10 @@ def export_filter(products: DataFrame, crosswalk: DataFrame | None, client_id: s
 
 
 def newest(products: DataFrame, n: int, order_col: str = "updated_at") -> DataFrame:
-    """The newest ``min(n, 1 000 000)`` products; product_id breaks
-    ties so the cut is deterministic.  The limit is the feature (export
-    size cap): Spark plans it as a distributed top-k (TakeOrderedAndProject)."""
-    return products.orderBy(F.col(order_col).desc(), F.col("product_id")).limit(min(n, MAX_EXPORT_SIZE))
+    """The newest ``n`` products; product_id breaks ties so the cut is
+    deterministic.  The caller's limit is the feature; Spark plans it as a
+    distributed top-k (TakeOrderedAndProject)."""
+    return products.orderBy(F.col(order_col).desc(), F.col("product_id")).limit(n)
 
 
 def feature_values(features: DataFrame) -> DataFrame:

@@ -207,9 +207,8 @@ def edge_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def activity_per_day(nodes: DataFrame, as_of, days: int = 30) -> DataFrame:
-    """Nodes created per day over the last ``days`` days (at most
-    ``days`` rows, newest first)."""
+    """Nodes created per day over the last ``days`` days, newest first."""
     lo = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
     return (nodes.filter(F.col("created_at") >= lo)
             .groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n_nodes"))
-            .orderBy(F.col("day").desc()).limit(days))
+            .orderBy(F.col("day").desc()))

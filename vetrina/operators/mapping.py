@@ -157,12 +157,12 @@ def lookup_join(df: DataFrame, column: str, table: DataFrame, out: str,
                 default_value: str | None = None) -> DataFrame:
     """P04 for large lookup tables (``table``: key, value, ordinal).
 
-    Two left joins: on the exact stripped key, then on the lower-cased key
-    where the first key by ``ordinal`` wins (pre-aggregated, so the second
-    join is many-to-one).  Each side is broadcast only when its row count
+    Two left joins: on the exact stripped key, then on the lower-cased key.
+    The first entry by ``ordinal`` wins; both sides are aggregated to one
+    row per key, so no row is multiplied.  Each side is broadcast only when its row count
     is within the reference-data bound, otherwise shuffled."""
     key = py_strip(F.col(f"`{column}`"))
-    exact = table.select(F.col("key").alias("__k1"), F.col("value").alias("__v1"))
+    exact = table.groupBy(F.col("key").alias("__k1")).agg(F.min_by("value", "ordinal").alias("__v1"))
     ci = (table.groupBy(F.lower("key").alias("__k2"))
           .agg(F.min_by("value", "ordinal").alias("__v2")))
     j = (df.withColumn("__key", key)
@@ -259,7 +259,9 @@ def t_formula(v: Column, cfg: dict, cols: set[str]):
     ok = F.lit(True)
     for s in slots:
         ok = ok & python_float(s).isNotNull()
-    as_text = F.when(is_int, expr.cast("bigint").cast("string")).otherwise(expr.cast("string"))
+    # an integer beyond 64 bits stays a plain number; it must not end the job
+    whole = F.coalesce(expr.try_cast("bigint").cast("string"), expr.try_cast("decimal(38,0)").cast("string"), expr.cast("string"))
+    as_text = F.when(is_int, whole).otherwise(expr.cast("string"))
     return F.when(ok & expr.isNotNull(), as_text).otherwise(v), None
 
 
@@ -327,19 +329,19 @@ def register_transform(name: str, fn) -> None:
 def _resolve_uom_pairs(spark: SparkSession, uom: DataFrame | None, pairs: set) -> dict:
     """Fetch factors for the (from, to) pairs named in a template.
 
-    A template names a handful of pairs, so this is a filtered read of a
-    few rows of metadata, not a data collect."""
+    A template names a handful of pairs; the table is filtered to them and
+    aggregated to one row per pair, so only those rows reach the driver.
+    Inactive rows are ignored; of several, the smallest factor counts."""
     if not pairs or uom is None:
         return {}
     cond = F.lit(False)
     for a, b in pairs:
         cond = cond | ((F.col("source_unit") == a) & (F.col("target_unit") == b))
-    rows = uom.filter(cond).select("source_unit", "target_unit", "conversion_factor",
-                                   "conversion_offset").limit(len(pairs) * 4).collect()
-    out = {}
-    for r in rows:
-        out.setdefault((r[0], r[1]), (r[2], r[3] or 0))
-    return out
+    if "is_active" in uom.columns:
+        cond = cond & F.coalesce(F.col("is_active"), F.lit(True))
+    rows = (uom.filter(cond & F.col("conversion_factor").isNotNull()).groupBy("source_unit", "target_unit")
+            .agg(F.min(F.struct("conversion_factor", "conversion_offset")).alias("f")).collect())
+    return {(r[0], r[1]): (r["f"][0], r["f"][1] or 0) for r in rows}
 
 
 def _compile_transform(m, cols: set[str], value: Column, uom_factors: dict):

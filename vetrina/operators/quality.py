@@ -191,7 +191,8 @@ def api_quality_analysis(issues: DataFrame, by: tuple[str, ...] = KEYS) -> DataF
 
 
 def recommendations(scores: DataFrame, by: tuple[str, ...] = KEYS) -> DataFrame:
-    """Threshold rules -> recommendation rows, plus the score band."""
+    """Threshold rules -> all recommendations, the score band, and as
+    top actions the first three of critical or high priority."""
     rec = lambda cond, cat, prio, title: F.when(cond, F.struct(
         F.lit(cat).alias("category"), F.lit(prio).alias("priority"), F.lit(title).alias("title")))
     arr = F.filter(F.array(
@@ -204,7 +205,8 @@ def recommendations(scores: DataFrame, by: tuple[str, ...] = KEYS) -> DataFrame:
     for lo, name in reversed(BANDS):
         band = F.when(F.col("overall_score") >= lo, F.lit(name)).otherwise(band)
     return scores.select(*by, "overall_score", band.alias("band"),
-                         F.slice(arr, 1, 3).alias("top_actions"), F.size(arr).alias("n_recommendations"))
+                         F.slice(F.filter(arr, lambda x: x["priority"].isin("critical", "high")), 1, 3).alias("top_actions"),
+                         arr.alias("recommendations"), F.size(arr).alias("n_recommendations"))
 
 
 def historical_comparison(reports: DataFrame, current: DataFrame, as_of,
@@ -222,7 +224,7 @@ def historical_comparison(reports: DataFrame, current: DataFrame, as_of,
                  F.avg("warning_count").alias("avg_historical_warnings")))
     j = current.join(hist, "client_id", "left")
     return j.select(
-        *current.columns, "historical_average", "total_historical_files",
+        *current.columns, "historical_average", F.coalesce("total_historical_files", F.lit(0)).alias("total_historical_files"),
         "avg_historical_errors", "avg_historical_warnings",
         (F.col("current_score") - F.col("historical_average")).alias("improvement"),
         F.when(F.col("historical_average").isNull(), "no_history")

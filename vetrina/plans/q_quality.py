@@ -112,8 +112,7 @@ SELECT client_id, ingest_id, {r6('overall_score')} AS overall_score,
      + (CASE WHEN error_count > 0 THEN 1 ELSE 0 END) + (CASE WHEN timeliness < 0.7 THEN 1 ELSE 0 END) AS INTEGER)
      AS n_recommendations,
   nullif(concat_ws(',', CASE WHEN completeness < 0.8 THEN 'completeness' END,
-     CASE WHEN accuracy < 0.7 THEN 'accuracy' END, CASE WHEN error_count > 0 THEN 'errors' END,
-     CASE WHEN timeliness < 0.7 THEN 'performance' END), '') AS top_actions
+     CASE WHEN accuracy < 0.7 THEN 'accuracy' END, CASE WHEN error_count > 0 THEN 'errors' END), '') AS top_actions
 FROM sc2""")
 def q_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendation list and executive band."""
@@ -149,7 +148,7 @@ hist AS (SELECT client_id, avg(quality_score) AS historical_average, count(*) AS
          FROM reports WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY
                         AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY GROUP BY client_id)
 SELECT cur.client_id, {r6('current_score')} AS current_score, {r6('historical_average')} AS historical_average,
-  total_historical_files, {r6('avg_historical_errors')} AS avg_historical_errors,
+  coalesce(total_historical_files, 0) AS total_historical_files, {r6('avg_historical_errors')} AS avg_historical_errors,
   {r6('avg_historical_warnings')} AS avg_historical_warnings,
   {r6('current_score - historical_average')} AS improvement,
   CASE WHEN historical_average IS NULL THEN 'no_history' WHEN current_score > historical_average

@@ -19,13 +19,10 @@ from vetrina.functions.normalize import is_numeric_text, py_strip
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
 # ---------------------------------------------------------------------------
-MAX_FILE_SIZE = 500 * 1024 * 1024
 ALLOWED_EXTENSIONS = ["csv", "tsv", "txt", "xlsx", "xls"]
 TEXT_EXTENSIONS = ["csv", "tsv", "txt"]
 DELIMITERS = [",", ";", "\t", "|", ":"]
 DEFAULT_DELIMITER = ","
-ENCODING_PROBE_BYTES = 10000
-CONTENT_PROBE_BYTES = 1024
 HEADER_FIRST_NUMERIC_MAX = 0.3
 HEADER_SECOND_NUMERIC_MIN = 0.5
 
@@ -44,47 +41,47 @@ def extension(path: Column) -> Column:
     return F.when(name.contains("."), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))).otherwise(F.lit(""))
 
 
-def utf8_prefix_ok(content: Column, n: int | None = ENCODING_PROBE_BYTES) -> Column:
-    """Are the first ``n`` bytes valid UTF-8 (``None``: all bytes)?  A
-    multi-byte character cut by the probe boundary is trimmed first."""
+def utf8_prefix_ok(content: Column, n: int | None = None) -> Column:
+    """Are all bytes valid UTF-8, or (``n`` given) the first ``n``?  A
+    multi-byte character that the probe cuts is trimmed first."""
+    whole = F.is_valid_utf8(content.cast("string"))
     if n is None:
-        return F.is_valid_utf8(content.cast("string"))
+        return whole
     probe = F.substring(content, 1, n)
     trimmed = F.regexp_replace(F.hex(probe), "(?:(?:[C-F][0-9A-F])|(?:[E-F][0-9A-F][89AB][0-9A-F])|"
                                              "(?:F[0-7][89AB][0-9A-F][89AB][0-9A-F]))$", "")
-    return F.is_valid_utf8(F.unhex(trimmed).cast("string"))
+    return F.when(F.octet_length(content) <= n, whole).otherwise(F.is_valid_utf8(F.unhex(trimmed).cast("string")))
 
 
-def detect_encoding(content: Column, probe_bytes: int | None = ENCODING_PROBE_BYTES) -> Column:
-    """Utf-8 when the probe decodes, else iso-8859-1 (which accepts
-    every byte, so the chain never reaches windows-1252).  The reference
-    probes the first 10 000 bytes; ``probe_bytes=None`` tests the whole
-    content."""
+def detect_encoding(content: Column, probe_bytes: int | None = None) -> Column:
+    """Utf-8 when the whole content decodes, else iso-8859-1 (which
+    accepts every byte, so the chain never reaches windows-1252).
+    ``probe_bytes=10000`` looks at a prefix only, as the reference does."""
     return F.when(utf8_prefix_ok(content, probe_bytes), F.lit("utf-8")).otherwise(F.lit("iso-8859-1"))
 
 
 def decode(content: Column, encoding: Column) -> Column:
-    """Bytes -> text in the detected encoding (never raises: the encoding
-    was tested first)."""
-    return F.when(encoding == "utf-8", F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
+    """Bytes -> text in the detected encoding; never raises (bytes that are
+    not UTF-8 become replacement characters)."""
+    return F.when(encoding == "utf-8", F.make_valid_utf8(content.cast("string"))).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def admission(files: DataFrame) -> DataFrame:
+def admission(files: DataFrame, max_size: int | None = None) -> DataFrame:
     """``valid`` / ``errors`` per file, plus content hash and
-    encoding.  Checks: size limit, non-empty, allowed extension, and for
-    text files a non-blank first KB with at least two lines."""
+    encoding, all from the whole content.  Checks: non-empty, allowed
+    extension, for text files non-blank with at least two lines, and the
+    size limit if the caller sets one (the reference's is 500 MB)."""
     ext = extension(F.col("path"))
     enc = detect_encoding(F.col("content"))
-    head = decode(F.substring("content", 1, CONTENT_PROBE_BYTES), enc)
+    text = decode(F.col("content"), enc)
     is_text = ext.isin(*TEXT_EXTENSIONS)
-    n_lines = F.size(F.split(head, "\n"))
+    too_large = F.lit(False) if max_size is None else F.col("length") > max_size
     errors = F.filter(F.array(
-        F.when(F.col("length") > MAX_FILE_SIZE,
-               F.format_string(f"File size %d exceeds maximum {MAX_FILE_SIZE}", F.col("length"))),
+        F.when(too_large, F.format_string(f"File size %d exceeds maximum {max_size}", F.col("length"))),
         F.when(F.col("length") == 0, F.lit("File is empty")),
         F.when(~ext.isin(*ALLOWED_EXTENSIONS), F.concat(F.lit("File extension ."), ext, F.lit(" not allowed"))),
-        F.when(is_text & (py_strip(head) == ""), F.lit("File appears to be empty or contains only whitespace")),
-        F.when(is_text & (n_lines < 2), F.lit("File must contain at least a header and one data row")),
+        F.when(is_text & (py_strip(text) == ""), F.lit("File appears to be empty or contains only whitespace")),
+        F.when(is_text & ~F.contains(text, F.lit("\n")), F.lit("File must contain at least a header and one data row")),
     ), lambda x: x.isNotNull())
     return files.select(
         "path", F.col("length").alias("file_size"), "modificationTime", ext.alias("extension"),
