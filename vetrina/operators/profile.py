@@ -41,12 +41,18 @@ TOP_K = 5
 
 
 def to_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Unpivot to ``(column, ordinal, value)`` with every value as text."""
-    columns = columns or df.columns
+    """Unpivot to ``(column, ordinal, value)`` with every value as text.
+
+    Columns are addressed by position, so two of one name stay apart."""
+    if columns is None:
+        columns = df.columns
+    else:
+        df = df.select(*[F.col(f"`{c}`") for c in columns])
+    at = df.toDF(*[f"c{i}" for i in range(len(columns))])
     pairs = [F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
-                      F.col(f"`{c}`").cast("string").alias("value"))
+                      F.col(f"c{i}").cast("string").alias("value"))
              for i, c in enumerate(columns)]
-    return df.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
+    return at.select(F.explode(F.array(*pairs)).alias("kv")).select("kv.*")
 
 
 def _numeric_value(v):
@@ -54,6 +60,22 @@ def _numeric_value(v):
     return python_float(F.regexp_replace(v, ",", ""))
 
 
+def _units(v, num):
+    """The number in units of 1e-8, where that is exact: its sums do not
+    depend on the order of the rows."""
+    d = py_strip(F.regexp_replace(v, ",", "")).try_cast("decimal(20,8)")
+    return F.when(d.cast("double") == num, (d * F.lit(100_000_000).cast("decimal(9,0)")).cast("decimal(20,0)"))
+
+
+def _exact_mean():
+    """Sum of units by count, rounded half up at six places in whole numbers;
+    null unless every number of the column has exact units."""
+    places = F.expr("(abs(__units) * 2 + numeric_count * 100) div (numeric_count * 200)")
+    signed = F.when(F.col("__units") < 0, -places).otherwise(places)
+    return F.when((F.col("numeric_count") > 0) & (F.col("__exact") == F.col("numeric_count")),
+                  signed.cast("double") / F.lit(1e6))
+
+
 def value_counts(long: DataFrame) -> DataFrame:
     """(column, value) -> count, null values included.  This is the only
     shuffle of the cell data; partial aggregation folds repeated values
@@ -73,21 +95,22 @@ def _value_flags(vc: DataFrame) -> DataFrame:
         F.when(clean, F.length(v)).alias("len"),
         (clean & is_date_like(v)).alias("is_date"),
         (clean & F.lower(s).isin(*BOOLEAN_WORDS)).alias("is_bool"),
-        *[(clean & s.rlike(pat)).alias(f"is_{name}") for name, pat in PATTERNS])
+        *[(clean & s.rlike(pat)).alias(f"is_{name}") for name, pat in PATTERNS]).withColumn(
+        "units", F.when(F.col("num").isNotNull(), _units(v, F.col("num"))))
 
 
 def column_stats(vc: DataFrame) -> DataFrame:
     """A01, A03, A04, A05, A06 per column from the value counts.
 
-    Counts are weighted sums; mean and average length are weighted means;
-    the sample standard deviation is a second pass over the distinct
+    Counts are weighted sums; mean and average length are weighted means
+    (``mean_6``: exact at six places where all numbers are plain decimals,
+    so it does not depend on the order of summation); the sample standard deviation is a second pass over the distinct
     numeric values against the column mean (numerically stable), joined
     with a one-row-per-column table."""
     d = _value_flags(vc)
     w = lambda cond: F.sum(F.when(cond, F.col("cnt")).otherwise(F.lit(0))).cast("bigint")
     num, ln = F.col("num"), F.col("len")
     aggs = [
-        F.min("ordinal").alias("ordinal"),
         F.sum("cnt").cast("bigint").alias("total_count"),
         w(F.col("value").isNull()).alias("null_count"),
         w(F.col("value") == "").alias("empty_count"),
@@ -98,20 +121,23 @@ def column_stats(vc: DataFrame) -> DataFrame:
         w(F.col("is_bool")).alias("boolean_count"),
         F.min(num).alias("min_value"), F.max(num).alias("max_value"),
         F.sum(num * F.col("cnt")).alias("__sum"),
+        F.sum(F.col("units") * F.col("cnt").cast("decimal(18,0)")).cast("decimal(38,0)").alias("__units"),
+        w(F.col("units").isNotNull()).alias("__exact"),
         F.min(ln).alias("min_length"), F.max(ln).alias("max_length"),
         F.sum(ln * F.col("cnt")).alias("__len_sum"),
     ]
     for name, _ in PATTERNS:
         aggs.append(w(F.col(f"is_{name}")).alias(f"pat_{name}"))
-    st = d.groupBy("column").agg(*aggs)
+    st = d.groupBy("ordinal", "column").agg(*aggs)
     st = st.withColumn("mean_value", F.when(F.col("numeric_count") > 0, F.col("__sum") / F.col("numeric_count"))) \
            .withColumn("avg_length", F.when(F.col("clean_count") > 0, F.col("__len_sum") / F.col("clean_count")))
-    means = st.select("column", "mean_value", "numeric_count")
-    var = (d.filter(num.isNotNull()).join(F.broadcast(means), "column")
-           .groupBy("column").agg(F.sum(F.col("cnt") * F.pow(num - F.col("mean_value"), 2)).alias("__ss")))
-    st = st.join(var, "column", "left").withColumn(
+    st = st.withColumn("mean_6", F.coalesce(_exact_mean(), "mean_value"))
+    means = st.select("ordinal", "mean_value")
+    var = (d.filter(num.isNotNull()).join(F.broadcast(means), "ordinal")
+           .groupBy("ordinal").agg(F.sum(F.col("cnt") * F.pow(num - F.col("mean_value"), 2)).alias("__ss")))
+    st = st.join(var, "ordinal", "left").withColumn(
         "std_value", F.when(F.col("numeric_count") > 1, F.sqrt(F.col("__ss") / (F.col("numeric_count") - 1))))
-    return _with_guess(st.drop("__sum", "__len_sum", "__ss"))
+    return _with_guess(st.drop("__sum", "__units", "__exact", "__len_sum", "__ss"))
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int,
@@ -132,9 +158,9 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int,
 
 def top_values(vc: DataFrame, k: int = TOP_K) -> DataFrame:
     """A02 top-k values per column (ties: value ascending)."""
-    ranked = top_k_per_group(vc.filter(F.col("value").isNotNull()), ["column"],
+    ranked = top_k_per_group(vc.filter(F.col("value").isNotNull()), ["ordinal"],
                              [F.col("cnt").desc(), F.col("value")], k)
-    return ranked.groupBy("column").agg(
+    return ranked.groupBy("ordinal").agg(
         F.array_sort(F.collect_list(F.struct("rk", "value", "cnt"))).alias("top_values"))
 
 
@@ -152,17 +178,17 @@ def column_stats_sketch(long: DataFrame, k: int = TOP_K) -> DataFrame:
         (clean & F.lower(s).isin(*BOOLEAN_WORDS)).alias("is_bool"),
         *[(clean & s.rlike(pat)).alias(f"is_{name}") for name, pat in PATTERNS])
     num, ln = F.col("num"), F.col("len")
-    aggs = [F.min("ordinal").alias("ordinal"), F.count("*").alias("total_count"),
+    aggs = [F.count("*").alias("total_count"),
             F.count_if(v.isNull()).alias("null_count"), F.count_if(v == "").alias("empty_count"),
             F.count_if("clean").alias("clean_count"),
             F.approx_count_distinct(v, rsd=0.01).cast("bigint").alias("unique_count"),
             F.count_if(num.isNotNull()).alias("numeric_count"), F.count_if("is_date").alias("date_count"),
             F.count_if("is_bool").alias("boolean_count"),
-            F.min(num).alias("min_value"), F.max(num).alias("max_value"), F.avg(num).alias("mean_value"),
+            F.min(num).alias("min_value"), F.max(num).alias("max_value"), F.avg(num).alias("mean_value"), F.avg(num).alias("mean_6"),
             F.stddev_samp(num).alias("std_value"), F.min(ln).alias("min_length"), F.max(ln).alias("max_length"),
             F.avg(ln).alias("avg_length"), F.expr(f"approx_top_k(value, {k})").alias("__top")]
     aggs += [F.count_if(f"is_{name}").alias(f"pat_{name}") for name, _ in PATTERNS]
-    st = cells.groupBy("column").agg(*aggs)
+    st = cells.groupBy("ordinal", "column").agg(*aggs)
     st = st.withColumn("top_values", F.transform(
         "__top", lambda x, i: F.struct((i + 1).alias("rk"), x["item"].alias("value"), x["count"].alias("cnt"))))
     return _with_guess(st.drop("__top"))
@@ -199,7 +225,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None, exact: bool
     long = to_long(df, columns)
     if exact:
         vc = value_counts(long)
-        p = column_stats(vc).join(top_values(vc), "column", "left")
+        p = column_stats(vc).join(top_values(vc), "ordinal", "left")
     else:
         p = column_stats_sketch(long)
     numeric = F.col("data_type_guess") == "numeric"
@@ -214,7 +240,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None, exact: bool
     return p.select(
         "column", "ordinal", "total_count", "null_count", "empty_count", "unique_count",
         "completeness", "data_type_guess", refined.alias("suggested_type"), "patterns", "top_values",
-        *[F.when(numeric, F.col(c)).alias(c) for c in ("min_value", "max_value", "mean_value",
+        *[F.when(numeric, F.col(c)).alias(c) for c in ("min_value", "max_value", "mean_value", "mean_6",
                                                         "std_value")],
         F.when(string, F.col("min_length")).alias("min_length"),
         F.when(string, F.col("max_length")).alias("max_length"),

@@ -79,15 +79,18 @@ def product_id(client: Column, sku: Column) -> Column:
 
 
 def collapse_batch(batch: DataFrame) -> DataFrame:
-    """Step 2: one record per (client_id, sku); last non-null by row_num.
+    """Step 2: one record per (client_id, sku); last non-null in order of arrival.
 
-    ``max_by`` is a partial aggregate, so a SKU repeated in a third of the
+    Row numbers start at 0 in every ingest, so the order of arrival is
+    (ingest_id, row_num).  ``max_by`` is a partial aggregate, so a SKU repeated in a third of the
     rows is combined map-side before the shuffle."""
     cols = [c for c in UPDATABLE if c in batch.columns]
-    return batch.groupBy("client_id", "sku").agg(
-        F.min("row_num").alias("first_row"), F.max("row_num").alias("last_row"),
-        F.max_by("ingest_id", "row_num").alias("ingest_id"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row_num"))).alias(c) for c in cols])
+    at = F.struct("ingest_id", "row_num")
+    rec = batch.groupBy("client_id", "sku").agg(
+        F.min(at).alias("first_at"), F.max(at).alias("last_at"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols])
+    return rec.select("*", F.col("first_at.row_num").alias("first_row"), F.col("last_at.row_num").alias("last_row"),
+                      F.col("last_at.ingest_id").alias("ingest_id"))
 
 
 def resolve(batch: DataFrame, base_products: DataFrame | None = None,
@@ -121,16 +124,16 @@ def resolve(batch: DataFrame, base_products: DataFrame | None = None,
     rec = rec.select("*", product_id(F.col("client_id"), F.col("sku")).alias("__own"),
                      words(F.col("product_name")).alias("__nw"), words(F.col("brand")).alias("__bw"))
     # Representatives per GTIN: base first, then the batch's earliest record.
-    own = F.struct(F.col("first_row"), F.col("__own").alias("pid"), "product_name", "brand", "etim_class",
+    own = F.struct(F.col("__own").alias("pid"), "product_name", "brand", "etim_class",
                    "__nw", "__bw")
     batch_rep = (rec.filter(usable_gtin & F.col("cw_product_id").isNull())
-                 .groupBy("gtin").agg(F.min_by(own, F.struct("first_row", "client_id", "sku")).alias("br")))
-    rep_cols = lambda p, in_base, row: [
+                 .groupBy("gtin").agg(F.min_by(own, F.struct("first_at", "client_id", "sku")).alias("br")))
+    rep_cols = lambda p: [
         F.col(f"{p}.product_name").alias("rep_name"), F.col(f"{p}.brand").alias("rep_brand"),
         F.col(f"{p}.etim_class").alias("rep_class"), F.col(f"{p}.__nw").alias("rep_nw"),
-        F.col(f"{p}.__bw").alias("rep_bw"), row.alias("rep_row"), F.lit(in_base).alias("rep_in_base")]
+        F.col(f"{p}.__bw").alias("rep_bw")]
     reps = batch_rep.select("gtin", F.col("br.pid").alias("rep_id"),
-                            *rep_cols("br", False, F.col("br.first_row")))
+                            *rep_cols("br"))
     if base_products is not None:
         bp = (base_products.filter(usable_gtin).groupBy("gtin").agg(
             F.min_by(F.struct("product_id", "product_name", "brand", "etim_class"), "product_id").alias("b")))
@@ -139,12 +142,19 @@ def resolve(batch: DataFrame, base_products: DataFrame | None = None,
                                 F.col("b.etim_class").alias("etim_class"),
                                 words(F.col("b.product_name")).alias("__nw"),
                                 words(F.col("b.brand")).alias("__bw")).alias("bb"))
-        bp = bp.select("gtin", "rep_id", *rep_cols("bb", True, F.lit(None).cast("bigint")))
-        reps = bp.unionByName(reps.join(bp.select("gtin"), "gtin", "left_anti"))
-
-    j = rec.join(reps, "gtin", "left")
+        bp = bp.select("gtin", "rep_id", *rep_cols("bb"), F.lit(True).alias("rep_in_base"))
+        reps = bp.unionByName(reps.withColumn("rep_in_base", F.lit(False)).join(bp.select("gtin"), "gtin", "left_anti"))
+    else:
+        reps = reps.withColumn("rep_in_base", F.lit(False))
+
+    # Records that cannot match keep a key of their own: a left join would
+    # hash all null GTINs into one task.
+    probes = usable_gtin & F.col("cw_product_id").isNull()
+    key = F.when(probes, F.col("gtin")).otherwise(F.concat(F.lit("-"), F.col("__own")))
+    j = (rec.withColumn("__key", key)
+         .join(reps.withColumnRenamed("gtin", "__key"), "__key", "left"))
     own_id = F.col("__own")
-    is_rep_itself = (~F.col("rep_in_base")) & (F.col("rep_row") == F.col("first_row")) & (F.col("rep_id") == own_id)
+    is_rep_itself = (~F.col("rep_in_base")) & (F.col("rep_id") == own_id)
     score = F.when(F.col("rep_id").isNotNull() & ~F.coalesce(is_rep_itself, F.lit(False)),
                    similarity(F.col("product_name"), F.col("brand"), F.col("etim_class"),
                               F.col("rep_name"), F.col("rep_brand"), F.col("rep_class"),
@@ -157,7 +167,7 @@ def resolve(batch: DataFrame, base_products: DataFrame | None = None,
                .when(merged, "merged").otherwise("created"))
     by = (F.when(F.col("cw_product_id").isNotNull(), "crosswalk")
            .when(merged, "gtin").otherwise(F.lit(None)))
-    records = j.select("client_id", "sku", "ingest_id", "first_row", "last_row", *UPDATABLE,
+    records = j.select("client_id", "sku", "ingest_id", "first_row", "last_row", "first_at", "last_at", *UPDATABLE,
                        pid.alias("product_id"), action.alias("action"), by.alias("matched_by"),
                        F.col("score"))
     return {"records": records, "failures": failures}
@@ -168,14 +178,15 @@ def upsert_products(records: DataFrame, base_products: DataFrame | None = None)
 
     Records that land on one product (merges, or several SKUs crosswalked
     to it) are combined first: per column the value of the record with the
-    latest row wins when not null.  Against the base, new non-null values
+    latest arrival wins when not null (ties between clients: by client, sku).  Against the base, new non-null values
     replace old ones (``coalesce(new, old)``); untouched base rows pass
     through by anti-join."""
+    first, last = F.struct("first_at", "client_id", "sku"), F.struct("last_at", "client_id", "sku")
     incoming = records.groupBy("product_id").agg(
-        F.min_by("client_id", F.when(F.col("action") != "merged", F.col("first_row"))).alias("client_id"),
-        F.min_by("sku", F.when(F.col("action") != "merged", F.col("first_row"))).alias("sku"),
-        F.max_by("ingest_id", "last_row").alias("ingest_id"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("last_row"))).alias(c) for c in UPDATABLE])
+        F.min_by("client_id", F.when(F.col("action") != "merged", first)).alias("client_id"),
+        F.min_by("sku", F.when(F.col("action") != "merged", first)).alias("sku"),
+        F.max_by("ingest_id", last).alias("ingest_id"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), last)).alias(c) for c in UPDATABLE])
     incoming = incoming.withColumn("status", F.lit("active"))
     if base_products is None:
         return incoming.select(*PRODUCT_COLUMNS)
@@ -204,11 +215,11 @@ def upsert_crosswalk(records: DataFrame, base: DataFrame | None = None) -> DataF
 
 def upsert_features(features: DataFrame, records: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Feature values keyed (product_id, etim_feature); the batch's
-    last value by row_num replaces the stored one."""
+    last value in order of arrival replaces the stored one."""
     keymap = records.select("client_id", "sku", "product_id")
     inc = (features.join(keymap, ["client_id", "sku"])
            .groupBy("product_id", "etim_feature")
-           .agg(*[F.max_by(c, "row_num").alias(c) for c in
+           .agg(*[F.max_by(c, F.struct("ingest_id", "row_num", "client_id", "sku", "pos")).alias(c) for c in
                   ("value_raw", "unit_raw", "value_normalized", "unit_normalized")]))
     if base is None:
         return inc

@@ -26,7 +26,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> dict:
     batch = normalized_batch(spark, sf_dir, mapped=mapped)
     recs = R.resolve(batch)["records"]
     nf = materialize(normalize_features(mapped, etim_feature_df(spark), uom_df(spark)), "features")
-    feats = (nf.join(batch.select("client_id", "row_num", "sku"), ["client_id", "row_num"])
+    feats = (nf.join(batch.select("client_id", "ingest_id", "row_num", "sku"), ["client_id", "ingest_id", "row_num"])
              .withColumn("value_normalized", F.coalesce(F.col("value_converted").cast("string"),
                                                         F.col("value_text"), F.col("value_bool").cast("string"))))
     return {"records": recs, "products": R.upsert_products(recs), "crosswalk": R.upsert_crosswalk(recs),
@@ -119,9 +119,11 @@ def written_export(spark: SparkSession, sf_dir: str, fmt: str) -> tuple[str, str
         X.write_xml(X.etim_products(nested), path, "ETIM", "Product")
         return path, "xml", "Product"
     if fmt == "json":
-        meta = spark.createDataFrame([("c-all", AS_OF, "json")],
-                                     "client_id string, generated_at string, format string")
-        X.write_json(nested.drop("features"), meta, path)
+        nested = materialize(nested, "nested-products")
+        meta = nested.agg(F.count(F.lit(1)).alias("product_count")).select(
+            F.lit("c-all").alias("client_id"), F.lit(AS_OF).alias("generated_at"), F.lit("json").alias("format"),
+            F.lit("full").alias("profile"), F.lit(X.ETIM_VERSION).alias("etim_version"), "product_count")
+        X.write_json(nested, meta, path)
         return path + "/products", "json", None
     X.write_csv(X.export_table(c["products"], feats, "full", CODES), path)
     return path, "csv", None
@@ -137,12 +139,19 @@ def q_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).select("sku", "gtin", "price", "feature_EF001001")
 
 
-@register("s12_json_export", f"""{RESOLVE_SQL}
-SELECT sku, gtin, CAST(price AS DOUBLE) AS price FROM prod""")
+@register("s12_json_export", f"""{CATALOGUE_SQL}
+SELECT p.sku, p.gtin, CAST(p.price AS DOUBLE) AS price,
+  string_agg(pf.etim_feature || '=' || coalesce(pf.value_normalized, ''), ';' ORDER BY pf.etim_feature) AS feature_list,
+  any_value('9.0') AS etim_version, (SELECT count(*) FROM prod) AS product_count
+FROM prod p LEFT JOIN pf ON p.product_id = pf.product_id GROUP BY p.product_id, p.sku, p.gtin, p.price""")
 def q_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines export read back."""
+    """JSON lines export with its features and metadata, read back."""
     path, _, _ = written_export(spark, sf_dir, "json")
-    return spark.read.json(path).select("sku", "gtin", F.col("price").cast("double").alias("price"))
+    meta = spark.read.json(path.removesuffix("products") + "metadata").select("etim_version", "product_count", F.lit(1).alias("one"))
+    feature = F.transform("features", lambda x: F.concat(x["etim_feature"], F.lit("="), F.coalesce(x["value_normalized"], F.lit(""))))
+    return (spark.read.json(path).withColumn("one", F.lit(1)).join(F.broadcast(meta), "one")
+            .select("sku", "gtin", F.col("price").cast("double").alias("price"), F.array_join(feature, ";").alias("feature_list"),
+                    "etim_version", "product_count"))
 
 
 @register("s13_bmecat_xml", f"""{RESOLVE_SQL}
@@ -170,10 +179,11 @@ def q_etim_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("ETIMClassification.ClassCode").alias("class_code"))
 
 
-@register("s15_export_check")
+@register("s15_export_check", f"""{RESOLVE_SQL}
+SELECT 'xml' AS format, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_corrupt, true AS valid FROM prod""")
 def q_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Well-formedness, row count and size check of a written export
-    (file count and bytes depend on partitioning: rows-only check)."""
+    """Well-formedness and row count of a written export (file count
+    and bytes depend on partitioning and are left out)."""
     path, fmt, tag = written_export(spark, sf_dir, "bmecat")
     expected = catalogue(spark, sf_dir)["products"].count()
-    return X.read_back_check(spark, path, fmt, expected, row_tag=tag)
+    return X.read_back_check(spark, path, fmt, expected, row_tag=tag).select("format", "n_rows", "n_corrupt", "valid")

@@ -35,6 +35,18 @@ def _num(v: str) -> str:
     return f"(CASE WHEN regexp_full_match({s}, '{NUMBER_RE[1:-1]}') THEN TRY_CAST({s} AS DOUBLE) END)"
 
 
+def _units(v: str) -> str:
+    """Whole units of 1e-8 where the number is exact in them, else null."""
+    d = f"TRY_CAST({strip(f"replace({v}, ',', '')")} AS DECIMAL(20, 8))"
+    return f"(CASE WHEN CAST({d} AS DOUBLE) = {_num(v)} THEN CAST({d} * 100000000 AS HUGEINT) END)"
+
+
+#: Mean rounded half up at six places in whole numbers where every number is a
+#: plain decimal; sums of doubles depend on the order of the rows.
+MEAN_6 = ("CASE WHEN numeric_count > 0 AND exact_count = numeric_count THEN (CASE WHEN units < 0 THEN -1 ELSE 1 END) * "
+          "CAST((abs(units) * 2 + CAST(numeric_count AS HUGEINT) * 100) // (CAST(numeric_count AS HUGEINT) * 200) AS DOUBLE) / 1e6 "
+          "ELSE mean_value END")
+
 DATE_RE = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})"
 
 
@@ -53,6 +65,8 @@ st AS (
     min(CASE WHEN {clean} THEN {_num('value')} END) AS min_value,
     max(CASE WHEN {clean} THEN {_num('value')} END) AS max_value,
     avg(CASE WHEN {clean} THEN {_num('value')} END) AS mean_value,
+    sum(CASE WHEN {clean} THEN {_units('value')} END) AS units,
+    count(CASE WHEN {clean} THEN {_units('value')} END) AS exact_count,
     stddev_samp(CASE WHEN {clean} THEN {_num('value')} END) AS std_value,
     min(CASE WHEN {clean} THEN length(value) END) AS min_length,
     max(CASE WHEN {clean} THEN length(value) END) AS max_length,
@@ -95,7 +109,7 @@ def _stats_select(cols_sql_src: str, cols: list[str]) -> str:
 SELECT "column", data_type_guess,
   {r6("CASE WHEN data_type_guess = 'numeric' THEN min_value END")} AS min_value,
   {r6("CASE WHEN data_type_guess = 'numeric' THEN max_value END")} AS max_value,
-  {r6("CASE WHEN data_type_guess = 'numeric' THEN mean_value END")} AS mean_value,
+  {r6(f"CASE WHEN data_type_guess = 'numeric' THEN {MEAN_6} END")} AS mean_value,
   {r6("CASE WHEN data_type_guess = 'numeric' THEN std_value END")} AS std_value,
   CASE WHEN data_type_guess = 'string' THEN min_length END AS min_length,
   CASE WHEN data_type_guess = 'string' THEN max_length END AS max_length,
@@ -107,7 +121,7 @@ FROM g"""
 def q_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type guess, numeric stats, string-length stats."""
     p = P.profile_columns(table(spark, sf_dir, "events"), EVENT_COLS)
-    return round_doubles(p.select("column", "data_type_guess", "min_value", "max_value", "mean_value",
+    return round_doubles(p.select("column", "data_type_guess", "min_value", "max_value", F.col("mean_6").alias("mean_value"),
                                   "std_value", F.col("min_length").cast("bigint").alias("min_length"),
                                   F.col("max_length").cast("bigint").alias("max_length"), "avg_length"))
 
@@ -196,11 +210,11 @@ LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quan
 @register("a01_profile_lineitem", f"""{stats_sql(long_sql('lineitem', LINEITEM_COLS))},
 vc AS (SELECT "column", count(DISTINCT value) AS unique_count FROM long GROUP BY "column")
 SELECT g."column", total_count, null_count, unique_count, data_type_guess,
-       {r6("CASE WHEN data_type_guess = 'numeric' THEN mean_value END")} AS mean_value,
+       {r6(f"CASE WHEN data_type_guess = 'numeric' THEN {MEAN_6} END")} AS mean_value,
        {r6('1.0 - (null_count + empty_count) / CAST(total_count AS DOUBLE)')} AS completeness
 FROM g JOIN vc ON g."column" = vc."column" """)
 def q_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A01/A03/A05 on the largest table: every cell of lineitem profiled."""
     p = P.profile_columns(table(spark, sf_dir, "lineitem"), LINEITEM_COLS)
     return round_doubles(p.select("column", "total_count", "null_count", "unique_count", "data_type_guess",
-                                  "mean_value", "completeness"))
+                                  F.col("mean_6").alias("mean_value"), "completeness"))
