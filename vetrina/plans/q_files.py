@@ -10,7 +10,7 @@ runs discovery, detection, the grouped scan and row numbering on them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vetrina.functions import records as REC
@@ -235,6 +235,7 @@ def q_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 # CSV round trip: raw_product -> two supplier files -> detect -> scan -> number.
 # --------------------------------------------------------------------------
+SUPPLIER_PARTS = 4
 DIALECTS = {"c0": (";", "UTF-8"), "c1": (",", "ISO-8859-1")}
 
 
@@ -242,8 +243,9 @@ def write_supplier_files(spark: SparkSession, sf_dir: str) -> str:
     base = scratch_path(spark, "supplier-csv")
     raw = raw_product(spark, sf_dir)
     for client, (sep, enc) in DIALECTS.items():
-        (raw.filter(F.col("client_id") == client).orderBy("row_num").select(*RAW_PRODUCT_COLUMNS)
-         .coalesce(1).write.option("header", True).option("sep", sep).option("encoding", enc)
+        # several part files in the order of the rows
+        (raw.filter(F.col("client_id") == client).repartitionByRange(SUPPLIER_PARTS, "row_num")
+         .sortWithinPartitions("row_num").select(*RAW_PRODUCT_COLUMNS).write.option("header", True).option("sep", sep).option("encoding", enc)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .csv(f"{base}/{client}"))
     return base
@@ -265,10 +267,15 @@ def scan_supplier_files(spark: SparkSession, base: str) -> DataFrame:
     out = None
     for (sep, enc), paths in sorted(groups.items()):
         df = FS.number_rows(FS.read_delimited(spark, paths, sep, True, enc))
-        df = df.select(F.regexp_extract("file_path", r"/(c\d+)/", 1).alias("client_id"), "row_num",
-                       *RAW_PRODUCT_COLUMNS)
+        client = F.regexp_extract("file_path", r"/(c\d+)/", 1).alias("client_id")
+        df = df.select(client, "file_path", "row_num", *RAW_PRODUCT_COLUMNS)
         out = df if out is None else out.unionByName(df)
-    return out
+    # a client's rows go on counting from file to file (one row per file here)
+    counts = out.groupBy("client_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("client_id").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("client_id", "file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return (out.join(start, ["client_id", "file_path"])
+            .withColumn("row_num", F.col("row_num") + F.col("start")).drop("start", "file_path"))
 
 
 @register("s06_s08_csv_roundtrip", f"""WITH {raw_product_sql()}

@@ -3,8 +3,9 @@
 Events become pipeline envelopes: the user is the client, the event day the
 ingest, the event kind a pipeline stage; the idempotency key is client,
 stage and the event's minute.  Streaming queries write the envelopes as
-JSON files into the shared checkpoint folder, drain them with
-``availableNow`` into a batch-id sink, and read the final state back.
+JSON files into the shared checkpoint folder (one scan, several files per
+slice of event time), drain them with ``availableNow`` into a batch-id sink,
+and read the final state back.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from vetrina.sources.tables import table
 from vetrina.streaming import events as S
 
 AS_OF = "2024-01-31 00:00:00"
-# Files are written in event-time order (the file source takes them by
-# modification time), so a short watermark delay loses nothing.
-SOURCE_DELAY = "10 minutes"
+# Slices of event time are written one after another (the file source takes
+# files by modification time); files of one slice come in any order, so the
+# watermark waits for as long as a slice and nothing is lost.
+SLICES = 8
+FILES_PER_TRIGGER = 8
 STAGE_OF = {"signup": "file.received", "view": "file.profiled", "click": "mapping.applied",
             "purchase": "validation.results", "error": "normalization.done"}
 
@@ -50,19 +53,25 @@ ENV_SQL = ("env AS (SELECT CAST(event_id AS VARCHAR) AS event_id, "
            "AS idempotency_key FROM env)")
 
 
-def _stream_source(spark: SparkSession, sf_dir: str, chunks: int = 8):
-    """Envelopes as JSON files in ``chunks`` event-time slices, written one
-    after another so file modification order follows event time (as files
-    landing from a live producer would)."""
+def _stream_source(spark: SparkSession, sf_dir: str, chunks: int = SLICES) -> tuple[DataFrame, str]:
+    """The envelope stream and its watermark delay.  Envelopes are split into
+    ``chunks`` event-time slices in one scan; each slice is then written as
+    JSON by several tasks, in the order of time (as files landing from live
+    producers would)."""
     path = scratch_path(spark, "events-json")
     env = envelopes(spark, sf_dir)
     lo, hi = env.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
     step = max(1, (hi - lo) // chunks + 1)
     slot = F.floor((F.unix_micros("timestamp") - F.lit(lo)) / F.lit(step))
+    slices = scratch_path(spark, "event-slices")
+    (env.withColumn("slot", slot).repartitionByRange(2 * chunks, "timestamp")
+     .write.partitionBy("slot").parquet(slices))
     for i in range(chunks):
-        (env.filter(slot == i).coalesce(1).write.mode("overwrite")
-         .option("timestampFormat", S.TS_FORMAT).json(f"{path}/chunk={i:03d}"))
-    return S.read_events(spark, path, max_files_per_trigger=2)
+        part = spark.read.parquet(slices).filter(F.col("slot") == i).drop("slot")
+        part.write.option("timestampFormat", S.TS_FORMAT).json(f"{path}/chunk={i:03d}")
+    delay = f"{step // 1_000_000 + 60} seconds"
+    good, _ = S.quarantine_split(S.read_events(spark, path, max_files_per_trigger=FILES_PER_TRIGGER))
+    return good, delay
 
 
 def _drain(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
@@ -81,8 +90,8 @@ def _last_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
 SELECT event_type, count(*) AS n_events, count(k) AS n_with_k FROM env2 GROUP BY ALL""")
 def q_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelope stream parsed by type, quarantine split,
-    micro-batches of two files."""
-    ev, _ = S.quarantine_split(_stream_source(spark, sf_dir))
+    micro-batches of a few files."""
+    ev, _ = _stream_source(spark, sf_dir)
     t = S.typed(ev, {et: "k int, gate_status string" for et in STAGE_OF.values()})
     k = F.coalesce(*[F.col(f"p_{et.replace('.', '_')}.k") for et in STAGE_OF.values()])
     got = _drain(spark, t.select("event_type", k.alias("k")))
@@ -93,15 +102,15 @@ def q_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT idempotency_key FROM env2""")
 def q_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly one event per idempotency key (watermark dedup)."""
-    ev, _ = S.quarantine_split(_stream_source(spark, sf_dir))
-    return _drain(spark, S.dedup(ev, SOURCE_DELAY).select("idempotency_key")).select("idempotency_key")
+    ev, delay = _stream_source(spark, sf_dir)
+    return _drain(spark, S.dedup(ev, delay).select("idempotency_key")).select("idempotency_key")
 
 
 @register("t03_route_passing", f"""WITH {ENV_SQL}
 SELECT event_id, client_id, ingest_id FROM env2 WHERE event_type = 'validation.results' AND value >= 20""")
 def q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only passing validation results go on to normalisation."""
-    ev, _ = S.quarantine_split(_stream_source(spark, sf_dir))
+    ev, _ = _stream_source(spark, sf_dir)
     return _drain(spark, S.route_to_normalization(ev).select("event_id", "client_id", "ingest_id")) \
         .select("event_id", "client_id", "ingest_id")
 
@@ -124,9 +133,9 @@ def q_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T08 streaming: stateful aggregation with a watermark; the final
     state equals the batch twin."""
-    ev, _ = S.quarantine_split(_stream_source(spark, sf_dir))
-    got = _drain(spark, S.job_status_stream(ev, SOURCE_DELAY).drop("w"), mode="update")
-    return _last_per_key(got, ["client_id", "ingest_id"]).withColumn(
+    ev, delay = _stream_source(spark, sf_dir)
+    got = _drain(spark, S.job_status_stream(ev, delay).drop("w"), mode="update")
+    return S.fold_job_status(got).withColumn(
         "last_event", F.col("last_event").cast("timestamp_ntz"))
 
 
@@ -135,8 +144,8 @@ def q_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed state per job with an event-time timeout; jobs idle
     for an hour without finishing are reported stuck (rows-only check:
     timer firing depends on micro-batch boundaries)."""
-    ev, _ = S.quarantine_split(_stream_source(spark, sf_dir))
-    got = _drain(spark, S.stuck_jobs(ev, delay=SOURCE_DELAY))
+    ev, delay = _stream_source(spark, sf_dir)
+    got = _drain(spark, S.stuck_jobs(ev, delay=delay))
     return got.filter("stuck").select("client_id", "ingest_id", "status")
 
 
@@ -173,8 +182,8 @@ SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, event_type, coun
 FROM env2 GROUP BY ALL""")
 def q_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T10 streaming: events per stage per hour (update mode, final state)."""
-    ev, _ = S.quarantine_split(_stream_source(spark, sf_dir))
-    got = _drain(spark, S.throughput_stream(ev, delay=SOURCE_DELAY).select(F.col("w.start").alias("window_start"), "event_type",
+    ev, delay = _stream_source(spark, sf_dir)
+    got = _drain(spark, S.throughput_stream(ev, delay=delay).select(F.col("w.start").alias("window_start"), "event_type",
                                                        "n_events"), mode="update")
     return _last_per_key(got, ["window_start", "event_type"]).withColumn(
         "window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -201,11 +210,9 @@ FROM n GROUP BY ALL""")
 def q_latest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest node per (client, ingest, type) as streaming state (the
     twin of G03); the final state is read back from the batch-id sink."""
-    ev, _ = S.quarantine_split(_stream_source(spark, sf_dir))
-    got = _drain(spark, S.latest_nodes_stream(ev, SOURCE_DELAY).select(
-        "client_id", "ingest_id", "node_type", "created_at", F.col("l.timestamp").alias("updated_at"),
-        F.col("l.event_id").alias("last_event_id")), mode="update")
-    last = _last_per_key(got, ["client_id", "ingest_id", "node_type"])
+    ev, delay = _stream_source(spark, sf_dir)
+    got = _drain(spark, S.latest_nodes_stream(ev, delay).drop("w"), mode="update")
+    last = S.fold_latest_nodes(got).select("*", F.col("l.timestamp").alias("updated_at"), F.col("l.event_id").alias("last_event_id"))
     return last.select("client_id", "ingest_id", "node_type",
                        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
                        F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), "last_event_id")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from vetrina.operators.lineage import EVENT_NODE_TYPES as NODE_TYPES
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
 # ---------------------------------------------------------------------------
@@ -121,15 +123,24 @@ def job_status_batch(events: DataFrame) -> DataFrame:
 
 
 def job_status_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """T08 streaming: the same status per (client, ingest, day window),
-    kept in the state store and evicted by the watermark."""
+    """T08 streaming: the best status so far per (client, ingest, day window),
+    kept in the state store and evicted by the watermark.  The sink folds the
+    windows of a job with ``fold_job_status``, so a job that runs past
+    midnight has the status of the batch twin."""
     s = events.join(F.broadcast(status_map(events.sparkSession)), "event_type")
     return (s.withWatermark("timestamp", delay)
             .groupBy("client_id", "ingest_id", F.window("timestamp", "1 day").alias("w"))
-            .agg(F.max_by("status", F.struct("rank", "timestamp")).alias("status"),
+            .agg(F.max(F.struct("rank", "timestamp", "status")).alias("best"),
                  F.max("timestamp").alias("last_event")))
 
 
+def fold_job_status(emitted: DataFrame) -> DataFrame:
+    """One row per (client, ingest) from all rows a status stream emitted:
+    a maximum, so neither batches nor replays change it."""
+    return emitted.groupBy("client_id", "ingest_id").agg(
+        F.max("best")["status"].alias("status"), F.max("last_event").alias("last_event"))
+
+
 STUCK_SCHEMA = "client_id string, ingest_id string, status string, last_event timestamp, stuck boolean"
 STATE_SCHEMA = "status string, rank int, last_event timestamp"
 
@@ -208,20 +219,21 @@ def apply_retention(events: DataFrame, as_of) -> DataFrame:
     return events.filter(F.col("timestamp") >= F.lit(as_of).cast("timestamp") - F.make_interval(days=keep))
 
 
-NODE_TYPES = {
-    "file.received": "file", "file.profiled": "profile", "mapping.applied": "mapping",
-    "validation.results": "validation", "normalization.done": "normalization",
-    "persistence.upserted": "product", "export.completed": "export",
-}
-
-
 def latest_nodes_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Per (client, ingest, node type) the latest event's metadata --
     the keyed state the lineage tracker keeps in memory, here in the state
-    store, one day window per ingest so the watermark evicts it."""
+    store, one day window per ingest so the watermark evicts it; the sink
+    folds the windows with ``fold_latest_nodes``."""
     m = F.create_map(*[F.lit(x) for kv in NODE_TYPES.items() for x in kv])
     e = events.withColumn("node_type", F.coalesce(F.element_at(m, F.col("event_type")), F.lit("unknown")))
     return (e.withWatermark("timestamp", delay)
             .groupBy("client_id", "ingest_id", "node_type", F.window("timestamp", "1 day").alias("w"))
             .agg(F.max_by(F.struct("timestamp", "event_id", "payload"), F.struct("timestamp", "event_id"))
                  .alias("l"), F.min("timestamp").alias("created_at")))
+
+
+def fold_latest_nodes(emitted: DataFrame) -> DataFrame:
+    """One row per node from all rows a node stream emitted: the latest
+    event's metadata and the earliest creation over all windows."""
+    return emitted.groupBy("client_id", "ingest_id", "node_type").agg(
+        F.max(F.struct("l.timestamp", "l.event_id", "l.payload")).alias("l"), F.min("created_at").alias("created_at"))
