@@ -96,3 +96,14 @@ def test_admission_judges_whole_content(spark):
     got = {r.path[3:]: (r.valid, r.encoding) for r in FS.admission(files).collect()}
     assert got == {"late.csv": (True, "iso-8859-1"), "edge.csv": (True, "utf-8"), "tail.csv": (True, "iso-8859-1"), "wide.csv": (True, "utf-8")}
     assert FS.admission(files, max_size=10).filter("valid").count() == 1
+
+
+def test_status_folds_windows_of_a_job_past_midnight(spark):
+    rows = [("c", "i", "mapping.applied", "2024-01-01 23:50:00"), ("c", "i", "file.received", "2024-01-02 00:05:00")]
+    ev = spark.createDataFrame(rows, "client_id string, ingest_id string, event_type string, t string").selectExpr(
+        "client_id", "ingest_id", "event_type", "cast(t as timestamp) as timestamp", "t as event_id", "'{}' as payload")
+    assert S.job_status_stream(ev).count() == 2
+    assert S.fold_job_status(S.job_status_stream(ev)).collect() == S.job_status_batch(ev).collect()
+    late = ev.replace("mapping.applied", "file.received", "event_type")
+    node = S.fold_latest_nodes(S.latest_nodes_stream(late)).collect()
+    assert [(n.node_type, str(n.created_at)[:16], n.l.event_id) for n in node] == [("file", "2024-01-01 23:50", "2024-01-02 00:05:00")]

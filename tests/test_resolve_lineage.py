@@ -111,3 +111,25 @@ def test_ingest_graph_and_retention(spark):
     assert sorted(r.node_id for r in kn.collect()) == ["n2", "n3", "n4"]
     # e1 is recent but its source n1 was dropped: a dangling edge goes too
     assert sorted(r.edge_id for r in ke.collect()) == ["e2", "e3", "e4"]
+
+
+def test_arrival_order_across_ingests(spark):
+    # row numbers start at 0 in each ingest: the later ingest wins, whatever the partitioning
+    rows = [("c", "i1", 5, "A", None, "old", "b", "EC1", "1.00"), ("c", "i2", 0, "A", None, "new", "b", "EC1", None)]
+    for parts in (1, 4):
+        batch = spark.createDataFrame(rows[:: 1 if parts == 1 else -1], BATCH).repartition(parts)
+        a = R.upsert_products(R.resolve(batch)["records"]).first()
+        assert (a.product_name, a.price, a.ingest_id) == ("new", "1.00", "i2")
+
+
+def test_third_of_gtins_missing_spreads(spark):
+    rows = [("c", "i", i, f"S{i}", None if i % 3 == 0 else f"{i:08d}", f"name {i}", "b", "EC1", None) for i in range(300)]
+    recs = R.resolve(spark.createDataFrame(rows, BATCH))["records"]
+    assert recs.count() == 300 and recs.filter("action <> 'created' or score is not null").count() == 0
+
+
+def test_profile_keeps_columns_of_one_name_apart(spark):
+    from vetrina.operators.profile import profile_columns, structural_issues
+    p = profile_columns(spark.createDataFrame([("1", "x"), ("2", "y")], "a string, b string").toDF("a", "a"))
+    assert sorted((r.ordinal, r.data_type_guess, r.mean_6) for r in p.collect()) == [(0, "numeric", 1.5), (1, "string", None)]
+    assert [(r.issue, r.measure) for r in structural_issues(p).collect()] == [("duplicate_names", 1.0)]
