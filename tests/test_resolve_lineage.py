@@ -1,6 +1,7 @@
 """Properties: upsert idempotency, hot-GTIN blocking without pairs,
 lookup join = literal map, min-depth walk vs all paths."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from vetrina.operators import lineage as L
@@ -74,6 +75,24 @@ def test_walk_depth_bound(spark):
     roots = spark.createDataFrame([("n0", "n0")], "root string, node_id string")
     got = L.walk(chain, roots, "down", max_depth=10)
     assert got.agg(F.max("depth")).first()[0] == 10 and got.count() == 10
+    whole = L.walk(chain, roots, "down")                       # no bound unless the caller gives one
+    assert whole.agg(F.max("depth")).first()[0] == 15 and whole.count() == 15
+    assert L.walk(chain, roots, "down", all_paths=True).count() == 10
+
+
+def test_walk_ends_on_a_cycle(spark):
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source_node_id string, target_node_id string")
+    roots = spark.createDataFrame([("a", "a"), ("d", "d")], "root string, node_id string")
+    assert {tuple(r) for r in L.walk(ring, roots, "down").collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 3)}
+
+
+def test_updated_since_is_not_ignored(spark):
+    from vetrina.operators.export import export_filter
+    rows = spark.createDataFrame([("p1", "active", "2024-01-01"), ("p2", "active", "2024-02-01")], "product_id string, status string, updated_at string")
+    products = rows.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    assert [r.product_id for r in export_filter(products, None, "global", updated_since="2024-01-15").collect()] == ["p2"]
+    with pytest.raises(ValueError, match="updated_at"):
+        export_filter(products.drop("updated_at"), None, "global", updated_since="2024-01-15")
 
 
 def test_profile_sketch_mode_agrees_with_exact(spark):

@@ -17,7 +17,7 @@ assert s.conf.get("spark.checkpoint.dir", None) is None
 import __spark_entry__ as E
 assert E.entry(s).count() > 0
 q = E.queries()
-assert q["g01_ancestors"](s, "/root/testdata/sf0.001").count() > 0      # reliable checkpoints
+assert q["g01_ancestors"](s, "/root/testdata/sf0.001").count() > 0      # written levels
 assert q["e02_gtin_resolution"](s, "/root/testdata/sf0.001").count() > 0 # written cut points
 print("OK")
 """ % ROOT

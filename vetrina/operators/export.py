@@ -45,7 +45,9 @@ def export_filter(products: DataFrame, crosswalk: DataFrame | None, client_id: s
         p = p.filter(F.col("etim_class") == etim_class)
     if brand:
         p = p.filter(F.col("brand") == brand)
-    if updated_since is not None and "updated_at" in products.columns:
+    if updated_since is not None:
+        if "updated_at" not in products.columns:
+            raise ValueError("updated_since needs products with updated_at")
         p = p.filter(F.col("updated_at") >= F.lit(updated_since).cast("timestamp"))
     if client_id != "global" and crosswalk is not None:
         cw = crosswalk.filter(F.col("client_id") == client_id).select("product_id")

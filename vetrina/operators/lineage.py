@@ -1,12 +1,10 @@
 """Lineage graph.
 
-Nodes and edges are two DataFrames.  Upstream / downstream queries walk at
-most ``max_depth`` levels for many roots at once.  The default walk shares
-work between roots: only distinct first-hop nodes are walked further
-(recursively), and the root x ancestor expansion is one final join with a
-minimum-depth aggregation.  The compat walk keeps one row per path.  Each
-level is persisted, and every few levels checkpointed to the shared
-folder, so a lost executor recomputes one level, not the whole walk.
+Nodes and edges are two DataFrames.  Upstream / downstream queries walk
+many roots at once, breadth first, until nothing new is found.  The default
+walk shares work between roots with a common first hop; the compat walk
+keeps one row per path.  Edges and levels are written to the shared folder,
+so a lost executor reads a level again instead of repeating the walk.
 """
 
 from __future__ import annotations
@@ -14,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vetrina.session import cut_lineage
+from vetrina.session import materialize
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
@@ -38,7 +36,7 @@ EDGE_RULES = [
     ("persistence.upserted", "normalization", "generates"),
     ("export.completed", "product", "derives_from"),
 ]
-MAX_DEPTH = 10
+COMPAT_DEPTH = 10
 RETENTION_DAYS = 90
 
 
@@ -85,47 +83,35 @@ def derive_edges(nodes: DataFrame, events: DataFrame) -> DataFrame:
             .dropDuplicates(["source_node_id", "target_node_id", "edge_type"]))
 
 
-def walk(edges: DataFrame, roots: DataFrame, direction: str = "up", max_depth: int = MAX_DEPTH,
-         all_paths: bool = False, checkpoint_every: int = 3, shared: bool = True) -> DataFrame:
-    """G01/G02 (J09/J10): nodes reachable from each root within
-    ``max_depth`` levels.
+def walk(edges: DataFrame, roots: DataFrame, direction: str = "up", max_depth: int | None = None,
+         all_paths: bool = False) -> DataFrame:
+    """G01/G02 (J09/J10): nodes reachable from each root, within
+    ``max_depth`` levels if that is given.
 
     ``roots``: (root, node_id).  ``up`` follows target -> source (ancestors),
     ``down`` source -> target (descendants).  Default: one row per (root,
-    node) at its minimum depth, computed by the shared walk.  ``all_paths``
-    (compat) keeps one row per path like the reference's ``UNION ALL``
-    recursion, by the per-root frontier walk."""
-    frm, to = ("target_node_id", "source_node_id") if direction == "up" else ("source_node_id", "target_node_id")
-    e = edges.select(F.col(frm).alias("node_id"), F.col(to).alias("next_id"))
-    if shared and not all_paths:
-        # The edge table is read once per level: keep it (spilling to disk).
-        return _walk_shared(e.persist(), roots.select("root", "node_id"), max_depth, 1, checkpoint_every)
-    return _walk_frontier(e, roots, max_depth, all_paths, checkpoint_every)
-
-
-def _walk_shared(e: DataFrame, roots: DataFrame, max_depth: int, level: int,
-                 checkpoint_every: int) -> DataFrame:
-    """Minimum depths by sharing work between roots with common ancestors.
+    node) at its minimum depth, until no new node is found; cycles end since
+    a node is visited once.  ``all_paths`` (compat) keeps one row per path
+    like the reference's ``UNION ALL`` recursion, ``COMPAT_DEPTH`` levels
+    deep.
 
     dist(r, a) = 1 + min over first hops p of dist(p, a), with dist(p, p) =
-    0.  The first hop is taken per root; the rest of the walk runs once
-    per *distinct* first-hop node (all orders of a customer share the
-    customer's ancestors), recursively, and is joined back at the end --
-    so the root x ancestor expansion happens once, at the last join,
-    instead of at every level."""
-    hop = (roots.join(e, "node_id").select("root", F.col("next_id").alias("node_id"))
-           .filter(F.col("root") != F.col("node_id")).distinct())
-    hop = cut_lineage(hop) if level % checkpoint_every == 0 else hop.persist()
+    0.  The first hop is taken per root; the rest of the walk runs once per
+    *distinct* first-hop node (all orders of a customer share the customer's
+    ancestors) and is joined back at the end, so the root x ancestor
+    expansion happens once."""
+    frm, to = ("target_node_id", "source_node_id") if direction == "up" else ("source_node_id", "target_node_id")
+    e = materialize(edges.select(F.col(frm).alias("node_id"), F.col(to).alias("next_id")), "walk-edges")
+    if all_paths:
+        return _levels(e, roots, COMPAT_DEPTH if max_depth is None else max_depth, True)
+    hop = materialize(roots.join(e, "node_id").select("root", F.col("next_id").alias("node_id"))
+                      .filter(F.col("root") != F.col("node_id")).distinct(), "walk-hop")
     first = hop.withColumn("depth", F.lit(1))
-    if max_depth <= 1:
+    if max_depth is not None and max_depth <= 1:
         return first
     starts = hop.select(F.col("node_id").alias("root"), "node_id").distinct()
-    if starts.isEmpty():
-        return first
-    # ``sub`` is referenced exactly once below, so the plan grows linearly
-    # with the depth of the walk.
-    sub = _walk_shared(e, starts, max_depth - 1, level + 1, checkpoint_every)
-    via = (hop.alias("h").join(sub.alias("s"), F.col("h.node_id") == F.col("s.root"))
+    rest = _levels(e, starts, None if max_depth is None else max_depth - 1, False)
+    via = (hop.alias("h").join(rest.alias("s"), F.col("h.node_id") == F.col("s.root"))
            .select(F.col("h.root").alias("root"), F.col("s.node_id").alias("node_id"),
                    (F.col("s.depth") + 1).alias("depth"))
            .filter(F.col("root") != F.col("node_id")))
@@ -133,35 +119,24 @@ def _walk_shared(e: DataFrame, roots: DataFrame, max_depth: int, level: int,
             .agg(F.min("depth").cast("int").alias("depth")))
 
 
-def _walk_frontier(e: DataFrame, roots: DataFrame, max_depth: int, all_paths: bool,
-                   checkpoint_every: int) -> DataFrame:
-    """Per-root breadth-first walk (compat ``all_paths`` and reference)."""
+def _levels(e: DataFrame, roots: DataFrame, max_depth: int | None, all_paths: bool) -> DataFrame:
+    """Breadth-first walk per root.  Each level is a written table, so a
+    lost executor reads it again and nothing stays cached."""
     frontier = roots.select("root", "node_id", F.lit(0).alias("depth"))
-    visited = frontier.select("root", "node_id")
-    parts = []
-    for level in range(1, max_depth + 1):
+    none = found = frontier.where(F.lit(False))
+    start, level = roots.select("root", "node_id"), 0
+    while max_depth is None or level < max_depth:
+        level += 1
         step = frontier.join(e, "node_id").select("root", F.col("next_id").alias("node_id"),
                                                   F.lit(level).alias("depth"))
         if not all_paths:
-            step = step.dropDuplicates(["root", "node_id"]).join(visited, ["root", "node_id"], "left_anti")
-        # Each level is computed once: persisted (memory, spilling to disk)
-        # and, every few levels, checkpointed to the shared folder so a lost
-        # executor does not replay the whole walk.
-        step = cut_lineage(step) if level % checkpoint_every == 0 else step.persist()
-        if step.isEmpty():
+            visited = start.unionByName(found.select("root", "node_id"))
+            step = step.distinct().join(visited, ["root", "node_id"], "left_anti")
+        frontier = materialize(step, "walk-level")
+        if frontier.isEmpty():
             break
-        parts.append(step)
-        frontier = step
-        if not all_paths:
-            visited = visited.unionByName(step.select("root", "node_id"))
-            if level % checkpoint_every == 0:
-                visited = cut_lineage(visited)
-    if not parts:
-        return roots.select("root", "node_id", F.lit(0).alias("depth")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found = frontier if found is none else found.unionByName(frontier)
+    return found
 
 
 def impact_summary(descendants: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -26,7 +26,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from vetrina.session import bounded_broadcast
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,15 +158,15 @@ def lookup_join(df: DataFrame, column: str, table: DataFrame, out: str,
 
     Two left joins: on the exact stripped key, then on the lower-cased key.
     The first entry by ``ordinal`` wins; both sides are aggregated to one
-    row per key, so no row is multiplied.  Each side is broadcast only when its row count
-    is within the reference-data bound, otherwise shuffled."""
+    row per key, so no row is multiplied.  Spark's own size threshold decides whether a
+    side is broadcast."""
     key = py_strip(F.col(f"`{column}`"))
     exact = table.groupBy(F.col("key").alias("__k1")).agg(F.min_by("value", "ordinal").alias("__v1"))
     ci = (table.groupBy(F.lower("key").alias("__k2"))
           .agg(F.min_by("value", "ordinal").alias("__v2")))
     j = (df.withColumn("__key", key)
-         .join(bounded_broadcast(exact), F.col("__key") == F.col("__k1"), "left")
-         .join(bounded_broadcast(ci), F.lower(F.col("__key")) == F.col("__k2"), "left"))
+         .join(exact, F.col("__key") == F.col("__k1"), "left")
+         .join(ci, F.lower(F.col("__key")) == F.col("__k2"), "left"))
     fallback = F.lit(default_value) if default_value is not None else F.col(f"`{column}`")
     res = (F.when(F.col("__k1").isNotNull(), F.col("__v1"))
             .when(F.col("__k2").isNotNull(), F.col("__v2")).otherwise(fallback))

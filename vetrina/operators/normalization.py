@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from vetrina.functions.normalize import (normalize_currency, normalize_gtin, normalize_numeric,
                                          normalize_price, normalize_text, typed_value)
-from vetrina.session import bounded_broadcast
 
 PRICE_FIELDS = ("price", "list_price", "cost_price")
 DIMENSION_FIELDS = ("length", "width", "height", "diameter", "weight")
@@ -68,12 +67,12 @@ def normalize_features(mapped: DataFrame, etim_features: DataFrame, uom: DataFra
       compat); no pair -> unchanged with the source unit.
     """
     fl = features_long(mapped)
-    info = bounded_broadcast(etim_features.select(
+    info = etim_features.select(
         F.col("feature_code").alias("etim_feature"), "data_type",
-        F.col("unit").alias("standard_unit")))
-    units = bounded_broadcast(uom.filter(F.coalesce(F.col("is_active"), F.lit(True))).select(
+        F.col("unit").alias("standard_unit"))
+    units = uom.filter(F.coalesce(F.col("is_active"), F.lit(True))).select(
         F.col("source_unit").alias("unit_raw"), F.col("target_unit").alias("standard_unit"),
-        "conversion_factor", "conversion_offset"))
+        "conversion_factor", "conversion_offset")
     src = F.col("value_raw") if compat else F.coalesce(F.col("value_transformed"), F.col("value_raw"))
     j = (fl.join(info, "etim_feature", "left")
            .withColumn("typed", typed_value(src, F.col("data_type")))

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vetrina.operators.profile import top_k_per_group
-from vetrina.session import bounded_broadcast
 
 GLOBAL_CLIENT = "global"
 
@@ -26,7 +25,7 @@ def tenant_scope(df: DataFrame, client_id: str, column: str = "client_id") -> Da
 def job_report(results: DataFrame, jobs: DataFrame, rules: DataFrame, files: DataFrame) -> DataFrame:
     """J01 results ⋈ jobs, J02 results ⟕ rules, J03 files ⋈ jobs, J04
     jobs ⟕ files: per job its file facts and issue counts by rule type."""
-    r = results.join(bounded_broadcast(rules.select(F.col("rule_id"), F.col("rule_type").alias("rtype"))),
+    r = results.join(rules.select(F.col("rule_id"), F.col("rule_type").alias("rtype")),
                      "rule_id", "left")                                               # J02
     per_job = r.groupBy("job_id").agg(
         F.count("*").alias("n_issues"),

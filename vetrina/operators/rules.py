@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vetrina.functions.normalize import gtin_check_ok, is_blank, py_strip, python_float
-from vetrina.session import bounded_broadcast
 
 SEVERITY_RANK = {"ERROR": 3, "WARN": 2, "INFO": 1}
 
@@ -185,14 +184,14 @@ def with_mandatory_features(mapped: DataFrame, rules: list[dict],
 
     Class-feature data is reference data: pre-aggregated per class to one
     row (class -> array of mandatory codes for the features the etim rules
-    name) and joined by a size-checked broadcast."""
+    name) and joined by class; Spark's own size threshold decides on a broadcast."""
     etim_feats = sorted({r["target_name"] for r in rules if r["rule_type"] == "etim"})
     if not etim_feats or class_features is None:
         return mapped
     per_class = (class_features.filter(F.col("is_mandatory") & F.col("feature_code").isin(*etim_feats))
                  .groupBy("class_code")
                  .agg(F.array_sort(F.collect_set("feature_code")).alias("__mandatory")))
-    return (mapped.join(bounded_broadcast(per_class),
+    return (mapped.join(per_class,
                         mapped["product"]["etim_class"] == per_class["class_code"], "left")
             .drop("class_code"))
 

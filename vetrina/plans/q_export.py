@@ -20,17 +20,20 @@ AS_OF = "2024-01-31 00:00:00"
 CODES = ["EF001001", "EF001003"]
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> dict:
-    """First import: records, products, crosswalk and feature values."""
+def catalogue(spark: SparkSession, sf_dir: str, features: bool = True) -> dict:
+    """First import: records, products, crosswalk and, if asked, feature
+    values."""
     mapped = mapped_full(spark, sf_dir)
     batch = normalized_batch(spark, sf_dir, mapped=mapped)
     recs = R.resolve(batch)["records"]
+    out = {"records": recs, "products": R.upsert_products(recs), "crosswalk": R.upsert_crosswalk(recs)}
+    if not features:
+        return out
     nf = materialize(normalize_features(mapped, etim_feature_df(spark), uom_df(spark)), "features")
     feats = (nf.join(batch.select("client_id", "ingest_id", "row_num", "sku"), ["client_id", "ingest_id", "row_num"])
              .withColumn("value_normalized", F.coalesce(F.col("value_converted").cast("string"),
                                                         F.col("value_text"), F.col("value_bool").cast("string"))))
-    return {"records": recs, "products": R.upsert_products(recs), "crosswalk": R.upsert_crosswalk(recs),
-            "features": R.upsert_features(feats, recs)}
+    return out | {"features": R.upsert_features(feats, recs)}
 
 
 # Oracle: products (prod) and per-product feature values (pf) of the import.
@@ -50,7 +53,7 @@ WHERE p.etim_class = 'EC000123'
   AND EXISTS (SELECT 1 FROM r WHERE r.product_id = p.product_id AND r.client_id = 'c1')""")
 def q_export_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client semi-join on the crosswalk + class filter."""
-    c = catalogue(spark, sf_dir)
+    c = catalogue(spark, sf_dir, features=False)
     return X.export_filter(c["products"], c["crosswalk"], "c1", etim_class="EC000123").select(
         "product_id", "sku", "brand")
 
@@ -60,7 +63,7 @@ SELECT product_id, sku, CAST(seq AS BIGINT) AS seq FROM prod ORDER BY seq DESC,
 def q_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest N products (latest source row as recency); N is the
     export size, a feature of the operator."""
-    c = catalogue(spark, sf_dir)
+    c = catalogue(spark, sf_dir, features=False)
     seq = c["records"].groupBy("product_id").agg(F.max("last_row").cast("bigint").alias("seq"))
     return X.newest(c["products"].join(seq, "product_id"), 25, order_col="seq").select(
         "product_id", "sku", "seq")
@@ -84,7 +87,7 @@ def q_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT product_id, sku, gtin, product_name, price, currency FROM prod""")
 def q_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pricing profile columns."""
-    return X.export_table(catalogue(spark, sf_dir)["products"], None, "pricing")
+    return X.export_table(catalogue(spark, sf_dir, features=False)["products"], None, "pricing")
 
 
 @register("r04_nested_features", f"""{CATALOGUE_SQL}
@@ -104,9 +107,9 @@ def q_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("feature_list"))
 
 
-def written_export(spark: SparkSession, sf_dir: str, fmt: str) -> tuple[str, str, str | None]:
+def written_export(spark: SparkSession, sf_dir: str, fmt: str, c: dict | None = None) -> tuple[str, str, str | None]:
     """Write one export format into the shared checkpoint folder."""
-    c = catalogue(spark, sf_dir)
+    c = c or catalogue(spark, sf_dir)
     feats = X.feature_values(c["features"])
     nested = X.nested_products(c["products"], feats)
     path = scratch_path(spark, f"export-{fmt}")
@@ -154,29 +157,50 @@ def q_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "etim_version", "product_count"))
 
 
-@register("s13_bmecat_xml", f"""{RESOLVE_SQL}
-SELECT sku AS supplier_aid, gtin AS ean, brand AS manufacturer, etim_class AS class_id,
-       CASE WHEN price <> 0 THEN CAST(price AS VARCHAR) END AS price_amount FROM prod""")
+# Features are written for classified products only.
+_XML_FEATURES = """CASE WHEN p.etim_class <> '' THEN string_agg(pf.etim_feature || '=' || coalesce(pf.value_normalized, '') || ' ' || coalesce(pf.unit_normalized, ''), ';' ORDER BY pf.etim_feature) END"""
+
+
+def _xml_features(features: str, code: str, value: str, unit: str):
+    text = lambda x, c: F.coalesce(x[c], F.lit(""))
+    return F.array_join(F.transform(features, lambda x: F.concat(x[code], F.lit("="), text(x, value), F.lit(" "), text(x, unit))), ";")
+
+
+@register("s13_bmecat_xml", f"""{CATALOGUE_SQL}
+SELECT p.sku AS supplier_aid, p.gtin AS ean, p.brand AS manufacturer, p.etim_class AS class_id,
+       CASE WHEN p.price <> 0 THEN CAST(p.price AS VARCHAR) END AS price_amount, {_XML_FEATURES} AS feature_list
+FROM prod p LEFT JOIN pf ON p.product_id = pf.product_id
+GROUP BY p.product_id, p.sku, p.gtin, p.brand, p.etim_class, p.price""")
 def q_bmecat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BMEcat ARTICLE elements written as XML and parsed back."""
     path, _, tag = written_export(spark, sf_dir, "bmecat")
-    a = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).load(path)
+    a = spark.read.format("xml").option("rowTag", tag).schema(
+        "SUPPLIER_AID string, ARTICLE_DETAILS struct<EAN:string, MANUFACTURER_NAME:string, "
+        "CLASSIFICATION_SYSTEM:struct<CLASSIFICATION_GROUP:struct<CLASSIFICATION_GROUP_ID:string>>, "
+        "FEATURE_SYSTEM:struct<FEATURE:array<struct<FNAME:string, FVALUE:string, FUNIT:string>>>>, "
+        "ARTICLE_PRICE_DETAILS struct<ARTICLE_PRICE:struct<PRICE_AMOUNT:string>>").load(path)
     return a.select(F.col("SUPPLIER_AID").alias("supplier_aid"),
                     F.col("ARTICLE_DETAILS.EAN").alias("ean"),
                     F.col("ARTICLE_DETAILS.MANUFACTURER_NAME").alias("manufacturer"),
                     F.col("ARTICLE_DETAILS.CLASSIFICATION_SYSTEM.CLASSIFICATION_GROUP.CLASSIFICATION_GROUP_ID")
                     .alias("class_id"),
-                    F.col("ARTICLE_PRICE_DETAILS.ARTICLE_PRICE.PRICE_AMOUNT").alias("price_amount"))
+                    F.col("ARTICLE_PRICE_DETAILS.ARTICLE_PRICE.PRICE_AMOUNT").alias("price_amount"),
+                    _xml_features("ARTICLE_DETAILS.FEATURE_SYSTEM.FEATURE", "FNAME", "FVALUE", "FUNIT").alias("feature_list"))
 
 
-@register("s14_etim_xml", f"""{RESOLVE_SQL}
-SELECT sku AS supplier_aid, etim_class AS class_code FROM prod""")
+@register("s14_etim_xml", f"""{CATALOGUE_SQL}
+SELECT p.sku AS supplier_aid, p.gtin, p.product_name, p.brand, p.etim_class AS class_code, {_XML_FEATURES} AS feature_list
+FROM prod p LEFT JOIN pf ON p.product_id = pf.product_id
+GROUP BY p.product_id, p.sku, p.gtin, p.product_name, p.brand, p.etim_class""")
 def q_etim_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ETIM Product elements written as XML and parsed back."""
     path, _, tag = written_export(spark, sf_dir, "etim")
-    p = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False).load(path)
-    return p.select(F.col("SupplierAID").alias("supplier_aid"),
-                    F.col("ETIMClassification.ClassCode").alias("class_code"))
+    p = spark.read.format("xml").option("rowTag", tag).schema(
+        "SupplierAID string, GTIN string, ProductName string, Brand string, ETIMClassification struct<ClassCode:string, "
+        "Features:struct<Feature:array<struct<FeatureCode:string, Value:string, Unit:string>>>>").load(path)
+    return p.select(F.col("SupplierAID").alias("supplier_aid"), F.col("GTIN").alias("gtin"), F.col("ProductName").alias("product_name"),
+                    F.col("Brand").alias("brand"), F.col("ETIMClassification.ClassCode").alias("class_code"),
+                    _xml_features("ETIMClassification.Features.Feature", "FeatureCode", "Value", "Unit").alias("feature_list"))
 
 
 @register("s15_export_check", f"""{RESOLVE_SQL}
@@ -184,6 +208,7 @@ SELECT 'xml' AS format, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_corrupt, true
 def q_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Well-formedness and row count of a written export (file count
     and bytes depend on partitioning and are left out)."""
-    path, fmt, tag = written_export(spark, sf_dir, "bmecat")
-    expected = catalogue(spark, sf_dir)["products"].count()
+    c = catalogue(spark, sf_dir)
+    path, fmt, tag = written_export(spark, sf_dir, "bmecat", c)
+    expected = c["products"].count()
     return X.read_back_check(spark, path, fmt, expected, row_tag=tag).select("format", "n_rows", "n_corrupt", "valid")

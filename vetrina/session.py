@@ -1,13 +1,13 @@
 """Session helpers: building a session, the shared checkpoint folder, and
-size-checked broadcasts.
+written cut points.
 
 Nothing here is specific to one operator.  The rules every module follows:
 
 * the checkpoint folder comes from ``spark.checkpoint.dir`` of the running
   session (a shared folder on a cluster); only when it is unset -- tests,
   local runs -- do we pick a scratch folder ourselves;
-* a side is broadcast only after its row count was checked against a bound,
-  otherwise the planner is left to pick a shuffle join.
+* no join strategy is fixed by a row count: Spark's byte thresholds and AQE
+  choose between broadcast and shuffle.
 """
 
 from __future__ import annotations
@@ -17,13 +17,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Broadcast bound for reference data (ETIM classes/features, units, rules,
-# template mappings).  Real ETIM releases hold tens of thousands of
-# class-feature pairs; one million rows of short strings is still far below
-# the default 8 GB broadcast ceiling.
-REFERENCE_BROADCAST_ROWS = 1_000_000
 # Where the local fallback checkpoint folder is remembered (tests only).
 SCRATCH_KEY = "vetrina.scratch.dir"
 
@@ -80,27 +74,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = REFERENCE_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap on a
-    large side; beyond the bound the frame is returned unhinted and the
-    planner (with AQE) chooses a shuffle join.
-    """
-    if df.isLocal():
-        # Built from driver-side literals: its size is already bounded by
-        # the driver's memory and known without a job.
-        return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut point: write ``df`` as Parquet into the shared checkpoint folder
     and read it back.
