@@ -15,6 +15,7 @@ columns are neither read nor returned, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -118,7 +119,7 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: st
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 found = words(text)
                 gone = covered(len(found), spans, window)
-                kept.append(b" ".join(w for w, g in zip(found, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(found))
+                kept.append(b" ".join(compress(found, (~gone).tolist())))
                 n_words.append(len(found))
                 n_removed.append(int(gone.sum()))
             yield pa.RecordBatch.from_arrays(

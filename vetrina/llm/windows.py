@@ -160,8 +160,9 @@ def maybe_repeated(h: np.ndarray, sketch) -> np.ndarray:
     bits, rows = sketch
     ok = np.ones(len(h), bool)
     for row, bitmap in enumerate(rows):
-        cell = _cells(h, row, bits)
-        ok &= (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+        at = np.flatnonzero(ok)  # a later row asks only what is still open
+        cell = _cells(h[at], row, bits)
+        ok[at] = (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
     return ok
 
 
