@@ -240,3 +240,11 @@ def test_pipeline_stages_keep_columns(spark, docs):
 def test_query_matches_oracle(spark, duck, name):
     r = compare(spark, duck, name, SMALL, QUERIES, ORACLES)
     assert r["status"] == "match", r
+
+
+def test_components(spark):
+    from vetrina.llm.graph import components
+    chain, star, twice = [(i, i + 1) for i in range(30)], [(102, 101), (103, 101)], [(205, 201), (206, 201), (207, 206), (207, 206), (208, 208)]
+    got = sorted(tuple(r) for r in components(spark.createDataFrame(chain + star + twice, "a long, b long")).collect())
+    assert got == [(i, 0) for i in range(1, 31)] + [(102, 101), (103, 101), (205, 201), (206, 201), (207, 201)]
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
