@@ -192,6 +192,24 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
     assert len({r.canonical for r in out}) == 5 and sorted(r.attempt for r in out) == [0, 1, 1, 1, 1]
 
 
+def test_pii_full_formats_end(spark, monkeypatch):
+    real = pii.surrogate
+
+    def bounded(key, kind, value, attempt):
+        assert attempt < 40, (kind, value)
+        return real(key, kind, value, attempt)
+
+    monkeypatch.setattr(pii, "surrogate", bounded)
+    values = [("ip", f"192.168.{i}.{j}") for i in range(10) for j in range(10)] + [("email", "_@_._"), ("secret", "sk-" + "_" * 19 + "1")]
+    values += [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = pii.distinct_surrogates(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
+    assert len(out) == len({r.canonical for r in out}) == len(values) and not {r.canonical for r in out} & {v for _, v in values}
+    ips = [r.canonical for r in out if r.kind == "ip"]
+    assert all(s.startswith(("192.168.", "10.", "fd")) and pii.dress("ip", s, "192.168.1.1") == s for s in ips)
+    for kind, shown, canonical in (("phone", "+49 30 123456", "+4912345678901"), ("ssn", "123-45-6789", "1234567890"), ("email", "_@_._", "_x@_._")):
+        assert pii.dress(kind, canonical, shown).replace(" ", "").replace("-", "") == canonical
+
+
 def test_toxicity_held_out(spark):
     texts, labels = [], []
     for i in range(600):

@@ -12,7 +12,11 @@ codes, the gender a title or given name implies).
 * **Distinctness.** The distinct entities of the whole corpus are grouped by
   surrogate; where two entities share one, or a surrogate is itself an
   entity of the corpus, all but the smallest entity draw again, until no
-  collision is left.
+  collision is left.  Draws from attempt ``WIDER`` on come from larger
+  spaces, so that this ends however full a format is: one more character
+  each time, and for addresses any octets of the private range (else any
+  public address), then 10.0.0.0/8 (else 240.0.0.0/4), and at last the
+  private IPv6 range fd00::/8, which no IPv4 corpus fills.
 
 Texts without any trigger pass straight through; only the others shuffle.
 
@@ -42,6 +46,7 @@ from vetrina.llm.common import materialize, text_key, whole_text
 
 KEY = b"vetrina surrogate key"  # a default for tests; pass a secret one
 RESULT = ("n_entities", "entities")
+WIDER = 4  # attempts that keep an entity's format exactly
 
 # Titles by gender, given names by script and gender.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Lord", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Señorita", "Lady", "Госпожа"),
@@ -158,39 +163,55 @@ class _Draws:
         return "".join(out)
 
 
+def _address(draw: _Draws, value: str, attempt: int) -> str:
+    octets = value.split(".")
+    private = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] or octets[0] == "172" and 16 <= int(octets[1]) < 32 else 0
+    if attempt < WIDER:
+        low, high = {1: 0, 2: 10, 3: 100}, {1: 10, 2: 100, 3: 256}
+        return ".".join(o if i < private else str(low[len(o)] + draw.below(high[len(o)] - low[len(o)])) for i, o in enumerate(octets))
+    if attempt >= WIDER + 4:
+        return "fd" + ":".join(f"{draw.below(1 << 16):04x}" for _ in range(8))[2:]
+    if attempt >= WIDER + 2:
+        head = ["10"] if private else [str(240 + draw.below(16))]
+    elif private:
+        head = [octets[0], *(["168"] if octets[0] == "192" else [str(16 + draw.below(16))] if private == 2 else [])]
+    else:
+        public = [n for n in range(1, 224) if n not in (10, 127, 172, 192)]
+        head = [str(public[draw.below(len(public))])]
+    return ".".join(head + [str(draw.below(256)) for _ in range(4 - len(head))])
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """Canonical form of the replacement of an entity's canonical form."""
     draw = _Draws(key, kind, value, attempt)
+    more = max(0, attempt - WIDER + 1)  # characters beyond the entity's own
     if kind == "email":
         local, _, host = value.rpartition("@")
         name, _, top = host.rpartition(".")
-        return f"{draw.like(local)}@{_Draws(key, 'host', name, attempt // 8).like(name)}.{top}"
+        return f"{draw.like(local + 'a' * more)}@{_Draws(key, 'host', name, attempt // 8).like(name)}.{top}"
     if kind == "ip":
-        octets = value.split(".")
-        private = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] or octets[0] == "172" and 16 <= int(octets[1]) < 32 else 0
-        low, high = {1: 0, 2: 10, 3: 100}, {1: 10, 2: 100, 3: 256}
-        return ".".join(o if i < private else str(low[len(o)] + draw.below(high[len(o)] - low[len(o)])) for i, o in enumerate(octets))
+        return _address(draw, value, attempt)
     if kind == "card":
-        new = value[0] + draw.like(value[1:-1])
+        new = value[0] + draw.like(value[1:-1] + "0" * more)
         return new + str((-_luhn(new + "0") + (0 if _luhn(value) == 0 else 1 + draw.below(9))) % 10)
     if kind == "iban":
-        body = value[:2] + "00" + draw.like(value[4:])
+        body = value[:2] + "00" + draw.like(value[4:] + "0" * more)
         return f"{body[:2]}{98 - _iban_rest(body):02d}{body[4:]}"
     if kind == "ssn":
-        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
+        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}" + draw.like("0" * more)
     if kind == "phone":
         keep = 2 if value[0] == "+" else 0  # the sign and the country code's first digit
-        return value[:keep] + draw.like(value[keep:])
+        return value[:keep] + draw.like(value[keep:] + "0" * more)
     if kind == "secret":
         prefix = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-|", value)[0]
-        rest = value[len(prefix):]
+        rest = value[len(prefix):] + "0" * more
         if re.fullmatch("[0-9a-f]+", rest):
             return prefix + "".join("0123456789abcdef"[draw.below(16)] for _ in rest)
         return prefix + draw.like(rest)
     role, *gender, script = kind.split("-")
     syllables = _SYLLABLES.get(script)
     if syllables is None:
-        return draw.like(value)
+        return draw.like(value + value[-1] * more)
     if role == "given":
         names = GIVEN[script, gender[0]]
         more = "".join(syllables[draw.below(len(syllables))] for _ in range(attempt))
@@ -202,13 +223,15 @@ def dress(kind: str, canonical: str, as_in: str) -> str:
     """A canonical surrogate in the format of one mention."""
     if kind.startswith(("given", "family")):
         return canonical.upper() if as_in.isupper() and len(as_in) > 1 else canonical.capitalize() if as_in[0].isupper() else canonical
+    if kind == "ip" or kind in ("email", "secret") and len(canonical) != len(as_in):
+        return canonical.upper() if kind == "email" and as_in.isupper() else canonical
     out, rest = [], iter(c for c in canonical if c.isalnum())
     for c in as_in:
         if c.isalnum():
             new = next(rest)
             c = new.upper() if c.isupper() else new
         out.append(c)
-    return "".join(out)
+    return "".join(out) + "".join(rest)
 
 
 # -- on Spark -----------------------------------------------------------
