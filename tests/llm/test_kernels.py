@@ -137,6 +137,22 @@ def test_surrogates_keep_type_and_format():
     assert pii.surrogate(b"other", "card", "4111111111111111", 0) != new["card", "4111111111111111"]
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Dr. J. Smith came. Smith's aunt and SMITH, a blacksmith.", ["J.", "Smith", "Smith", "SMITH"]),
+    ("Herr Ludwig van Beethoven, Frau von der Leyen", ["Ludwig", "Beethoven", "Leyen"]),
+    ("Señor Juan Carlos Maria Lopez Garcia", ["Juan", "Carlos", "Maria", "Lopez", "Garcia"]),
+    ("Garcia, Mr.  John\nGarcia", ["Garcia", "John", "Garcia"]),
+    ("Herr Dr. Meier, Mr O'Brien, Sir I know, Dr. Poe\n\nThe end", ["Meier", "O'Brien", "Poe"]),
+    ("Mr" + " Ab" * 1000, ["Ab"] * 1000)])
+def test_persons_are_found_whole(text, names):
+    found = pii.detect(text)
+    assert [text[a:b] for a, b, *_ in found] == names
+    by_name = {value: kind for *_, kind, value in found}
+    assert "smith" not in by_name or by_name["smith"] == "family-latin" and by_name["j."] == "initial-latin"
+    letters = [pii.surrogate(b"k", "initial-latin", c, 0) for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert sorted(letters) == list("abcdefghijklmnopqrstuvwxyz") and all(a != b for a, b in zip(letters, sorted(letters)))
+
+
 def test_noisy_or_points_at_sentences():
     rng = random.Random(4)
     bags = []

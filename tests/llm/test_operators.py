@@ -192,6 +192,13 @@ def test_pii_collisions_are_resolved(spark, monkeypatch):
     assert len({r.canonical for r in out}) == 5 and sorted(r.attempt for r in out) == [0, 1, 1, 1, 1]
 
 
+def test_pii_untitled_mentions_follow(spark):
+    df = spark.createDataFrame([(1, "Dr. J. Smith came. Smith left."), (2, "Smith of another text"), (3, "Mr. K. Smith")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_pii(df).collect()}
+    first, second = got[1].split()[2].rstrip("."), got[1].split()[4]
+    assert first == second == got[3].split()[2] != "Smith" and got[2] == "Smith of another text" and got[1].split()[1] != "J."
+
+
 def test_pii_full_formats_end(spark, monkeypatch):
     real = pii.surrogate
 

@@ -21,7 +21,9 @@ codes, the gender a title or given name implies).
 Texts without any trigger pass straight through; only the others shuffle.
 
 Types: email, ip, card, iban, ssn, phone, secret (long hexadecimal strings
-and common key prefixes), and persons named after a title.
+and common key prefixes), and persons named after a title, with all their
+names and initials, wherever the same text names them again without one;
+titles and particles (van, de la) stay.
 
 Defined cases: a null text stays null and an empty one empty, both with no
 entities; overlapping matches are settled by the first, then the longest;
@@ -32,6 +34,7 @@ all others are returned as they were, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import hmac
@@ -62,8 +65,21 @@ _SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga ge ka ke ki ko la le li
               "cyrillic": "ба бе ви га да де ка ке ла ле ми на не по ра ре са си та то".split()}
 _LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
-_NAME = r"[^\W\d_a-zà-öø-ÿа-я][^\W\d_]+(?:['’-][^\W\d_]+)*"
+# A name: words, initials and lower-case particles, any number of them, with
+# white space between (a blank line ends it); "'s" is no part of a word.
+_UPPER = r"[^\W\d_a-zà-öø-ÿа-я]"
+_MORE = r"(?:['’-](?!s(?!\w))[^\W\d_]+)"
+_WORD = rf"(?:[dDlL]['’]|(?:al|el)-)?{_UPPER}(?:[^\W\d_]+{_MORE}*|{_MORE}+)"
+_INITIALS = rf"{_UPPER}\.(?:-?{_UPPER}\.)*"
+_GAP = r"(?:[^\S\n]++\n?+|\n)[^\S\n]*+"
+_PARTICLE = r"(?:van|von|vom|vander|de|der|den|del|della|degli|di|da|das|dos|do|du|des|la|le|las|los|zu|zum|zur|ten|ter|te|af|av|y|bin|ibn|bint|al|el|фон|де|ван)(?!\w)"
+_PART = rf"(?:{_INITIALS}|{_WORD}|{_UPPER}(?!\w)(?={_GAP}{_UPPER}))"
+_NAME = rf"(?:{_PARTICLE}{_GAP})*{_PART}(?:(?:{_GAP}|(?<=\.))(?:{_PARTICLE}{_GAP})*{_PART})*"
+_PARTS = re.compile(rf"{_WORD}|{_INITIALS}|{_UPPER}")
+_MENTION = re.compile(rf"(?<!\w)[^\W\d_]+{_MORE}*(?!\w)")
 _TITLE = "|".join(sorted((t for own in TITLES.values() for t in own), key=len, reverse=True))
+_TITLED = rf"(?:{_TITLE})(?!\w)"
+_AFTER = rf"(?:\.(?:{_GAP})?|{_GAP})"
 _PATTERNS = (
     ("email", r"[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+"),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
@@ -72,7 +88,7 @@ _PATTERNS = (
     ("phone", r"(?<!\w)\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]|\.\d)"),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
     ("card", r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-]|\.\d)"),
-    ("person", rf"(?<!\w)(?P<title>{_TITLE})\.? (?P<name>{_NAME}(?: {_NAME}){{0,2}})"),
+    ("person", rf"(?<!\w)(?P<title>{_TITLED}(?:{_AFTER}{_TITLED})*){_AFTER}(?P<name>{_NAME})"),
 )
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _PATTERNS))
 #: What every entity holds: a digit or @, or else (persons) the beginning of
@@ -98,8 +114,9 @@ def _script(s: str) -> str:
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, canonical form) of the entities of a text."""
-    out = []
+    """(start, end, type, canonical form) of the entities of a text, in
+    order.  Names found after a title are found without one, too."""
+    out, names = [], {}
     for m in _ANY.finditer(text):
         kind, (a, b) = next(k for k, _ in _PATTERNS if m[k] is not None), m.span()
         s = text[a:b]
@@ -118,20 +135,38 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 hexadecimal = re.fullmatch("[0-9A-Fa-f]+", s)
                 out.append((a, b, kind, s.lower() if hexadecimal else s))
         elif kind == "person":
-            title = m["title"]
-            gender = next(g for g, own in TITLES.items() if title in own)
-            at, parts = m.start("name"), m["name"].split(" ")
+            titles = re.findall(_TITLED, m["title"])
+            gender = next((g for t in titles for g, own in TITLES.items() if g != "n" and t in own), "n")
+            parts = [(p.start() + m.start("name"), p.end() + m.start("name")) for p in _PARTS.finditer(m["name"])]
+            words = [p for p in parts if sum(c.isalpha() for c in text[slice(*p)]) > 1 and text[p[1] - 1] != "."]
             if gender == "n":
-                gender = next((_GENDER[p.casefold()] for p in parts[:-1] if p.casefold() in _GENDER), "n")
-            for i, p in enumerate(parts):
-                role = "family" if i == len(parts) - 1 else f"given-{gender}"
-                out.append((at, at + len(p), f"{role}-{_script(p)}", p.casefold()))
-                at += len(p) + 1
+                gender = next((_GENDER[w] for w in (text[slice(*p)].casefold() for p in words[:-1]) if w in _GENDER), "n")
+            whole = set(words)
+            for p in parts:
+                s = text[slice(*p)]
+                role = "initial" if p not in whole else "family" if p == words[-1] else f"given-{gender}"
+                kind, value = f"{role}-{_script(s)}", s.casefold()
+                out.append((*p, kind, value))
+                if p in whole:
+                    names.setdefault(value, kind)
         else:
             digits = "".join(c for c in s if c.isdigit())
             if kind != "phone" or 9 <= len(digits) <= 15:
                 out.append((a, b, kind, ("+" if s[0] == "+" else "") + digits))
-    return out
+    return _untitled(text, out, names) if names else out
+
+
+def _untitled(text: str, found: list[tuple], names: dict[str, str]) -> list[tuple]:
+    """``found`` and the other mentions of ``names``, written with a capital;
+    of a hyphenated word or a genitive also its pieces."""
+    ends, starts, more = [f[1] for f in found], [f[0] for f in found], []
+    for m in _MENTION.finditer(text):
+        pieces = [m.span()] if m[0].casefold() in names else [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[^\W_]+", m[0])]
+        for a, b in pieces:
+            value = text[a:b].casefold()
+            if value in names and re.match(f"(?:[dl]['’]|(?:al|el)-)?{_UPPER}", text[a:b]) and bisect.bisect_right(ends, a) == bisect.bisect_left(starts, b):
+                more.append((a, b, names[value], value))
+    return sorted(found + more)
 
 
 # -- surrogates ---------------------------------------------------------
@@ -163,6 +198,13 @@ class _Draws:
         return "".join(out)
 
 
+@functools.cache
+def _initials(key: bytes, script: str) -> dict[str, str]:
+    """A keyed permutation of an alphabet that leaves no letter in place."""
+    order = sorted(_LETTERS[script], key=lambda c: hmac.digest(key, f"initial {c}".encode(), "sha256"))
+    return dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def _address(draw: _Draws, value: str, attempt: int) -> str:
     octets = value.split(".")
     private = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] or octets[0] == "172" and 16 <= int(octets[1]) < 32 else 0
@@ -209,6 +251,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
             return prefix + "".join("0123456789abcdef"[draw.below(16)] for _ in rest)
         return prefix + draw.like(rest)
     role, *gender, script = kind.split("-")
+    if role == "initial":
+        return "".join(_initials(key, _script(c)).get(c) or draw.like(c) for c in value)
     syllables = _SYLLABLES.get(script)
     if syllables is None:
         return draw.like(value + value[-1] * more)
@@ -274,7 +318,8 @@ def distinct_surrogates(entities: DataFrame, key: bytes, name: str = "surrogates
         clash = owner.where("n > 1").join(now.select("kind", "value", F.col("canonical").alias("taken")), ["kind", "taken"]).where("value <> owner").select("kind", "value")
         real = now.select("kind", F.col("canonical").alias("taken"), "value").join(
             now.select("kind", F.col("value").alias("taken")), ["kind", "taken"], "left_semi").select("kind", "value")
-        again = materialize(clash.union(real).distinct(), f"{name}-again")
+        # initials follow a permutation of their alphabet, whose letters are all in use
+        again = materialize(clash.union(real).where("kind not like 'initial-%'").distinct(), f"{name}-again")
         if again.isEmpty():
             return now
         redrawn = _drawn(now.join(again, ["kind", "value"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
