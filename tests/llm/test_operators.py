@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.conftest import SMALL
-from vetrina.llm import bpe, exact_dedup, jaccard_join, packing, pii, substring_dedup, suffix_dedup, topk_search, toxicity, warc
+from vetrina.llm import bpe, exact_dedup, jaccard_join, packing, pii, substring_dedup, suffix_dedup, topk_search, toxicity, warc, windows
 from vetrina.llm.queries import ORACLES, QUERIES
 from vetrina.plans.compare import compare
 
@@ -79,6 +79,28 @@ def test_suffix_dedup(docs):
     assert rows_of(suffix_dedup.remove_repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expect(want)
 
 
+@pytest.mark.parametrize("module, window", [(substring_dedup, 20), (suffix_dedup, 40)])
+def test_hot_anchor_is_split(spark, module, window):
+    """A passage amid different surroundings: no bucket compares them all."""
+    draw = np.random.default_rng(3)
+    word = (lambda: "".join(map(chr, draw.integers(97, 123, 5)))) if window == 20 else (lambda: chr(draw.integers(97, 123)))
+    join = " " if window == 20 else ""
+    passage = [word() for _ in range(window + 4)]
+    texts = [join.join([word() for _ in range(window)] + passage + [word() for _ in range(window)]) for _ in range(12_000)]
+    spec = module.spec_of(window, 4) if window == 20 else module.spec_of(window)
+
+    def find(n, weight, payload):
+        assert len(n) < 9000
+        return spec.find(n, weight, payload)
+
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    spans = windows.repeated_spans(df, "text", spec._replace(find=find), 16, 16)
+    tokens = [t.encode().split() if window == 20 else list(t.encode()) for t in texts]
+    want = {hashlib.sha256(t.encode()).digest()[:16]: m for t, m in zip(texts, removed(tokens, window))}
+    got = {bytes(r.text_key): r.spans for r in spans.collect()}
+    assert all((windows.covered(len(m), got.get(k), window) == m).all() for k, m in want.items())
+
+
 def test_bpe(docs):
     t = Tokenizer.from_file(WORDS)
     t.no_truncation()

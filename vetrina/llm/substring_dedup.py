@@ -103,7 +103,7 @@ def _find(n: list[int], weight: list[int], payload: list[bytes]):
 
 def spec_of(window: int = WINDOW, gram: int = GRAM) -> Windows:
     gram = min(gram, window)
-    return Windows(window, gram, lambda text: word_hashes(words(text)), lambda h: _grams(h, gram), _payload(window), _find)
+    return Windows(window, gram, lambda text: word_hashes(words(text)), lambda h: _grams(h, gram), _payload(window), _find, lambda h: window_hashes(h, window))
 
 
 def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

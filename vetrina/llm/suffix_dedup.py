@@ -7,6 +7,8 @@ sorted directly, the rest is induced by scanning the buckets of first bytes
 in order; then the common prefixes of neighbours in the array tell which
 windows are equal.
 
+Windows of a hot anchor (see ``windows.py``) are compared by 128 bits of hash.
+
 Order and common prefixes are followed to ``length`` bytes only: longer
 agreement changes no decision.
 
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vetrina.llm.substring_dedup import window_hashes
 from vetrina.llm.windows import Windows, covered, mix, repeated_spans, with_spans
 
 LENGTH, GRAM = 400, 16
@@ -156,7 +159,7 @@ def _find(length: int):
 def spec_of(length: int = LENGTH) -> Windows:
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
-    return Windows(length, GRAM, _tokens, _grams, _payload(length), _find(length))
+    return Windows(length, GRAM, _tokens, _grams, _payload(length), _find(length), lambda b: window_hashes(mix(b + _C[0]), length))
 
 
 def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -18,6 +18,10 @@ place inside the window, so
    Equal segments of a partition are merged with a count before the
    shuffle, then an exact second pass per anchor bucket decides which
    windows repeat.
+   The windows of a *hot* anchor, one with many different segments, are
+   dealt one by one by their own 128 bits of hash instead, so that no anchor
+   fills a bucket.  Hot anchors are found with the sketch: a sample of
+   segments, drawn by a hash of their ends, is counted per anchor.
 3. The answer goes back by segment key to texts, and by text key to rows,
    so that copies of a text are examined once and each row gets its spans.
 """
@@ -42,6 +46,9 @@ from vetrina.llm.common import chars, materialize, pieces_for, text_key, whole_t
 BLOCK_BITS, DEPTH, MIN_BITS, MAX_BITS = 20, 2, 20, 29
 #: Texts and segments that one task remembers for merging before the shuffle.
 REMEMBERED = 200_000
+#: One in so many different segments is sampled, an anchor with so many of the
+#: sample is hot, and so many anchors are hot at most (32 MB broadcast).
+SAMPLED, HOT, MAX_HOT = 256, 16, 1 << 22
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -54,7 +61,8 @@ class Windows(NamedTuple):
     ``tokens(text)`` gives a token sequence with a length, ``grams(tokens)``
     one 64-bit hash per gram of ``gram`` tokens, ``payload(tokens, start,
     n)`` the bytes from which ``find`` can compare the ``n`` windows that
-    begin at ``start``.
+    begin at ``start``.  ``keys(tokens)`` gives two 64-bit hashes of every
+    window.
     """
 
     window: int
@@ -63,6 +71,7 @@ class Windows(NamedTuple):
     grams: Callable
     payload: Callable
     find: Callable
+    keys: Callable
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,15 +90,15 @@ def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(spec: Windows, tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def anchors(spec: Windows, tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """(first window, number of windows, anchor hash) of each run of windows
-    with one anchor; None if the text has no window."""
+    with one anchor, and all gram hashes; None if the text has no window."""
     if len(tokens) < spec.window:
         return None
     h = spec.grams(tokens)
     at = (sliding_min(h & ~_LOW32 | np.arange(len(h), dtype=np.uint64), spec.window - spec.gram + 1) & _LOW32).astype(np.int64)
     start = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    return start, np.diff(np.append(start, len(at))), h[at[start]]
+    return start, np.diff(np.append(start, len(at))), h[at[start]], h
 
 
 # -- the sketch ---------------------------------------------------------
@@ -111,26 +120,49 @@ def _sparse(h: np.ndarray, bits: int) -> Iterator[dict]:
                 yield {"block": int((row << (bits - BLOCK_BITS)) + (c[0] >> BLOCK_BITS)), "once": low[k == 1].tobytes(), "more": low[k > 1].tobytes()}
 
 
-def _merge_block(table: pa.Table) -> pa.Table:
-    count = np.zeros(1 << BLOCK_BITS, np.uint8)
-    for once, more in zip(table["once"], table["more"], strict=True):
-        at = np.frombuffer(once.as_buffer(), np.uint32)
-        count[at] = np.minimum(count[at] + 1, 2)
-        count[np.frombuffer(more.as_buffer(), np.uint32)] = 2
-    return pa.table({"block": table["block"][:1], "bitmap": pa.array([np.packbits(count >= 2).tobytes()], pa.binary())})
+def _merge_block(least: int):
+    """Bitmaps of blocks; of sampled segments (negative blocks) the anchors
+    with ``least`` different ones."""
+    def merge(table: pa.Table) -> pa.Table:
+        if table["block"][0].as_py() < 0:
+            pairs = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in table["once"]]), axis=0)
+            anchor, n = np.unique(pairs[:, 0], return_counts=True)
+            return pa.table({"block": table["block"][:1], "bitmap": pa.array([anchor[n >= least].tobytes()], pa.binary())})
+        count = np.zeros(1 << BLOCK_BITS, np.uint8)
+        for once, more in zip(table["once"], table["more"], strict=True):
+            at = np.frombuffer(once.as_buffer(), np.uint32)
+            count[at] = np.minimum(count[at] + 1, 2)
+            count[np.frombuffer(more.as_buffer(), np.uint32)] = 2
+        return pa.table({"block": table["block"][:1], "bitmap": pa.array([np.packbits(count >= 2).tobytes()], pa.binary())})
+    return merge
+
+
+def _sample(spec: Windows, found) -> np.ndarray:
+    """(anchor, hash of length and ends) of the sampled segments of a text."""
+    start, n, anchor, h = found
+    ends = mix(h[start] ^ mix(h[start + n - 1 + spec.window - spec.gram] + n.astype(np.uint64)))
+    drawn = ends % np.uint64(SAMPLED) == 0
+    return np.stack([anchor[drawn], ends[drawn]], 1)
 
 
 def repeated_sketch(texts: DataFrame, spec: Windows, total: int):
-    """Broadcast ``(bits, bitmap per row)`` of anchors counted twice or more."""
+    """Broadcast ``(bits, bitmap per row)`` of anchors counted twice or more,
+    and the hot anchors in order."""
     expected = total * 2 / (spec.window - spec.gram + 2)
+    shares = pieces_for(16 * expected / SAMPLED, 16e6)
+    merge = _merge_block(max(HOT, int(expected / SAMPLED / MAX_HOT)))
     bits = int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(8 * expected + 1)))))
 
     def partial(batches):
         held: list[np.ndarray] = []
+        drawn: list[np.ndarray] = []
         size = 0
 
         def flush():
             rows = list(_sparse(np.concatenate(held), bits)) if held else []
+            pairs = np.concatenate(drawn) if drawn else np.zeros((0, 2), np.uint64)
+            share = (pairs[:, 0] % np.uint64(shares)).astype(np.int64)
+            rows += [{"block": -1 - int(k), "once": pairs[share == k].tobytes(), "more": b""} for k in np.unique(share)]
             return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("once", pa.binary()), ("more", pa.binary())]))
 
         seen: dict = {}
@@ -140,24 +172,29 @@ def repeated_sketch(texts: DataFrame, spec: Windows, total: int):
                     continue
                 if (found := anchors(spec, spec.tokens(text))) is not None:
                     held.append(found[2])
+                    drawn.append(_sample(spec, found))
                     size += len(found[2])
             if size >= 2_000_000:
                 yield flush()
-                held, size = [], 0
+                held, drawn, size = [], [], 0
         yield flush()
 
     cells = texts.mapInArrow(partial, "block long, once binary, more binary")
-    merged = cells.groupBy("block").applyInArrow(_merge_block, "block long, bitmap binary")
+    merged = cells.groupBy("block").applyInArrow(merge, "block long, bitmap binary")
     rows = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(DEPTH)]
     width = (1 << BLOCK_BITS) // 8
+    hot = [np.zeros(0, np.uint64)]
     for block, bitmap in merged.toLocalIterator():
+        if block < 0:
+            hot.append(np.frombuffer(bytes(bitmap), np.uint64))
+            continue
         row, place = divmod(block, 1 << (bits - BLOCK_BITS))
         rows[row][place * width : (place + 1) * width] = np.frombuffer(bytes(bitmap), np.uint8)
-    return texts.sparkSession.sparkContext.broadcast((bits, rows))
+    return texts.sparkSession.sparkContext.broadcast((bits, rows, np.sort(np.concatenate(hot))))
 
 
 def maybe_repeated(h: np.ndarray, sketch) -> np.ndarray:
-    bits, rows = sketch
+    bits, rows, _ = sketch
     ok = np.ones(len(h), bool)
     for row, bitmap in enumerate(rows):
         cell = _cells(h, row, bits)
@@ -176,15 +213,28 @@ def _first_two(seen: dict, key: bytes) -> bool:
     return n <= 2
 
 
-def _segments(spec: Windows, text: str, sketch) -> Iterator[tuple[int, int, int, bytes]]:
-    """(first window, windows, anchor, payload) of runs estimated repeated."""
+def _segments(spec: Windows, text: str, sketch) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(first window, windows, anchor, key, payload) of runs estimated
+    repeated; under hot anchors each window by itself, without payload."""
     tokens = spec.tokens(text)
     if (found := anchors(spec, tokens)) is None:
         return
-    start, n, anchor = found
-    keep = np.flatnonzero(maybe_repeated(anchor, sketch))
+    start, n, anchor, _ = found
+    keep = maybe_repeated(anchor, sketch)
+    hot = sketch[2]
+    if len(hot):
+        many = keep & (hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor)
+        if many.any():
+            at = np.flatnonzero(np.repeat(many, n))  # the runs are all windows in order
+            keys = spec.keys(tokens)[at]
+            data = keys.tobytes()
+            for i, (w, first) in enumerate(zip(at.tolist(), keys[:, 0].tolist(), strict=True)):
+                yield w, 1, first, data[16 * i : 16 * i + 16], b""
+            keep &= ~many
+    keep = np.flatnonzero(keep)
     if len(keep):
-        yield from spec.payload(tokens, start[keep], n[keep], anchor[keep])
+        for s, k, a, payload in spec.payload(tokens, start[keep], n[keep], anchor[keep]):
+            yield s, k, a, xxhash.xxh3_128_digest(payload), payload
 
 
 def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float, payload_per_char: float) -> DataFrame:
@@ -206,13 +256,12 @@ def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float
             for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if not _first_two(seen, key):
                     continue
-                for _, n, anchor, payload in _segments(spec, text, sketch.value):
-                    k = xxhash.xxh3_128_digest(payload)
+                for _, n, anchor, k, payload in _segments(spec, text, sketch.value):
                     if k in held:
                         held[k][4] = 2
                     else:
                         held[k] = [anchor % buckets, anchor - (1 << 63), k, n, 1, payload]
-                        size += len(payload)
+                        size += len(payload) or 64
                 if size > 16_000_000:
                     yield _batch(held.values(), schema)
                     held, size = {}, 0
@@ -226,10 +275,11 @@ def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float
             else:
                 segments[k] = [n, w, p, a]
         # equal windows have equal anchors: a segment that is alone with its
-        # anchor repeats if it came twice, and need not be compared
+        # anchor repeats if it came twice, and need not be compared; nor need a
+        # window that came by itself, its key is its hash
         alike = Counter(a for *_, a in segments.values())
-        alone = [(k, n, w) for k, (n, w, _, a) in segments.items() if alike[a] == 1]
-        rest = [(k, n, w, p) for k, (n, w, p, a) in segments.items() if alike[a] > 1]
+        alone = [(k, n, w) for k, (n, w, p, a) in segments.items() if alike[a] == 1 or not p]
+        rest = [(k, n, w, p) for k, (n, w, p, a) in segments.items() if alike[a] > 1 and p]
         out = [(k, np.array([0, n], np.int32).tobytes()) for k, n, w in alone if w > 1]
         if rest:
             keys, n, weight, payload = (list(x) for x in zip(*rest, strict=True))
@@ -248,7 +298,7 @@ def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add(key)
-                rows += [(key, start, xxhash.xxh3_128_digest(payload)) for start, _, _, payload in _segments(spec, text, sketch.value)]
+                rows += [(key, start, k) for start, _, _, k, _ in _segments(spec, text, sketch.value)]
             yield _batch(rows, place_schema)
 
     answers = (texts.mapInArrow(payloads, "bucket int, anchor long, seg_key binary, windows int, weight int, payload binary")
