@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.conftest import SMALL
 from vetrina.llm import bpe, exact_dedup, jaccard_join, packing, pii, substring_dedup, suffix_dedup, topk_search, toxicity, warc, windows
+from vetrina.llm.common import pieces_for
 from vetrina.llm.queries import ORACLES, QUERIES
 from vetrina.plans.compare import compare
 
@@ -172,6 +173,24 @@ def test_jaccard_join_dense_group(spark, monkeypatch):
     assert rows_of(jaccard_join.jaccard_join(df), "doc_id", "class_id", "n_links", "n_copies", "class_size") == _brute_classes(texts)
 
 
+def test_jaccard_groups_stay_bounded(spark, monkeypatch):
+    """Every row meets every block, so Arrow groups are counted from the copies."""
+    grouped, sizes = jaccard_join._grouped, []
+
+    def counted(rows, keys, buckets, work, columns, out):
+        sizes.append((rows.count(), buckets))
+        return grouped(rows, keys, buckets, work, columns, out)
+
+    monkeypatch.setattr(jaccard_join, "_grouped", counted)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "pieces_for", lambda total, each, least=1: pieces_for(total, each / 1000, least))
+    words = BASE.split()
+    texts = [(i, " ".join(words[: i % 60 + 20] + [f"new{i}"] + words[i % 60 + 20 :])) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    assert rows_of(jaccard_join.jaccard_join(df, recall=0.6), "doc_id", "class_id", "n_links", "n_copies", "class_size") == _brute_classes(texts)
+    assert all(n <= 40 * buckets for n, buckets in sizes) and sizes[0][0] > 160 and sizes[-1][0] == 400
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "x" * 1000), (2, None, "x" * 1000), (2, None, "x" * 1000), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (None, "u", "x" * 1000), (6, "a\r\nb", "ü" * 700), (7, "", "")]
     pages = spark.createDataFrame([(*r, "c", "d") for r in rows], "page_id long, url string, html string, payload string, digest string").repartition(2)

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vetrina.llm.common import chars, materialize, pieces_for, text_key, whole_text
+from vetrina.llm.common import materialize, pieces_for, text_key, whole_text
 from vetrina.llm.exact_dedup import bloom_filter, filter_bits, might_contain
 from vetrina.llm.graph import components
 from vetrina.llm.substring_dedup import word_hashes
@@ -76,18 +76,18 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sketches(n: int, id_type: str):
-    schema = pa.schema([("set_key", pa.binary()), ("size", pa.int32()), ("sketch", pa.list_(pa.int32()))])
+    schema = pa.schema([("set_key", pa.binary()), ("size", pa.int32()), ("chars", pa.int64()), ("sketch", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, n)
-                rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), sketch(s)) if len(s) else (None, 0, None))
+                rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), len(text), sketch(s)) if len(s) else (None, 0, 0, None))
             made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("text_key"), *made], ["row_id", "text_key", *schema.names])
 
-    return run, f"row_id {id_type}, text_key binary, set_key binary, size int, sketch array<int>"
+    return run, f"row_id {id_type}, text_key binary, set_key binary, size int, chars long, sketch array<int>"
 
 
 # -- chosen paths -------------------------------------------------------
@@ -135,10 +135,9 @@ def _candidates(records: DataFrame, runs: range, name: str, labels: DataFrame |
     for x in leaves[1:]:
         found = found.union(x)
     # blocks of large buckets meet pairwise; several small buckets share a group
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    found = _block_pairs(found.withColumn("blocks", blocks))
-    total = records.count() * len(runs)
-    return _grouped(found, ["path"], pieces_for(total, 40_000, 4), _alike, "set_key binary, sketch array<int>", "a binary, b binary")
+    found = found.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    total = found.agg(F.sum("blocks")).first()[0] or 0  # rows after _block_pairs
+    return _grouped(_block_pairs(found), ["path"], pieces_for(total, 40_000, 4), _alike, "set_key binary, sketch array<int>", "a binary, b binary")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -276,7 +275,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = materialize(rows.mapInArrow(run, schema), "sketches")
     sets = materialize(made.where("set_key is not null").groupBy("set_key").agg(
         F.min("row_id").alias("row_id"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("sketch").alias("sketch"),
-        F.count(F.lit(1)).alias("copies")), "sets")
+        F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("copies")), "sets")
 
     # the first run, then the others on what it has left apart
     runs = math.ceil(math.log(1 - recall) / math.log(1 - SURVIVAL))
@@ -287,12 +286,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # exact links inside each group
     member = groups.select(F.col("a").alias("set_key"), F.col("b").alias("grp")).union(groups.select("b", "b").distinct())
-    member = member.join(sets.select("set_key", "text_key", "size"), "set_key")
+    member = member.join(sets.select("set_key", "text_key", "size", "chars"), "set_key")
     sized = member.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / 1_000_000)).cast("int")
-    member = materialize(member.join(sized, "grp").select("grp", "set_key", "text_key", blocks.alias("blocks")), "members")
+    member = materialize(member.join(sized, "grp").select("grp", "set_key", "text_key", "chars", blocks.alias("blocks")), "members")
+    total = member.agg(F.sum(F.col("chars") * F.col("blocks"))).first()[0] or 0  # of all copies, after _block_pairs
+    member = member.drop("chars")
     texts = _first_copies(_among(rows.select("text_key", "text"), member)).join(member.hint("merge"), "text_key")
-    compared = _grouped(_block_pairs(texts).withColumn("grp", F.xxhash64("grp")), ["grp"], pieces_for(2 * chars(rows, "text"), 16e6, 4), _links(n, threshold),
+    compared = _grouped(_block_pairs(texts).withColumn("grp", F.xxhash64("grp")), ["grp"], pieces_for(2 * total, 16e6, 4), _links(n, threshold),
                         "set_key binary, text string", "set_key binary, root binary, links long")
     compared = materialize(compared, "links")
     root = components(compared.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("set_key"), F.col("b").alias("root"))
