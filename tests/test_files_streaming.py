@@ -87,6 +87,22 @@ def test_malformed_rows_quarantine_and_salvage(spark):
     assert rows == [("1", None), ("11", None), ("4", None), ("7", "10")]  # padded / full width
 
 
+def test_salvage_keeps_overflow_and_refused_files_are_given(spark):
+    from vetrina.plans.fixtures import RAW_PRODUCT_COLUMNS
+    from vetrina.plans.q_files import scan_supplier_files
+    d = tempfile.mkdtemp(prefix="vt-over-")
+    os.mkdir(f"{d}/c0")
+    open(f"{d}/c0/b.csv", "w").write("1,2\n7,8,9,10\n11\n")
+    rows = {r.col_0: (r.col_1, r.overflow) for r in FS.salvage_split(spark, [f"{d}/c0/b.csv"], ",", 2).collect()}
+    assert rows == {"1": ("2", []), "7": ("8", ["9", "10"]), "11": (None, [])}
+    os.mkdir(f"{d}/c1")
+    open(f"{d}/c0/b.csv", "w").write(";".join(RAW_PRODUCT_COLUMNS) + "\n" + ";".join("x" for _ in RAW_PRODUCT_COLUMNS) + "\n")
+    open(f"{d}/c1/short.csv", "w").write("only a header")
+    scanned, refused = scan_supplier_files(spark, d)
+    assert scanned.count() == 1
+    assert [(r.path.rsplit("/", 1)[1], r.errors) for r in refused.collect()] == [("short.csv", ["File must contain at least a header and one data row"])]
+
+
 def test_admission_judges_whole_content(spark):
     """Late non-ASCII bytes, characters across old probe edges, long headers."""
     cases = {"late.csv": b"a;b\n" + b"x;y\n" * 4000 + "Müller;1\n".encode("latin-1"), "edge.csv": b"a\n" + b"x" * 1021 + "ü\n".encode(),

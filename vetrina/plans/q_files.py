@@ -251,10 +251,12 @@ def write_supplier_files(spark: SparkSession, sf_dir: str) -> str:
     return base
 
 
-def scan_supplier_files(spark: SparkSession, base: str) -> DataFrame:
+def scan_supplier_files(spark: SparkSession, base: str) -> tuple[DataFrame | None, DataFrame]:
     """S01 admission -> S03 encoding -> S04 delimiter -> S06 grouped scan
-    -> S08 numbering.  The dialect table is one row per file (metadata)."""
-    files = FS.admission(FS.discover(spark, base, "*.csv")).filter("valid")
+    -> S08 numbering.  The dialect table is one row per file (metadata).
+    (rows, refused files with their errors); no rows if all are refused."""
+    admitted = FS.admission(FS.discover(spark, base, "*.csv"))
+    refused, files = admitted.filter("not valid").select("path", "errors"), admitted.filter("valid")
     text = spark.read.text(base + "/*/*.csv").select(F.col("_metadata.file_path").alias("file_id"),
                                                      F.col("value").alias("line"))
     lines = text.withColumn("line_no", F.lit(0))
@@ -270,12 +272,14 @@ def scan_supplier_files(spark: SparkSession, base: str) -> DataFrame:
         client = F.regexp_extract("file_path", r"/(c\d+)/", 1).alias("client_id")
         df = df.select(client, "file_path", "row_num", *RAW_PRODUCT_COLUMNS)
         out = df if out is None else out.unionByName(df)
+    if out is None:
+        return None, refused
     # a client's rows go on counting from file to file (one row per file here)
     counts = out.groupBy("client_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("client_id").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select("client_id", "file_path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return (out.join(start, ["client_id", "file_path"])
-            .withColumn("row_num", F.col("row_num") + F.col("start")).drop("start", "file_path"))
+            .withColumn("row_num", F.col("row_num") + F.col("start")).drop("start", "file_path")), refused
 
 
 @register("s06_s08_csv_roundtrip", f"""WITH {raw_product_sql()}
@@ -285,7 +289,7 @@ FROM raw_product""")
 def q_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier files in two dialects are admitted,
     their dialect detected, scanned per dialect group and row-numbered."""
-    df = scan_supplier_files(spark, write_supplier_files(spark, sf_dir))
+    df, _ = scan_supplier_files(spark, write_supplier_files(spark, sf_dir))
     return df.select("client_id", "row_num", "SKU", "GTIN", "Length", "Price", "Currency")
 
 

@@ -184,11 +184,13 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def salvage_split(spark: SparkSession, paths: list[str], sep: str, width: int) -> DataFrame:
     """S07 fallback: plain text scan split on the separator into ``col_i``
-    columns (padded with nulls, long rows keep their first ``width``
-    fields) when a file cannot be parsed as CSV at all."""
+    columns (padded with nulls; the cells of a long row beyond ``width`` are
+    the array ``overflow``, else empty) when a file cannot be parsed as CSV at
+    all."""
     t = spark.read.text(paths).filter(py_strip(F.col("value")) != "")
     parts = F.split(F.col("value"), F.regexp_replace(F.lit(sep), r"([\\^$.|?*+()\[\]{}])", r"\\$1"), -1)
     return t.select(*[F.get(parts, i).alias(f"col_{i}") for i in range(width)],
+                    F.slice(parts, width + 1, F.greatest(F.size(parts) - width, F.lit(0))).alias("overflow"),
                     F.col("_metadata.file_path").alias("file_path"))
 
 
