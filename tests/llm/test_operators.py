@@ -191,6 +191,34 @@ def test_jaccard_groups_stay_bounded(spark, monkeypatch):
     assert all(n <= 40 * buckets for n, buckets in sizes) and sizes[0][0] > 160 and sizes[-1][0] == 400
 
 
+def test_jaccard_runs_follow_the_depth(spark, monkeypatch):
+    """Recall holds at every depth; deep buckets get the runs they need."""
+    draw = np.random.default_rng(5)
+    for depth, least in ((4, 11), (8, 23), (12, 50)):
+        runs = jaccard_join.runs_for(depth, 0.999)
+        assert runs == least
+        agree = draw.binomial(64, 0.8, 200_000) / 64
+        lives = np.ones(len(agree))
+        for _ in range(depth):
+            lives = 1 - (1 - agree * lives) * (1 - 0.25 * agree * lives)
+        assert abs(((1 - lives) ** runs).mean() - 0.001) < 0.0004
+    real, asked = jaccard_join._candidates, []
+
+    def noted(records, runs, *more):
+        out = real(records, runs, *more)
+        asked.append((runs.start, runs.stop, out[1], out[2] is not None))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_candidates", noted)
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    monkeypatch.setattr(jaccard_join, "SHALLOW", 1)
+    words = BASE.split()
+    texts = [(i, " ".join(words[:40] + [f"t{i}x{j}" for j in range(50)])) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    assert rows_of(jaccard_join.jaccard_join(df, recall=0.9), "doc_id", "class_id", "n_links", "n_copies", "class_size") == _brute_classes(texts)
+    assert any(deep for *_, deep in asked) and asked[-1][1] >= max(jaccard_join.runs_for(d, 0.9) for _, _, d, deep in asked if deep)
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "x" * 1000), (2, None, "x" * 1000), (2, None, "x" * 1000), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (None, "u", "x" * 1000), (6, "a\r\nb", "ü" * 700), (7, "", "")]
     pages = spark.createDataFrame([(*r, "c", "d") for r in rows], "page_id long, url string, html string, payload string, digest string").repartition(2)

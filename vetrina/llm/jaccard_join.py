@@ -10,9 +10,12 @@ coordinate is a sampled shared token.
   its path; a record follows each of them to the bucket of its value there.
   Buckets of one record end, small ones are compared by brute force, and so
   are those that splitting does not thin out (their records are alike).
-* **Runs.** One pass misses a pair with probability 1 - ``SURVIVAL`` at
-  most; runs repeat until the target recall.  The first run goes ahead, so
-  that later runs skip buckets whose records it has already joined.
+* **Runs.** A pass keeps a pair with a probability that falls with the
+  levels it goes through and with the agreement of the sketches, which all
+  runs share (``runs_for`` averages over it).  The first run goes ahead, so
+  that later runs skip buckets whose records are joined already; records
+  that some run splits more than ``SHALLOW`` times get more runs, until the
+  target recall holds at the depth reached.
 * **Brute force** compares sketches in blocks and hands on local components
   of pairs whose estimate is within reach of the threshold (the margin is
   about five standard deviations).
@@ -49,7 +52,7 @@ from vetrina.llm.substring_dedup import word_hashes
 from vetrina.llm.windows import mix
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
-COORDINATES, SMALL, BLOCK, LEVELS, SURVIVAL, REMEMBERED = 64, 128, 1024, 12, 0.45, 200_000
+COORDINATES, SMALL, BLOCK, LEVELS, SHALLOW, BATCH, REMEMBERED = 64, 128, 1024, 12, 4, 12, 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _A = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
 _B = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) + _BASE)
@@ -103,6 +106,22 @@ def _children(members: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             .withColumn("path", F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1))).drop("c", *({"sketch"} - set(keep))))
 
 
+def runs_for(depth: int, recall: float) -> int:
+    """Runs that find a pair at the threshold with probability ``recall``
+    where buckets are split ``depth`` times: the survival of a branching path,
+    over the binomial agreement of one sketch."""
+    agree = np.arange(COORDINATES + 1) / COORDINATES
+    chance = np.array([math.comb(COORDINATES, k) * THRESHOLD**k * (1 - THRESHOLD) ** (COORDINATES - k) for k in range(COORDINATES + 1)])
+    extra, lives = 1 / THRESHOLD - 1, np.ones(COORDINATES + 1)
+    for _ in range(depth):
+        ends = 1 - agree * lives
+        lives = 1 - (1 - extra) * ends - extra * ends**2
+    runs = 1
+    while (chance * (1 - lives) ** runs).sum() > 1 - recall:
+        runs += 1
+    return runs
+
+
 def _undecided(live: DataFrame, labels: DataFrame) -> DataFrame:
     """Without the buckets whose records are joined already."""
     own = F.coalesce("label", "set_key")
@@ -110,12 +129,13 @@ def _undecided(live: DataFrame, labels: DataFrame) -> DataFrame:
     return live.join(least.where("l0 <> l1").select("path"), "path", "left_semi")
 
 
-def _candidates(records: DataFrame, runs: range, name: str, labels: DataFrame | None = None) -> DataFrame:
+def _candidates(records: DataFrame, runs: range, name: str, labels: DataFrame | None = None) -> tuple[DataFrame, int, DataFrame | None]:
     """(a, b) edges between records of small or dense buckets whose sketches
     are alike.  ``records``: set_key, sketch; ``labels`` (set_key, label): a
-    bucket whose records have one label is done."""
+    bucket whose records have one label is done.  Also the depth reached, and
+    the set_key of records split more than ``SHALLOW`` times, if any."""
     start = records.select("set_key", "sketch", F.explode(F.array(*[F.lit(r).cast("long") for r in runs])).alias("path"))
-    members, leaves = _children(start).select("path", "set_key"), []
+    members, leaves, deep = _children(start).select("path", "set_key"), [], None
     for level in range(1, LEVELS + 1):
         shared = members.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         live = members.join(shared, "path")
@@ -130,6 +150,8 @@ def _candidates(records: DataFrame, runs: range, name: str, labels: DataFrame |
         more = live.where(~leaf)
         if more.isEmpty():
             break
+        if level == SHALLOW:
+            deep = more.select("set_key").distinct()
         members = _children(more.select("set_key", "path", "sketch", F.col("n").alias("above")), ("sketch",))
     found = leaves[0]
     for x in leaves[1:]:
@@ -137,7 +159,8 @@ def _candidates(records: DataFrame, runs: range, name: str, labels: DataFrame |
     # blocks of large buckets meet pairwise; several small buckets share a group
     found = found.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     total = found.agg(F.sum("blocks")).first()[0] or 0  # rows after _block_pairs
-    return _grouped(_block_pairs(found), ["path"], pieces_for(total, 40_000, 4), _alike, "set_key binary, sketch array<int>", "a binary, b binary")
+    edges = _grouped(_block_pairs(found), ["path"], pieces_for(total, 40_000, 4), _alike, "set_key binary, sketch array<int>", "a binary, b binary")
+    return edges, level, deep
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -277,12 +300,20 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min("row_id").alias("row_id"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("sketch").alias("sketch"),
         F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("copies")), "sets")
 
-    # the first run, then the others on what it has left apart
-    runs = math.ceil(math.log(1 - recall) / math.log(1 - SURVIVAL))
+    # the first run, then the others on what it has left apart, then as many
+    # as the depth asks for on what goes deep
+    runs = max(2, runs_for(SHALLOW, recall))
     records = sets.select("set_key", "sketch")
-    groups = components(_candidates(records, range(1), "run"))
-    labels = groups.select(F.col("a").alias("set_key"), F.col("b").alias("label"))
-    groups = components(groups.union(_candidates(records, range(1, runs), "runs", labels)))
+    edges, _, _ = _candidates(records, range(1), "run")
+    groups, done = components(edges), 1
+    while done < runs:
+        labels = groups.select(F.col("a").alias("set_key"), F.col("b").alias("label"))
+        upto = min(runs, done + BATCH)
+        edges, depth, deep = _candidates(records, range(done, upto), "runs", labels)
+        groups, done = components(groups.union(edges)), upto
+        if deep is not None and runs < (more := runs_for(depth, recall)):
+            records = materialize(records.join(deep, "set_key", "left_semi"), "deep") if runs == done else records
+            runs = more
 
     # exact links inside each group
     member = groups.select(F.col("a").alias("set_key"), F.col("b").alias("grp")).union(groups.select("b", "b").distinct())
