@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetrina.session import materialize, scratch_path
 
-__all__ = ["materialize", "scratch_path", "whole_text", "text_key", "chars", "pieces_for", "table"]
+__all__ = ["materialize", "scratch_path", "whole_text", "text_key", "chars", "pieces_for", "table", "by_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +38,17 @@ def chars(df: DataFrame, col: str) -> int:
 def pieces_for(total: float, each: float, least: int = 1) -> int:
     """How many pieces keep every piece at about ``each``."""
     return max(least, math.ceil(total / each))
+
+
+def by_bytes(batches, column: str, most: int = 1 << 24):
+    """The Arrow batches, cut so that ``column`` holds about ``most`` bytes in
+    each (one row more, however long)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        piece = np.cumsum(sizes, dtype=np.int64) // most
+        ends = [*(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(sizes)]
+        begin = 0
+        for end in ends:
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+            begin = end
