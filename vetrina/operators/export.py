@@ -39,14 +39,14 @@ def export_filter(products: DataFrame, crosswalk: DataFrame | None, client_id: s
                   updated_since=None) -> DataFrame:
     """Active products of a client (EXISTS on the crosswalk as a
     ``left_semi`` join; ``global`` sees all) with optional equality and
-    recency filters."""
+    recency filters; ``updated_since`` is a time or a column."""
     p = products.filter(F.coalesce(F.col("status"), F.lit("active")) == "active")
     if etim_class:
         p = p.filter(F.col("etim_class") == etim_class)
     if brand:
         p = p.filter(F.col("brand") == brand)
     if updated_since is not None:
-        if "updated_at" not in products.columns:
+        if "updated_at" not in products.columns:  # snapshots have it when written with the time of their import
             raise ValueError("updated_since needs products with updated_at")
         p = p.filter(F.col("updated_at") >= F.lit(updated_since).cast("timestamp"))
     if client_id != "global" and crosswalk is not None:

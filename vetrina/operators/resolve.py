@@ -4,7 +4,7 @@ Set-based restatement of the reference's row-by-row persistence:
 
 1. rows without a SKU are isolated as failures (E05/E11);
 2. within the batch, rows sharing (client_id, sku) collapse to one record:
-   per column the last non-null value by row_num (E06);
+   per column the last non-null value in order of arrival (E06);
 3. E01: the crosswalk (client_id, sku) gives an existing product id;
 4. E02/E03: otherwise the GTIN is the blocking key.  Each GTIN has ONE
    representative: the base product with the smallest id, else the
@@ -14,8 +14,8 @@ Set-based restatement of the reference's row-by-row persistence:
    products of the GTIN) follows the reference's ``LIMIT 1`` probe and
    keeps a hot GTIN from producing all pairs;
 5. E05: created products get ``sha2(client_id | sku)`` as id;
-6. E06-E08: products, features and crosswalk are upserted by anti-join +
-   union into a new snapshot (no in-place MERGE on plain tables).
+6. E06-E08: products, features and crosswalk are upserted into a new
+   snapshot by one full outer join each (``upsert``).
 
 Shuffles: one aggregation on (client_id, sku), one on gtin for the
 representatives, and joins on (client_id, sku) / gtin / product_id.  A
@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vetrina.operators.upsert import change_counts, upsert, write_counted
+
 DEDUP_THRESHOLD = 0.8
 NAME_WEIGHT, BRAND_WEIGHT, CLASS_WEIGHT = 0.4, 0.3, 0.3
 UPDATABLE = ["gtin", "product_name", "brand", "model", "description", "etim_class", "price",
@@ -78,16 +80,27 @@ def product_id(client: Column, sku: Column) -> Column:
     return F.sha2(F.concat_ws("|", client, sku), 256)
 
 
+def arrival(df: DataFrame, *ties: str) -> Column:
+    """Order of arrival of a row: the time its file came in, then the ingest
+    and the row number within it (which starts at 0 in every ingest).  Ingest
+    ids are text, so without ``arrived_at`` ing-9 sorts after ing-10: pass the
+    file's time (S01 modification time, E09 created_at) wherever there is one."""
+    return F.struct(*[c for c in ("arrived_at",) if c in df.columns], "ingest_id", "row_num", *ties)
+
+
 def collapse_batch(batch: DataFrame) -> DataFrame:
     """Step 2: one record per (client_id, sku); last non-null in order of arrival.
 
-    Row numbers start at 0 in every ingest, so the order of arrival is
-    (ingest_id, row_num).  ``max_by`` is a partial aggregate, so a SKU repeated in a third of the
-    rows is combined map-side before the shuffle."""
+    ``seen`` holds the arrival of each column's value, so that records that
+    merge into one product later compare value by value.  ``max_by`` is a
+    partial aggregate, so a SKU repeated in a third of the rows is combined
+    map-side before the shuffle."""
     cols = [c for c in UPDATABLE if c in batch.columns]
-    at = F.struct("ingest_id", "row_num")
-    rec = batch.groupBy("client_id", "sku").agg(
+    rows = batch.withColumn("__at", arrival(batch))
+    at = F.col("__at")
+    rec = rows.groupBy("client_id", "sku").agg(
         F.min(at).alias("first_at"), F.max(at).alias("last_at"),
+        F.struct(*[F.max(F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols]).alias("seen"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in cols])
     return rec.select("*", F.col("first_at.row_num").alias("first_row"), F.col("last_at.row_num").alias("last_row"),
                       F.col("last_at.ingest_id").alias("ingest_id"))
@@ -167,76 +180,93 @@ def resolve(batch: DataFrame, base_products: DataFrame | None = None,
                .when(merged, "merged").otherwise("created"))
     by = (F.when(F.col("cw_product_id").isNotNull(), "crosswalk")
            .when(merged, "gtin").otherwise(F.lit(None)))
-    records = j.select("client_id", "sku", "ingest_id", "first_row", "last_row", "first_at", "last_at", *UPDATABLE,
+    records = j.select("client_id", "sku", "ingest_id", "first_row", "last_row", "first_at", "last_at", "seen", *UPDATABLE,
                        pid.alias("product_id"), action.alias("action"), by.alias("matched_by"),
                        F.col("score"))
     return {"records": records, "failures": failures}
 
 
-def upsert_products(records: DataFrame, base_products: DataFrame | None = None) -> DataFrame:
+def upsert_products(records: DataFrame, base_products: DataFrame | None = None, at: Column | None = None) -> DataFrame:
     """New product snapshot.
 
     Records that land on one product (merges, or several SKUs crosswalked
-    to it) are combined first: per column the value of the record with the
-    latest arrival wins when not null (ties between clients: by client, sku).  Against the base, new non-null values
-    replace old ones (``coalesce(new, old)``); untouched base rows pass
-    through by anti-join."""
+    to it) are combined first: per column the value that arrived last wins
+    when not null (ties between clients: by client, sku).  Against the base,
+    new non-null values replace old ones (``coalesce(new, old)``) and other
+    rows pass through, in one full outer join.  With ``at``, the time of the
+    import, the snapshot also has created_at, updated_at, row_hash and
+    change (see ``upsert``)."""
     first, last = F.struct("first_at", "client_id", "sku"), F.struct("last_at", "client_id", "sku")
+    seen = set(records.schema["seen"].dataType.names) if "seen" in records.columns else set()
+    by = lambda c: F.struct(f"seen.{c}", "client_id", "sku") if c in seen else last
     incoming = records.groupBy("product_id").agg(
         F.min_by("client_id", F.when(F.col("action") != "merged", first)).alias("client_id"),
         F.min_by("sku", F.when(F.col("action") != "merged", first)).alias("sku"),
         F.max_by("ingest_id", last).alias("ingest_id"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), last)).alias(c) for c in UPDATABLE])
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), by(c))).alias(c) for c in UPDATABLE])
     incoming = incoming.withColumn("status", F.lit("active"))
-    if base_products is None:
+    if base_products is None and at is None:
         return incoming.select(*PRODUCT_COLUMNS)
-    b = base_products.select(*PRODUCT_COLUMNS)
-    old = b.alias("o")
-    new = incoming.alias("n")
-    touched = new.join(old, "product_id", "left").select(
-        "product_id",
-        F.coalesce(F.col("o.client_id"), F.col("n.client_id")).alias("client_id"),
-        F.coalesce(F.col("o.sku"), F.col("n.sku")).alias("sku"),
-        *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in UPDATABLE],
-        F.lit("active").alias("status"),
-        F.coalesce(F.col("n.ingest_id"), F.col("o.ingest_id")).alias("ingest_id"))
-    untouched = b.join(incoming.select("product_id"), "product_id", "left_anti")
-    return untouched.unionByName(touched)
-
-
-def upsert_crosswalk(records: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    out = upsert(base_products, incoming, ["product_id"], [*UPDATABLE, "status"], at, "fill", ["client_id", "sku"], ["ingest_id"])
+    return out if at is not None else out.select(*PRODUCT_COLUMNS)
+
+
+def upsert_crosswalk(records: DataFrame, base: DataFrame | None = None, at: Column | None = None) -> DataFrame:
     """(client_id, src_key) -> product_id, incoming replaces base."""
     inc = records.select("client_id", F.col("sku").alias("src_key"), "product_id")
-    if base is None:
+    if base is None and at is None:
         return inc
-    return base.select("client_id", "src_key", "product_id").join(
-        inc.select("client_id", "src_key"), ["client_id", "src_key"], "left_anti").unionByName(inc)
+    out = upsert(base, inc, ["client_id", "src_key"], ["product_id"], at)
+    return out if at is not None else out.select("client_id", "src_key", "product_id")
+
+
+FEATURE_VALUES = ["value_raw", "unit_raw", "value_normalized", "unit_normalized"]
 
 
-def upsert_features(features: DataFrame, records: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def upsert_features(features: DataFrame, records: DataFrame, base: DataFrame | None = None, at: Column | None = None) -> DataFrame:
     """Feature values keyed (product_id, etim_feature); the batch's
     last value in order of arrival replaces the stored one."""
     keymap = records.select("client_id", "sku", "product_id")
     inc = (features.join(keymap, ["client_id", "sku"])
            .groupBy("product_id", "etim_feature")
-           .agg(*[F.max_by(c, F.struct("ingest_id", "row_num", "client_id", "sku", "pos")).alias(c) for c in
-                  ("value_raw", "unit_raw", "value_normalized", "unit_normalized")]))
-    if base is None:
+           .agg(*[F.max_by(c, arrival(features, "client_id", "sku", "pos")).alias(c) for c in FEATURE_VALUES]))
+    if base is None and at is None:
         return inc
-    cols = ["product_id", "etim_feature", "value_raw", "unit_raw", "value_normalized", "unit_normalized"]
-    return (base.select(*cols).join(inc.select("product_id", "etim_feature"),
-                                    ["product_id", "etim_feature"], "left_anti")
-            .unionByName(inc.select(*cols)))
+    out = upsert(base, inc, ["product_id", "etim_feature"], FEATURE_VALUES, at)
+    return out if at is not None else out.select("product_id", "etim_feature", *FEATURE_VALUES)
 
 
 def insert_if_absent(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """ON CONFLICT DO NOTHING -- rows whose key exists are dropped."""
-    return base.unionByName(rows.join(base.select(*keys), keys, "left_anti"))
+    values = [c for c in base.columns if c not in keys]
+    return upsert(base, rows, keys, values, how="nothing").select(*base.columns)
 
 
 def upsert_by_key(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Insert or replace on ``keys`` (file / job records)."""
-    return base.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+    values = [c for c in base.columns if c not in keys]
+    return upsert(base, rows, keys, values).select(*base.columns)
+
+
+def import_batch(batch: DataFrame, features: DataFrame, state: dict | None, at: Column) -> tuple[dict, dict[str, int]]:
+    """E01-E08 and E12 for one import: (next state, counts).
+
+    ``state`` is what an earlier import returned (products, features,
+    crosswalk) or None.  The records are one cut point; products, features
+    and crosswalk are written once each, and all counts (created, merged,
+    matched, failed; each table's changes) are observed by those writes."""
+    state = state or {"products": None, "features": None, "crosswalk": None}
+    res = resolve(batch, state["products"], state["crosswalk"])
+    records, counts = write_counted(res["records"], "import-records", {a: F.col("action") == a for a in ("created", "merged", "matched")})
+    failures, failed = write_counted(res["failures"], "import-failures", {"failed": F.lit(True)})
+    tables = {"products": upsert_products(records, state["products"], at), "features": upsert_features(features, records, state["features"], at),
+              "crosswalk": upsert_crosswalk(records, state["crosswalk"], at)}
+    counts |= failed
+    out = {"records": records, "failures": failures}
+    for name, df in tables.items():
+        out[name], changed = write_counted(df, f"import-{name}", change_counts(name))
+        counts |= changed
+    return out, counts
 
 
 def action_counts(records: DataFrame, failures: DataFrame | None = None) -> DataFrame:
