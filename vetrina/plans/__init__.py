@@ -3,8 +3,8 @@
 Importing this package registers every query module.
 """
 
-from vetrina.plans import (q_export, q_files, q_lineage, q_mapping, q_normalize, q_profile, q_quality,  # noqa: F401
-                           q_reports, q_resolve, q_streaming, q_upsert, q_validation)
+from vetrina.plans import (q_export, q_files, q_lineage, q_malformed, q_mapping, q_normalize, q_profile,  # noqa: F401
+                           q_quality, q_reports, q_resolve, q_streaming, q_upsert, q_validation)
 from vetrina.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -11,10 +11,15 @@ header).
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vetrina.functions.normalize import is_numeric_text, py_strip
+from vetrina.session import materialize
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
@@ -157,14 +162,18 @@ def detect_header(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, paths: list[str], sep: str, header: bool, encoding: str = "utf-8",
-                   schema: str | None = None) -> DataFrame:
+                   schema: str | None = None, multiline: bool = False, escape: str | None = None) -> DataFrame:
     """All-string scan of files sharing one dialect.
 
     Empty fields stay "" (not null), so mapping can tell empty from absent.
-    With a schema, lines that do not fit land in ``_corrupt`` (PERMISSIVE)."""
+    With a schema, lines that do not fit land in ``_corrupt`` (PERMISSIVE).
+    A ``multiline`` file is read by one task, so ask for it only where a
+    quoted cell holds a line break (see ``quote_shape``)."""
     r = (spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
          .option("inferSchema", False).option("nullValue", "\u0000").option("emptyValue", "")
-         .option("mode", "PERMISSIVE").option("multiLine", False))
+         .option("mode", "PERMISSIVE").option("multiLine", multiline))
+    if escape is not None:
+        r = r.option("escape", escape)
     if schema:
         r = r.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt")
     df = r.csv(paths)
@@ -182,16 +191,87 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad).drop("_corrupt"), df.filter(bad).withColumnRenamed("_corrupt", "line")
 
 
+def _quoted(sep: str) -> str:
+    return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", sep)
+
+
+def cells_of(line: Column, sep: str, width: int) -> list[Column]:
+    """``col_i`` (null where the row is short) and the ``overflow`` array of
+    a split line."""
+    return [*[F.get(line, i).alias(f"col_{i}") for i in range(width)],
+            F.slice(line, width + 1, F.greatest(F.size(line) - width, F.lit(0))).alias("overflow")]
+
+
 def salvage_split(spark: SparkSession, paths: list[str], sep: str, width: int) -> DataFrame:
     """S07 fallback: plain text scan split on the separator into ``col_i``
     columns (padded with nulls; the cells of a long row beyond ``width`` are
     the array ``overflow``, else empty) when a file cannot be parsed as CSV at
     all."""
     t = spark.read.text(paths).filter(py_strip(F.col("value")) != "")
-    parts = F.split(F.col("value"), F.regexp_replace(F.lit(sep), r"([\\^$.|?*+()\[\]{}])", r"\\$1"), -1)
-    return t.select(*[F.get(parts, i).alias(f"col_{i}") for i in range(width)],
-                    F.slice(parts, width + 1, F.greatest(F.size(parts) - width, F.lit(0))).alias("overflow"),
-                    F.col("_metadata.file_path").alias("file_path"))
+    return t.select(*cells_of(F.split(F.col("value"), _quoted(sep), -1), sep, width),
+                    F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def quote_shape(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
+    """Files that a line-by-line CSV scan would misread: (file_path, shape).
+
+    A quote counts where it opens or closes a cell; doubled quotes do not.  A
+    line with an odd number of them holds a line break inside a cell, or a
+    quote that never closes.  ``multiline``: they pair up over the file;
+    ``broken``: they do not.  Files without odd lines are not returned.  One
+    text scan, one partial row per file and task."""
+    q = _quoted(sep)
+    marks = F.regexp_count(F.regexp_replace("value", '""', ""), F.lit(f'(?<=^|{q})"|"(?={q}|\\r?$)'))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), marks.alias("n"))
+    files = lines.groupBy("file_path").agg(F.sum("n").alias("n"), F.max(F.col("n") % 2).alias("odd"))
+    return files.where("odd = 1").select("file_path", F.when(F.col("n") % 2 == 0, "multiline").otherwise("broken").alias("shape"))
+
+
+def scan_with_quarantine(spark: SparkSession, paths: list[str], sep: str, columns: list[str], header: bool = True,
+                         encoding: str = "utf-8") -> dict[str, DataFrame]:
+    """Every row of the files, good, quarantined or salvaged.
+
+    * ``good``: file_path, row_num and the columns;
+    * ``quarantined``: rows with too many or too few cells: the raw ``line``,
+      its cells as far as they go (``overflow`` holds the rest) and a reason;
+    * ``salvaged``: the lines of files whose quotes never close, split plainly.
+
+    Files without line breaks in cells are scanned by splits; the few others
+    are named by ``quote_shape`` (one row each reaches the driver, which holds
+    the list of files anyway).  Row numbers count the records of a file from
+    0, good or not.  The scan is written once, as both sides read it.  A group
+    without files gives an empty frame with the same columns."""
+    place = lambda p: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", p)
+    odd = {place(unquote(r.file_path)): r.shape for r in quote_shape(spark, paths, sep).collect()}  # _metadata has URIs
+    shape = {p: odd.get(place(p), "plain") for p in paths}
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    scans = []
+    for kind in ("plain", "multiline"):
+        group = [p for p in paths if shape[p] == kind]
+        if group:
+            scans.append(number_rows(read_delimited(spark, group, sep, header, encoding, schema, kind == "multiline", '"')))
+    if scans:
+        rows = materialize(reduce(DataFrame.unionByName, scans).drop("_block"), "scanned")
+    else:
+        rows = spark.createDataFrame([], f"{schema}, _corrupt string, file_path string, row_num long")
+    good, bad = quarantine(rows)
+    cut = F.transform(F.split("line", f'{_quoted(sep)}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1),
+                      lambda c: F.when(c.rlike('(?s)^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    n = len(columns)
+    reason = F.when(F.size("cells") > n, "too many cells").when(F.size("cells") < n, "too few cells").otherwise("not a row")
+    bad = bad.select("file_path", "row_num", "line").withColumn("cells", cut)
+    named = [F.col(f"col_{i}").alias(c) for i, c in enumerate(columns)]
+    quarantined = bad.select("file_path", "row_num", "line", reason.alias("reason"), *cells_of(F.col("cells"), sep, n)).select(
+        "file_path", "row_num", "line", "reason", *named, "overflow")
+    broken = [p for p in paths if shape[p] == "broken"]
+    if broken:
+        lines = number_rows(salvage_split(spark, broken, sep, n))
+        if header:
+            lines = lines.where("row_num > 0").withColumn("row_num", F.col("row_num") - 1)
+        salvaged = lines.select("file_path", "row_num", *named, "overflow")
+    else:
+        salvaged = spark.createDataFrame([], f"file_path string, row_num long, {schema}, overflow array<string>")
+    return {"good": good.select("file_path", "row_num", *columns), "quarantined": quarantined, "salvaged": salvaged}
 
 
 def number_rows(df: DataFrame) -> DataFrame:
