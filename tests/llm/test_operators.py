@@ -302,6 +302,44 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_near_copies_by_row(spark):
+    """An id shared by a near copy and a clean text loses only the near copy;
+    two near copies under one id leave one; equal rows leave one."""
+    near, clean = BASE.replace("w919 ", "changed "), " ".join(f"clean{i}" for i in range(60))
+    other = " ".join(f"z{i}" for i in range(60))
+    rows = [(3, BASE, "a"), (7, near, "b"), (7, clean, "c"), (8, clean + " end", "d"), (9, clean, "e"), (9, clean, "f"), (None, near, "g"), (4, "", "h"), (5, None, "i"), (6, "short", "j"), (6, "other", "k"),
+            (11, other, "l"), (11, other + " y", "m"), (11, other, "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep string").repartition(3)
+    out = jaccard_join.one_of_each_class(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text, r.keep) for r in out.collect()]
+    assert sorted((g for g in got if g[0] in (3, 7)), key=repr) == [(3, BASE, "a"), (7, clean, "c")]
+    assert not [g for g in got if g[0] in (8, 9, None)]
+    assert sorted(g[2] for g in got if g[0] in (4, 5, 6)) == ["h", "i", "j", "k"]
+    assert len([g for g in got if g[0] == 11]) == 1
+    assert jaccard_join.one_of_each_class(df.where("false")).count() == 0
+
+
+def test_toxicity_cases(spark):
+    """Empty, long and repeated texts, clashing columns; an id of several rows
+    is not trained on."""
+    texts = [(i, f"calm words here about topic{i % 7}. " + ("you are a nastyling fool. " if i % 5 == 0 else "a nice day. ")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(7000, 1)], "doc_id long, toxic int")
+    extra = [(6000, "a nice day. " * 30_000 + "you are a nastyling fool."), (6001, "a nice day. " * 30_000), (7000, "a nice day."), (7000, "a nice day."), (7000, "calm words."), (7002, None)]
+    docs = spark.createDataFrame([(i, t, 1.0, "x", 1) for i, t in texts + extra], "doc_id long, text string, score double, predicted string, label int").repartition(4)
+    model = toxicity.train(docs, labels)
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == 406
+    got = {r.doc_id: r.score for r in out}
+    assert got[6000] > 0.7 > got[6001] and got[7002] < 0.2 and len({r.score for r in out if r.doc_id == 7000}) <= 2
+    assert toxicity.score(docs.where("false"), model).count() == 0
+    assert toxicity.train(docs.where("false"), labels).weights == {} == toxicity.train(docs, labels.where("false")).weights
+    few = toxicity.train(docs, labels, train_rows=60, sample_rows=40)
+    assert 0 < sum(r.predicted for r in toxicity.score(docs, few).collect()) <= 100
+    left = toxicity.reject_toxic(docs, model)
+    assert left.columns == docs.columns and left.where("doc_id = 7000").count() == 3
+
+
 def test_empty_tables(spark, docs):
     empty = docs.where("false")
     pages = spark.createDataFrame([], "page_id long, url string, html string")

@@ -66,6 +66,13 @@ def _hit(bit: str) -> Column:
     return F.coalesce(F.getbit(word, F.col(bit).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
 
 
+def filter_hits(rows: DataFrame, h: str, filter_: DataFrame, bits: int) -> tuple[DataFrame, Column]:
+    """The rows beside their part of the filter, and whether all bits hit."""
+    block, one, two = _places(F.col(h), bits)
+    placed = rows.withColumns({"x8_block": block, "x8_one": one, "x8_two": two}).join(F.broadcast(filter_), "x8_block", "left")
+    return placed, _hit("x8_one") & _hit("x8_two")
+
+
 def might_contain(rows: DataFrame, h: str, filter_: DataFrame, bits: int) -> DataFrame:
     """The rows whose bits are all in the filter."""
     block, one, two = _places(F.col(h), bits)

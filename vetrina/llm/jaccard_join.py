@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetrina.llm.common import materialize, pieces_for, text_key, whole_text
-from vetrina.llm.exact_dedup import bloom_filter, filter_bits, might_contain
+from vetrina.llm.exact_dedup import bloom_filter, filter_bits, filter_hits, might_contain
 from vetrina.llm.graph import components
 from vetrina.llm.substring_dedup import word_hashes
 from vetrina.llm.windows import mix
@@ -290,6 +290,40 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, class_id (smallest id among linked texts and copies),
     n_links (different n-gram sets of similarity ``threshold`` or more),
     n_copies (rows with the same set) and class_size (rows)."""
+    return row_classes(df, id_col, text_col, n, threshold, recall).drop("text_key", "keep")
+
+
+def one_of_each_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near copies: of each class the row with the
+    smallest id (null last, then smallest text hash) stays.
+
+    Rows are told apart by id and text, not by id alone, so a text that shares
+    its id with a near copy stays.  Of rows equal in both, one stays, with the
+    other columns of the smallest hash.  A Bloom filter of the classes of two
+    rows or more lets all other rows pass where they are read; only the rest
+    is shuffled."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    members = materialize(row_classes(df, id_col, text_col).where("class_size > 1").select(
+        F.col(f"`{id_col}`").alias("row_id"), "text_key", F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), "text_key").eqNullSafe(F.col("keep")).alias("keeps"))
+        .groupBy("row_id", "text_key").agg(F.max("keeps").alias("keeps")), "class-members")
+    bits = filter_bits(members.count())
+    filter_ = bloom_filter(members.select(F.xxhash64("row_id", "text_key").alias("h")), "h", bits)
+    rows = df.select(F.struct(*own).alias("row"), F.col(f"`{id_col}`").alias("row_id"), text_key(whole_text(text_col)).alias("text_key"))
+    rows = rows.withColumn("h", F.xxhash64("row_id", "text_key"))
+    block, maybe = filter_hits(rows, "h", filter_, bits)
+    probed = block.withColumn("maybe", maybe)
+    straight = probed.where(~F.col("maybe")).select("row.*")
+    hits = probed.where("maybe").select("row", "row_id", "text_key")
+    member = members.select(F.col("row_id").alias("m_id"), F.col("text_key").alias("m_key"), "keeps")
+    found = hits.join(member, F.col("row_id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left")
+    others = found.where("keeps is null").select("row.*")
+    kept = found.where("keeps").groupBy("row_id", "text_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return straight.unionByName(others).unionByName(kept)
+
+
+def row_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``jaccard_join`` with each row's text_key and its class's ``keep``: the
+    first row of the class (none, id, text_key), id not null before null."""
     if threshold < THRESHOLD:
         raise ValueError(f"paths are chosen for thresholds of {THRESHOLD} or more")
     id_type = df.schema[id_col].dataType.simpleString()
@@ -298,6 +332,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = materialize(rows.mapInArrow(run, schema), "sketches")
     sets = materialize(made.where("set_key is not null").groupBy("set_key").agg(
         F.min("row_id").alias("row_id"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("sketch").alias("sketch"),
+        F.min(F.struct(F.col("row_id").isNull().alias("none"), F.col("row_id").alias("id"), "text_key")).alias("first"),
         F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("copies")), "sets")
 
     # the first run, then the others on what it has left apart, then as many
@@ -330,11 +365,11 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     root = components(compared.select(F.col("set_key").alias("a"), F.col("root").alias("b"))).select(F.col("a").alias("set_key"), F.col("b").alias("root"))
     links = compared.groupBy("set_key").agg(F.sum("links").alias("n_links"))
 
-    classed = sets.select("set_key", "row_id", "copies").join(root, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    classes = classed.groupBy("root").agg(F.min("row_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    classed = sets.select("set_key", "row_id", "copies", "first").join(root, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    classes = classed.groupBy("root").agg(F.min("row_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("keep"))
     each = materialize(classed.join(classes, "root").join(links, "set_key", "left").select(
-        "set_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"), "class_size"), "classes")
+        "set_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"), "class_size", "keep"), "classes")
     one = F.lit(1).cast("long")
-    return made.select("row_id", "set_key").join(each, "set_key", "left").select(
+    return made.select("row_id", "set_key", "text_key").join(each, "set_key", "left").select(
         F.col("row_id").alias(id_col), F.when(F.col("set_key").isNull(), F.col("row_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", one).alias("n_copies"), F.coalesce("class_size", one).alias("class_size"))
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", one).alias("n_copies"), F.coalesce("class_size", one).alias("class_size"), "text_key", "keep")

@@ -6,21 +6,26 @@ noisy-or together with a small leak: toxic unless every sentence and the
 leak stay silent.  Training on document labels therefore teaches sentence
 scores, which then point at the offending sentences.
 
-1. A word's features are itself and its beginnings of 4 to 7 letters, so
+1. Labels meet ids first, without any text.  About ``train_rows`` documents of
+   each label (all, if fewer) are training documents, by a hash of the id;
+   their ids, a bounded table, are broadcast, so texts are read where they
+   are and never shuffled.
+2. A word's features are itself and its beginnings of 4 to 7 letters, so
    that inflected forms share what they begin with.  Feature statistics are
-   counted over all labelled training documents (one partial count per task
-   and feature); those whose log odds differ most reliably between the
-   labels are used.  Their number is bounded (``max_words``), which bounds
-   what is broadcast.
-2. The noisy-or model is fitted on the driver to a bounded sample of
-   labelled documents, reduced to feature numbers (``sample_rows`` of each
-   label at most, smallest hash of the id first).
-3. Every whole text is scored in Arrow batches.
+   counted over the training documents (one partial count per task and
+   feature); those whose log odds differ most reliably between the labels
+   are used.  Their number is bounded (``max_words``), which bounds what is
+   broadcast.
+3. The noisy-or model is fitted on the driver to a part of the training
+   documents, reduced to feature numbers (about ``sample_rows`` of each
+   label, smallest hash of the id first).
+4. Every whole text is scored in Arrow batches.
 
 Only text enters a score.  Defined cases: null and empty texts have no
 sentence and get the leak; labels that are null or without document are not
 used, and of several labels of one id the largest counts; rows that share an
-id are rows of their own; a null id is scored and never trained on; without
+id are rows of their own and never trained on, as their label does not say
+which it means; a null id is scored and never trained on; without
 documents of both labels, every score is the mean label (0 without labels);
 other columns are neither read nor returned.
 """
@@ -38,11 +43,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vetrina.llm.common import whole_text
+from vetrina.llm.common import materialize, whole_text
 
-THRESHOLD, SAMPLE_ROWS, MAX_WORDS, LEAST_Z, LEAST_DOCS = 0.7, 8000, 4096, 4.0, 8
+THRESHOLD, TRAIN_ROWS, SAMPLE_ROWS, MAX_WORDS, LEAST_Z, LEAST_DOCS = 0.7, 100_000, 8000, 4096, 4.0, 8
 _SENTENCE, _WORD = re.compile(r"[^.!?\n\r]+"), re.compile(r"[^\W\d_]+")
-_BEGINNINGS, _COUNTED = range(4, 8), 400_000
+_BEGINNINGS, _COUNTED, _REMEMBERED = range(4, 8), 200_000, 50_000
 
 
 class Model(NamedTuple):
@@ -70,7 +75,7 @@ class _Features(dict):
         self._known = known
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > _COUNTED:
+        if len(self) > _REMEMBERED:
             self.clear()
         made = (word + "$", *(word[:k] for k in _BEGINNINGS if k <= len(word)))
         made = self[word] = made if self._known is None else tuple(f for f in made if f in self._known)
@@ -86,11 +91,25 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+def labelled_ids(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(row_id, label, place) of documents that may be trained on; ``place``
+    is a hash of the id, from 0 to 1.  No text is read."""
     own = labels.select(F.col(f"`{id_col}`").alias("row_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     own = own.where("row_id is not null and label is not null").groupBy("row_id").agg(F.max("label").alias("label"))
-    rows = docs.where(~held_out(id_col)).select(F.col(f"`{id_col}`").alias("row_id"), whole_text(text_col).alias("text"))
-    return rows.join(own, "row_id").select("row_id", "text", (F.col("label") > 0).cast("int").alias("label"))
+    ids = docs.where(~held_out(id_col)).groupBy(F.col(f"`{id_col}`").alias("row_id")).agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    place = F.shiftrightunsigned(F.xxhash64("row_id"), 11) / float(1 << 53)
+    return ids.join(own, "row_id").select("row_id", (F.col("label") > 0).cast("int").alias("label"), place.alias("place"))
+
+
+def chosen(ids: DataFrame, totals: dict[int, int], most: int) -> DataFrame:
+    """About ``most`` ids of each label, those that hash lowest."""
+    return ids.where(F.col("place") < F.when(F.col("label") == 1, most / max(1, totals[1])).otherwise(most / max(1, totals[0])))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Label and text of a bounded number of ids, read in place."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), whole_text(text_col).alias("text"))
+    return rows.join(F.broadcast(ids.select("row_id", "label")), "row_id").select("label", "text")
 
 
 def _count_words(batches):
@@ -115,7 +134,7 @@ def _count_words(batches):
 
 def choose_words(rows: DataFrame, totals: dict[int, int], max_words: int) -> list[str]:
     """Words with the most reliable difference in log odds."""
-    counts = rows.select("label", "text").mapInArrow(_count_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counts = rows.mapInArrow(_count_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     odds = F.log(t / (totals[1] - F.col("t") + 0.5)) - F.log(c / (totals[0] - F.col("c") + 0.5))
     z = F.abs(odds) / F.sqrt(1 / t + 1 / c)
@@ -150,17 +169,16 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], n_words: int, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS) -> Model:
-    rows = training_rows(docs, labels, id_col, text_col, label_col)
-    totals = {0: 0, 1: 0} | {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+          train_rows: int = TRAIN_ROWS, sample_rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS) -> Model:
+    ids = materialize(labelled_ids(docs, labels, id_col, label_col), "labelled-ids")
+    totals = {0: 0, 1: 0} | {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals[0] or not totals[1]:
         return Model({}, -40.0, totals[1] / max(1, sum(totals.values())))
-    words = choose_words(rows, totals, max_words)
+    training = materialize(chosen(ids, totals, train_rows), "training-ids")
+    used = {0: 0, 1: 0} | {r["label"]: r["n"] for r in training.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = choose_words(texts_of(docs, training, id_col, text_col), used, max_words)
     number = {w: i for i, w in enumerate(words)}
-
-    # the bounded sample: ids first, then their texts as feature numbers
-    ids = [rows.where(F.col("label") == y).select("row_id").orderBy(F.xxhash64("row_id"), "row_id").limit(sample_rows) for y in (0, 1)]
-    sample = rows.join(F.broadcast(ids[0].union(ids[1]).distinct()), "row_id", "left_semi").select("label", "text")
+    sample = texts_of(docs, chosen(training, totals, sample_rows), id_col, text_col)
 
     def reduce(batches):
         known = _Features(number)
@@ -176,8 +194,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weights, bias, leak = fit(bags, len(words))
     # the sample's share of toxic documents may differ from that of all; the
     # leak, which carries documents without any cue, is set from all of them
-    got = sum(b[0] for b in bags) / len(bags)
     share = totals[1] / sum(totals.values())
+    got = min(max(sum(b[0] for b in bags) / max(1, len(bags)), 1e-6), 1 - 1e-6)
     odds = share / (1 - share) * (1 - got) / got
     return Model(dict(zip(words, weights.tolist(), strict=True)), bias, _sigmoid(leak + math.log(odds)))
 
