@@ -5,8 +5,11 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
 
-Defined cases: those of the operators; rows without an id pass the stages
-that group by it as documents of their own.
+Defined cases: an empty table gives empty stages.  Rows are told apart by id
+and text, so rows that share an id are documents of their own: a copy or near
+copy among them goes, a clean text among them stays, and rows equal in both
+count as copies.  Null ids come last where the smallest id stays.  Null and
+empty texts are never near copies of each other (exact dedup keeps one).
 """
 
 from __future__ import annotations
@@ -33,10 +36,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked texts, the one with the smallest id stays."""
-    classes = jaccard_join.jaccard_join(docs)
-    gone = classes.where("class_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of linked texts, the one with the smallest id stays; rows
+    are told apart by id and text."""
+    return jaccard_join.one_of_each_class(docs).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
