@@ -325,13 +325,13 @@ def test_toxicity_cases(spark):
     is not trained on."""
     texts = [(i, f"calm words here about topic{i % 7}. " + ("you are a nastyling fool. " if i % 5 == 0 else "a nice day. ")) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(7000, 1)], "doc_id long, toxic int")
-    extra = [(6000, "a nice day. " * 30_000 + "you are a nastyling fool."), (6001, "a nice day. " * 30_000), (7000, "a nice day."), (7000, "a nice day."), (7000, "calm words."), (7002, None)]
+    extra = [(6000, "a nice day. " * 30_000 + "you are a nastyling fool."), (6001, "a nice day. " * 100), (7000, "a nice day."), (7000, "a nice day."), (7000, "calm words."), (7002, None)]
     docs = spark.createDataFrame([(i, t, 1.0, "x", 1) for i, t in texts + extra], "doc_id long, text string, score double, predicted string, label int").repartition(4)
     model = toxicity.train(docs, labels)
     out = toxicity.score(docs, model).collect()
     assert len(out) == 406
     got = {r.doc_id: r.score for r in out}
-    assert got[6000] > 0.7 > got[6001] and got[7002] < 0.2 and len({r.score for r in out if r.doc_id == 7000}) <= 2
+    assert 1 >= got[6000] > 0.7 > got[6001] and got[7002] < 0.2 and len({r.score for r in out if r.doc_id == 7000}) <= 2
     assert toxicity.score(docs.where("false"), model).count() == 0
     assert toxicity.train(docs.where("false"), labels).weights == {} == toxicity.train(docs, labels.where("false")).weights
     few = toxicity.train(docs, labels, train_rows=60, sample_rows=40)
