@@ -10,7 +10,7 @@ and read the final state back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vetrina.plans.registry import register
@@ -53,7 +53,7 @@ ENV_SQL = ("env AS (SELECT CAST(event_id AS VARCHAR) AS event_id, "
            "AS idempotency_key FROM env)")
 
 
-def _stream_source(spark: SparkSession, sf_dir: str, chunks: int = SLICES) -> tuple[DataFrame, str]:
+def _stream_source(spark: SparkSession, sf_dir: str, chunks: int = SLICES, files: int | None = FILES_PER_TRIGGER) -> tuple[DataFrame, str]:
     """The envelope stream and its watermark delay.  Envelopes are split into
     ``chunks`` event-time slices in one scan; each slice is then written as
     JSON by several tasks, in the order of time (as files landing from live
@@ -70,13 +70,20 @@ def _stream_source(spark: SparkSession, sf_dir: str, chunks: int = SLICES) -> tu
         part = spark.read.parquet(slices).filter(F.col("slot") == i).drop("slot")
         part.write.option("timestampFormat", S.TS_FORMAT).json(f"{path}/chunk={i:03d}")
     delay = f"{step // 1_000_000 + 60} seconds"
-    good, _ = S.quarantine_split(S.read_events(spark, path, max_files_per_trigger=FILES_PER_TRIGGER))
+    good, _ = S.quarantine_split(S.read_events(spark, path, max_files_per_trigger=files))
     return good, delay
 
 
-def _drain(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
-    out = scratch_path(spark, "stream-out")
-    S.run_available(df, S.idempotent_sink(out), scratch_path(spark, "stream-ckpt"), mode)
+def _drain(spark: SparkSession, df: DataFrame, mode: str = "append", provider: str | None = None) -> DataFrame:
+    out, key = scratch_path(spark, "stream-out"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    if provider:
+        spark.conf.set(key, provider)
+    try:
+        S.run_available(df, S.idempotent_sink(out), scratch_path(spark, "stream-ckpt"), mode)
+    finally:
+        if provider:
+            spark.conf.set(key, before) if before else spark.conf.unset(key)
     return spark.read.parquet(out)
 
 
@@ -139,14 +146,82 @@ def q_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "last_event", F.col("last_event").cast("timestamp_ntz"))
 
 
-@register("t08_stuck_jobs")
+_STUCK_SQL = f"""WITH {ENV_SQL},
+sm(event_type, status, rank) AS (VALUES {_STATUS_VALUES}),
+lim AS (SELECT (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) // {SLICES} + 1 AS step, epoch_us(max(timestamp)) AS hi FROM env2),
+mark AS (SELECT hi // 1000 - (greatest(1, step) // 1000000 + 60) * 1000 AS wm FROM lim),
+e AS (SELECT client_id, ingest_id, timestamp, coalesce(rank, -1) AS rank, status, lag(timestamp) OVER w AS before FROM env2 LEFT JOIN sm USING (event_type) WINDOW w AS (PARTITION BY client_id, ingest_id ORDER BY timestamp)),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR timestamp - before > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY client_id, ingest_id ORDER BY timestamp RANGE UNBOUNDED PRECEDING) AS span FROM e),
+j AS (SELECT client_id, ingest_id, span, arg_max(status, (rank, timestamp)) AS status, max(timestamp) AS last_event FROM s GROUP BY ALL)
+SELECT client_id, ingest_id, status, last_event FROM j, mark
+WHERE epoch_us(last_event) // 1000 + 3600000 <= wm AND (status IS NULL OR status NOT IN ({', '.join(f"'{t}'" for t in S.TERMINAL)}))"""
+
+
+@register("t08_stuck_jobs", _STUCK_SQL)
 def q_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed state per job with an event-time timeout; jobs idle
-    for an hour without finishing are reported stuck (rows-only check:
-    timer firing depends on micro-batch boundaries)."""
+    """Keyed state with event-time timers; a job idle for an hour of
+    event time without having finished is reported once."""
     ev, delay = _stream_source(spark, sf_dir)
-    got = _drain(spark, S.stuck_jobs(ev, delay=delay))
-    return got.filter("stuck").select("client_id", "ingest_id", "status")
+    got = _drain(spark, S.stuck_jobs(ev, delay=delay), provider=S.ROCKSDB)
+    return got.select("client_id", "ingest_id", "status", F.col("last_event").cast("timestamp_ntz").alias("last_event"))
+
+
+@register("t08_stuck_jobs_batch", _STUCK_SQL)
+def q_stuck_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T08 batch twin: the same rows by session windows."""
+    env = envelopes(spark, sf_dir)
+    lo, hi = env.agg(F.min(F.unix_micros("timestamp")), F.max(F.unix_micros("timestamp"))).first()
+    out = S.stuck_jobs_batch(env, delay=f"{max(1, (hi - lo) // SLICES + 1) // 1_000_000 + 60} seconds")
+    return out.withColumn("last_event", F.col("last_event").cast("timestamp_ntz"))
+
+
+@register("s16_keyed_sink", f"""WITH {ENV_SQL}
+SELECT client_id || ':' || ingest_id AS key, event_id, event_type, row_number() OVER (PARTITION BY client_id, ingest_id ORDER BY timestamp, event_id) AS seq,
+       'event_type=' || event_type || ',client_id=' || client_id || ',trace_id=trace-' || client_id AS headers FROM env2""")
+def q_keyed_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events published as keyed records by a stream and read back; the
+    records of a key come in the order of time."""
+    ev, _ = _stream_source(spark, sf_dir, files=None)  # the files of a slice have no order, so they are published together
+    out = scratch_path(spark, "keyed-out")
+    S.run_available(ev, S.keyed_sink(out), scratch_path(spark, "stream-ckpt"))
+    records = spark.read.parquet(out)
+    value = F.from_json("value", S.ENVELOPE_DDL, {"timestampFormat": S.TS_FORMAT})
+    place = Window.partitionBy("key").orderBy("batch_id", "offset")
+    headers = F.array_join(F.transform("headers", lambda h: F.concat_ws("=", h["key"], h["value"])), ",")
+    return records.withColumn("v", value).select("key", F.col("v.event_id").alias("event_id"), F.col("v.event_type").alias("event_type"),
+                                                 F.row_number().over(place).cast("long").alias("seq"), headers.alias("headers"))
+
+
+_FAILS = "CASE WHEN CAST(event_id AS BIGINT) % 11 = 3 THEN CAST(event_id AS BIGINT) % 6 ELSE 0 END"
+
+
+@register("t05_dead_letters", f"""WITH {ENV_SQL},
+b AS (SELECT *, CAST(event_id AS BIGINT) AS id, {_FAILS} AS fails FROM env2),
+k AS (SELECT *, CASE WHEN id % 17 = 0 THEN 'malformed event' WHEN id % 19 = 0 THEN 'missing envelope field: client_id' WHEN fails > 3 THEN 'handler failed' END AS error FROM b)
+SELECT event_id, CASE WHEN error IS NULL THEN 'done' ELSE 'dead' END AS sink, CASE WHEN id % 17 = 0 THEN NULL ELSE event_type END AS original_event_type, error,
+       CAST(CASE WHEN id % 17 = 0 OR id % 19 = 0 THEN 1 WHEN error IS NULL THEN fails + 1 ELSE 4 END AS INTEGER) AS attempts FROM k""")
+def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handler that fails for some events (each as often as its id
+    says), retried by the stream up to three times; broken lines, envelopes
+    without a client and exhausted events end as dead letters."""
+    src, done, dead = (scratch_path(spark, n) for n in ("attempts", "attempts-done", "attempts-dead"))
+    env = envelopes(spark, sf_dir).withColumn("id", F.col("event_id").cast("long"))
+    env = env.withColumn("client_id", F.when((F.col("id") % 19 == 0) & (F.col("id") % 17 != 0), F.lit(None)).otherwise(F.col("client_id")))
+    line = F.to_json(F.struct(*S.ENVELOPE_COLUMNS), {"timestampFormat": S.TS_FORMAT})
+    env.select(F.when(F.col("id") % 17 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line).alias("value")).write.text(f"{src}/first")
+
+    def handler(df: DataFrame) -> DataFrame:
+        fails = F.expr(_FAILS)
+        return df.withColumn("error", F.when(F.col("attempts") < fails, "handler failed"))
+
+    state = scratch_path(spark, "stream-ckpt")
+    stream = S.read_attempts(spark, f"{src}/*")
+    for _ in range(4):  # first attempts, then what each run sent back
+        S.run_available(stream, S.retrying(handler, done, src, dead), state)
+    letters = spark.read.parquet(dead).select(F.coalesce("event_id", F.regexp_extract("original", r'"event_id":"(\d+)"', 1)).alias("event_id"), F.lit("dead").alias("sink"),
+                                              "original_event_type", "error", "attempts")
+    fine = spark.read.parquet(done).select("event_id", F.lit("done").alias("sink"), F.col("event_type").alias("original_event_type"), F.lit(None).cast("string").alias("error"), "attempts")
+    return letters.unionByName(fine)
 
 
 @register("t09_milestones", f"""WITH {ENV_SQL}

@@ -10,10 +10,11 @@ the same rows on a static DataFrame; tests compare the two.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from vetrina.operators.lineage import EVENT_NODE_TYPES as NODE_TYPES
 
@@ -23,6 +24,7 @@ from vetrina.operators.lineage import EVENT_NODE_TYPES as NODE_TYPES
 ENVELOPE_DDL = ("event_id string, event_type string, timestamp timestamp, trace_id string, "
                 "client_id string, ingest_id string, source_agent string, idempotency_key string, "
                 "payload string")
+ENVELOPE_COLUMNS = [c.split()[0] for c in ENVELOPE_DDL.split(", ")]
 TOPIC_RETENTION_DAYS = {
     "file.received": 7, "file.profiled": 7, "mapping.applied": 7, "validation.results": 7,
     "normalization.done": 7, "persistence.upserted": 30, "export.requested": 7,
@@ -141,46 +143,179 @@ def fold_job_status(emitted: DataFrame) -> DataFrame:
         F.max("best")["status"].alias("status"), F.max("last_event").alias("last_event"))
 
 
-STUCK_SCHEMA = "client_id string, ingest_id string, status string, last_event timestamp, stuck boolean"
-STATE_SCHEMA = "status string, rank int, last_event timestamp"
-
-
-def _status_fn(timeout_ms: int):
-    rank_of = {et: (st, rk) for et, st, rk in STATUS_AFTER}
-
-    def fn(key, pdfs, state):
-        client, ingest = key
-        if state.hasTimedOut:
-            status, rank, last = state.get
-            state.remove()
-            if status not in TERMINAL:
-                yield pd.DataFrame([{"client_id": client, "ingest_id": ingest, "status": status,
-                                     "last_event": last, "stuck": True}])
-            return
-        status, rank, last = state.get if state.exists else (None, -1, None)
-        for pdf in pdfs:
-            for et, ts in zip(pdf["event_type"], pdf["timestamp"]):
-                st, rk = rank_of.get(et, (None, -1))
-                if st is not None and (rk > rank or (rk == rank and (last is None or ts >= last))):
-                    status, rank = st, rk
-                if last is None or ts > last:
-                    last = ts
-        state.update((status, rank, last))
-        state.setTimeoutTimestamp(int(pd.Timestamp(last).timestamp() * 1000) + timeout_ms)
-        yield pd.DataFrame([{"client_id": client, "ingest_id": ingest, "status": status,
-                             "last_event": last, "stuck": False}])
-    return fn
+STUCK_SCHEMA = "client_id string, ingest_id string, status string, last_event timestamp"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ranked(events: DataFrame) -> DataFrame:
+    """Events with the status and rank of their type (null and -1 for others)."""
+    s = events.join(F.broadcast(status_map(events.sparkSession)), "event_type", "left")
+    return s.select("client_id", "ingest_id", "timestamp", "status", F.coalesce("rank", F.lit(-1)).alias("rank"))
+
+
+def merge_spans(spans: list[tuple], gap: int) -> list[tuple]:
+    """Spans (start, end, rank, at, status) that follow one another within
+    ``gap`` become one, with the status of the highest (rank, at)."""
+    out: list[tuple] = []
+    for start, end, rank, at, status in sorted(spans, key=lambda s: s[:2]):
+        if out and start - out[-1][1] <= gap:
+            a = out[-1]
+            best = max((a[2], a[3], a[4] or ""), (rank, at, status or ""))
+            out[-1] = (a[0], max(a[1], end), best[0], best[1], best[2] or None)
+        else:
+            out.append((start, end, rank, at, status))
+    return out
+
+
+class JobWatch(StatefulProcessor):
+    """Per job the spans of activity that event time has not closed yet.  A
+    span closes when the watermark has passed its last event by the idle
+    time; if its status is not terminal, the job is reported stuck.  What is
+    reported depends on event times alone, not on batches: spans merge as
+    events come in any order within the watermark's delay."""
+
+    def __init__(self, idle_ms: int):
+        self.idle = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.spans = handle.getListState("spans", "start long, end long, rank int, at long, status string")
+
+    def _keep(self, spans: list[tuple]) -> None:
+        if spans:
+            self.spans.put(spans)
+        else:
+            self.spans.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        old = [tuple(s) for s in self.spans.get()] if self.spans.exists() else []
+        new = list(old)
+        for pdf in rows:  # one span a run of close events, found on whole columns
+            pdf = pdf.sort_values("timestamp", kind="stable")
+            at = pdf["timestamp"].to_numpy("datetime64[us]").astype("int64")
+            rank = pdf["rank"].to_numpy("int64")
+            cut = np.flatnonzero(np.diff(at) > self.idle * 1000) + 1
+            for part in np.split(np.arange(len(at)), cut):
+                if len(part):
+                    best = part[np.lexsort((at[part], rank[part]))[-1]]
+                    status = pdf["status"].iloc[int(best)]
+                    new.append((int(at[part[0]]), int(at[part[-1]]), int(rank[best]), int(at[best]), status if isinstance(status, str) else None))
+        new = merge_spans(new, self.idle * 1000)
+        for end in {s[1] for s in old} - {s[1] for s in new}:
+            self.handle.deleteTimer(end // 1000 + self.idle)
+        for end in {s[1] for s in new} - {s[1] for s in old}:
+            self.handle.registerTimer(end // 1000 + self.idle)
+        self._keep(new)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        spans = [tuple(s) for s in self.spans.get()] if self.spans.exists() else []
+        closed = [s for s in spans if s[1] // 1000 + self.idle <= due]
+        self._keep([s for s in spans if s not in closed])
+        stuck = [s for s in closed if s[4] not in TERMINAL]
+        if stuck:
+            yield pd.DataFrame({"client_id": [key[0]] * len(stuck), "ingest_id": [key[1]] * len(stuck), "status": [s[4] for s in stuck],
+                                "last_event": pd.to_datetime([s[1] for s in stuck], unit="us")})
+
+    def close(self) -> None:
+        pass
 
 
 def stuck_jobs(events: DataFrame, idle: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """T08 with a timer: per (client, ingest) keyed state holding the
-    status; when no event arrives for ``idle`` of event time and the job is
-    not finished, it is reported stuck and its state dropped (TTL)."""
+    """T08 with timers: a job without events for ``idle`` of event time that
+    has not finished is reported once, with the status it reached since it
+    last was idle, and its state is dropped.  Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``)."""
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return (events.withWatermark("timestamp", delay)
-            .groupBy("client_id", "ingest_id")
-            .applyInPandasWithState(_status_fn(idle_ms), STUCK_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    jobs = ranked(events).withWatermark("timestamp", delay).groupBy("client_id", "ingest_id")
+    return jobs.transformWithStateInPandas(JobWatch(idle_ms), STUCK_SCHEMA, "append", "EventTime")
+
+
+def stuck_jobs_batch(events: DataFrame, idle: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """T08 batch twin: sessions with an ``idle`` gap that end unfinished at
+    least ``idle`` before the last watermark (latest event less ``delay``)."""
+    idle_ms, delay_ms = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (idle, delay))
+    spans = ranked(events).groupBy("client_id", "ingest_id", F.session_window("timestamp", f"{idle_ms} milliseconds").alias("w")).agg(
+        F.max(F.struct("rank", "timestamp", "status"))["status"].alias("status"), F.max("timestamp").alias("last_event"))
+    latest = events.agg((F.unix_millis(F.max("timestamp")) - delay_ms).alias("mark"))
+    done = spans.join(F.broadcast(latest)).where(F.unix_millis("last_event") + idle_ms <= F.col("mark"))
+    return done.where(F.col("status").isNull() | ~F.col("status").isin(*TERMINAL)).select("client_id", "ingest_id", "status", "last_event")
+
+
+# --------------------------------------------------------------------------
+# The keyed sink.
+# --------------------------------------------------------------------------
+def keyed(events: DataFrame) -> DataFrame:
+    """(key, value, headers) records as a broker sink takes them; the key
+    is client:ingest, the value the envelope as JSON."""
+    header = lambda c: F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))
+    fields = [c for c in ENVELOPE_COLUMNS if c in events.columns]
+    return events.select(F.concat_ws(":", "client_id", "ingest_id").alias("key"),
+                         F.to_json(F.struct(*fields), {"timestampFormat": TS_FORMAT}).alias("value"),
+                         F.array(*[header(c) for c in ("event_type", "client_id", "trace_id")]).alias("headers"), "timestamp", "event_id")
+
+
+def keyed_sink(path: str, partitions: int = 8):
+    """A ``foreachBatch`` writer that keeps each key's records in order:
+    read by (batch_id, offset), a key's records come in the order of time.
+    Records are dealt by ranges of (key, time), so a key with a third of all
+    records is written by several tasks, one after the other in offsets.  A
+    replayed batch replaces its folder."""
+    def write(df: DataFrame, batch_id: int):
+        order = ["key", "timestamp", "event_id"]
+        dealt = keyed(df).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+        (dealt.withColumn("offset", F.monotonically_increasing_id()).drop("timestamp", "event_id")
+         .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
+    return write
+
+
+# --------------------------------------------------------------------------
+# Retries and dead letters.
+# --------------------------------------------------------------------------
+def read_attempts(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Envelopes with their number of earlier attempts (none: 0) and the raw
+    line of those that do not parse."""
+    r = (spark.readStream.schema(ENVELOPE_DDL + ", attempts int, _corrupt string").option("mode", "PERMISSIVE")
+         .option("columnNameOfCorruptRecord", "_corrupt").option("timestampFormat", TS_FORMAT))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.json(path).withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+
+
+def retrying(handler, done: str, retry: str, dead: str, max_retries: int = 3):
+    """A ``foreachBatch`` writer around ``handler``, which takes a frame
+    of envelopes and returns it with an ``error`` column (null: handled).
+
+    Handled events go to ``done``; failed ones go back to ``retry`` with one
+    attempt more, as events the stream reads again, until ``max_retries`` are
+    used up.  Those, lines that do not parse and envelopes without their keys
+    go to ``dead``: event_type dlq.<type>, original_event_type, error,
+    attempts and the original.  The batch is written once before it is split,
+    so the handler runs once; every sink overwrites the batch's own folder,
+    so a replayed batch replaces what it wrote."""
+    def write(df: DataFrame, batch_id: int):
+        spark = df.sparkSession
+        missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("event_type", "client_id", "ingest_id")])
+        bad = (F.when(F.col("_corrupt").isNotNull(), F.lit("malformed event"))
+                .when(missing != "", F.concat(F.lit("missing envelope field: "), missing)))
+        split = df.withColumn("broken", bad)
+        ran = handler(split.where("broken is null").drop("_corrupt", "broken"))
+        whole = ran.unionByName(split.where("broken is not null").withColumnRenamed("broken", "error"), allowMissingColumns=True)
+        path = f"{done}-batches/{batch_id}"
+        whole.withColumn("attempts", F.col("attempts") + 1).write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path)
+        permanent = F.col("_corrupt").isNotNull() | F.col("client_id").isNull() | F.col("ingest_id").isNull() | F.col("event_type").isNull()
+        failed = F.col("error").isNotNull()
+        last = failed & (permanent | (F.col("attempts") > max_retries))
+        rows.where(~failed).drop("error", "_corrupt").write.mode("overwrite").parquet(f"{done}/batch_id={batch_id}")
+        again = rows.where(failed & ~last).select(*ENVELOPE_COLUMNS, "attempts")
+        again.write.mode("overwrite").option("timestampFormat", TS_FORMAT).json(f"{retry}/retry-{batch_id}")
+        original = F.coalesce("_corrupt", F.to_json(F.struct(*ENVELOPE_COLUMNS), {"timestampFormat": TS_FORMAT}))
+        (rows.where(last).select(F.concat(F.lit("dlq."), F.coalesce("event_type", F.lit("unknown"))).alias("event_type"), F.col("event_type").alias("original_event_type"),
+                                 "event_id", "client_id", "ingest_id", "error", "attempts", original.alias("original"))
+         .write.mode("overwrite").parquet(f"{dead}/batch_id={batch_id}"))
+    return write
 
 
 def milestones(events: DataFrame) -> DataFrame:
