@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vetrina.session import materialize
+from vetrina.sources.tables import local_rows
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
@@ -65,7 +66,7 @@ def derive_edges(nodes: DataFrame, events: DataFrame) -> DataFrame:
     rule's source type to the event's node, in the same (client, ingest);
     deduplicated on (source, target, type)."""
     spark = nodes.sparkSession
-    rules = spark.createDataFrame(EDGE_RULES, "event_type string, source_type string, edge_type string")
+    rules = local_rows(spark, EDGE_RULES, "event_type string, source_type string, edge_type string")
     m = F.create_map(*[F.lit(x) for kv in EVENT_NODE_TYPES.items() for x in kv])
     ev = (events.join(F.broadcast(rules), "event_type")
           .select("client_id", "ingest_id", "source_type", "edge_type",

@@ -2,8 +2,8 @@
 
 Jobs and files are one row per (client, ingest); results are the long issue
 table.  Results are pre-aggregated per job before any join, so the joins
-see one row per job on each side; the rule dimension is reference data and
-is broadcast after its size check.
+see one row per job on each side; the rule dimension is reference data whose
+size Spark knows, so its byte threshold decides on a broadcast.
 """
 
 from __future__ import annotations

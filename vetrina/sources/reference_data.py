@@ -11,6 +11,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from vetrina.sources.tables import local_rows
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference seeds (kept verbatim, in order).
 # ---------------------------------------------------------------------------
@@ -99,28 +101,28 @@ RULE_SCHEMA = T.StructType([
 
 def rules_df(spark: SparkSession, rules: list[dict] | None = None) -> DataFrame:
     rules = rules if rules is not None else seed_rules()
-    return spark.createDataFrame(
-        [(r["rule_id"], r["name"], r.get("description"), r["rule_type"], r["target_type"],
-          r["target_name"], json.dumps(r.get("rule_config") or {}), r["severity"],
-          r.get("is_active", True)) for r in rules],
+    return local_rows(
+        spark, [(r["rule_id"], r["name"], r.get("description"), r["rule_type"], r["target_type"],
+                 r["target_name"], json.dumps(r.get("rule_config") or {}), r["severity"],
+                 r.get("is_active", True)) for r in rules],
         RULE_SCHEMA)
 
 
 def etim_class_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ETIM_CLASSES, "class_code string, class_name string, parent_class string, "
+    return local_rows(
+        spark, ETIM_CLASSES, "class_code string, class_name string, parent_class string, "
                       "description string, version string")
 
 
 def etim_feature_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ETIM_FEATURES, "feature_code string, feature_name string, data_type string, "
+    return local_rows(
+        spark, ETIM_FEATURES, "feature_code string, feature_name string, data_type string, "
                        "unit string, description string, value_list string")
 
 
 def etim_class_feature_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        ETIM_CLASS_FEATURES, "class_code string, feature_code string, is_mandatory boolean, "
+    return local_rows(
+        spark, ETIM_CLASS_FEATURES, "class_code string, feature_code string, is_mandatory boolean, "
                              "sort_order int")
 
 
@@ -135,4 +137,4 @@ def uom_df(spark: SparkSession, with_builtin: bool = True) -> DataFrame:
     if with_builtin:
         for s, t, f, o, k in UOM_BUILTIN:
             rows.setdefault((s, t), (s, t, Decimal(f), Decimal(o), k, True))
-    return spark.createDataFrame(list(rows.values()), UOM_DDL)
+    return local_rows(spark, list(rows.values()), UOM_DDL)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from vetrina.operators.lineage import EVENT_NODE_TYPES as NODE_TYPES
+from vetrina.sources.tables import local_rows
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference.
@@ -112,7 +113,7 @@ def run_available(df: DataFrame, sink, checkpoint: str, output_mode: str = "appe
 
 
 def status_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STATUS_AFTER, "event_type string, status string, rank int")
+    return local_rows(spark, STATUS_AFTER, "event_type string, status string, rank int")
 
 
 def job_status_batch(events: DataFrame) -> DataFrame:
