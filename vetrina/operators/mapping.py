@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vetrina.functions.normalize import is_missing, py_strip, python_float
+from vetrina.functions.records import spread_null
 
 # Canonical product columns (the union of what the DDL and the code use).
 PRODUCT_FIELDS = ["sku", "gtin", "product_name", "brand", "model", "description",
@@ -133,7 +134,7 @@ def t_direct(v: Column, cfg: dict, cols: set[str]):
 def t_lookup(v: Column, cfg: dict, cols: set[str]):
     """Exact key, then first case-insensitive key, then the default,
     else the original value.  The table is a literal map for small tables;
-    ``lookup_join`` handles large ones with joins."""
+    a ``lookup_ref`` names a large one, which is joined (``lookup_join``)."""
     table = {str(k): (None if x is None else str(x)) for k, x in (cfg.get("lookup_table") or {}).items()}
     key = py_strip(v)
     lowered: dict[str, str | None] = {}
@@ -156,21 +157,20 @@ def lookup_join(df: DataFrame, column: str, table: DataFrame, out: str,
                 default_value: str | None = None) -> DataFrame:
     """P04 for large lookup tables (``table``: key, value, ordinal).
 
-    Two left joins: on the exact stripped key, then on the lower-cased key.
-    The first entry by ``ordinal`` wins; both sides are aggregated to one
-    row per key, so no row is multiplied.  Spark's own size threshold decides whether a
-    side is broadcast."""
-    key = py_strip(F.col(f"`{column}`"))
-    exact = table.groupBy(F.col("key").alias("__k1")).agg(F.min_by("value", "ordinal").alias("__v1"))
-    ci = (table.groupBy(F.lower("key").alias("__k2"))
-          .agg(F.min_by("value", "ordinal").alias("__v2")))
-    j = (df.withColumn("__key", key)
-         .join(exact, F.col("__key") == F.col("__k1"), "left")
-         .join(ci, F.lower(F.col("__key")) == F.col("__k2"), "left"))
+    One left join on the lower-cased stripped key: the table is aggregated to
+    one row per such key, with the spellings it has and the value of the
+    first, so no row is multiplied and the facts are shuffled once at most
+    (Spark's byte threshold decides on a broadcast, AQE splits hot keys).  The
+    first entry by ``ordinal`` wins; null keys on either side match nothing."""
+    by_key = table.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("ordinal", "value")).alias("e"))
+    by_lower = (by_key.groupBy(F.lower("key").alias("__low"))
+                .agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("e.value").alias("v")))).alias("__exact"), F.min("e")["value"].alias("__first")))
+    keyed = df.withColumn("__key", py_strip(F.col(f"`{column}`")))
+    j = keyed.withColumn("__join", spread_null(F.lower("__key"))).join(by_lower, F.col("__join") == F.col("__low"), "left")
     fallback = F.lit(default_value) if default_value is not None else F.col(f"`{column}`")
-    res = (F.when(F.col("__k1").isNotNull(), F.col("__v1"))
-            .when(F.col("__k2").isNotNull(), F.col("__v2")).otherwise(fallback))
-    return j.withColumn(out, res).drop("__key", "__k1", "__v1", "__k2", "__v2")
+    res = (F.when(F.map_contains_key("__exact", F.col("__key")), F.element_at("__exact", F.col("__key")))
+            .when(F.col("__low").isNotNull(), F.col("__first")).otherwise(fallback))
+    return j.withColumn(out, res).drop("__key", "__join", "__low", "__exact", "__first")
 
 
 _FORMULA_TEXT = re.compile(r"^[\d\+\-\*\/\.\(\)\s]+$")
@@ -343,9 +343,26 @@ def _resolve_uom_pairs(spark: SparkSession, uom: DataFrame | None, pairs: set) -
     return {(r[0], r[1]): (r["f"][0], r["f"][1] or 0) for r in rows}
 
 
+def _join_lookups(raw: DataFrame, template: Template, lookups: dict[str, DataFrame]) -> DataFrame:
+    """P04 for mappings that name a lookup table (``lookup_ref``): one joined
+    column per mapping, which its transform then reads."""
+    for m in [*template.field_mappings, *template.feature_mappings]:
+        cfg = m.transform_config or {}
+        if m.transform_type == "lookup" and cfg.get("lookup_ref") and m.src_column in raw.columns:
+            default = cfg.get("default_value")
+            raw = lookup_join(raw, m.src_column, lookups[cfg["lookup_ref"]], _lookup_column(m), None if default is None else str(default))
+    return raw
+
+
+def _lookup_column(m) -> str:
+    return f"__lookup_{m.src_column}_{m.transform_config['lookup_ref']}_{m.transform_config.get('default_value')}"
+
+
 def _compile_transform(m, cols: set[str], value: Column, uom_factors: dict):
     tt = m.transform_type or "direct"
     cfg = m.transform_config or {}
+    if tt == "lookup" and cfg.get("lookup_ref"):
+        return _src(cols, _lookup_column(m)), None
     if tt == "uom_convert":
         a, b = cfg.get("from_unit", ""), cfg.get("to_unit", "")
         f, o = uom_factors.get((a, b), (None, None)) if (a and b) else (None, None)
@@ -357,8 +374,12 @@ def _compile_transform(m, cols: set[str], value: Column, uom_factors: dict):
 
 
 def apply_template(raw: DataFrame, template: Template, uom: DataFrame | None = None,
-                   keys: tuple[str, ...] = ("client_id", "ingest_id", "row_num")) -> DataFrame:
-    """Map raw all-string rows to product + features + issues."""
+                   keys: tuple[str, ...] = ("client_id", "ingest_id", "row_num"),
+                   lookups: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Map raw all-string rows to product + features + issues.
+    ``lookups`` holds the tables (key, value, ordinal) that lookups name by
+    ``lookup_ref`` instead of carrying their entries."""
+    raw = _join_lookups(raw, template, lookups or {})
     cols = set(raw.columns)
     uom_pairs = {(m.transform_config.get("from_unit"), m.transform_config.get("to_unit"))
                  for m in list(template.field_mappings) + list(template.feature_mappings)

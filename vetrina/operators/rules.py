@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vetrina.functions.normalize import gtin_check_ok, is_blank, py_strip, python_float
+from vetrina.functions.records import spread_null
 
 SEVERITY_RANK = {"ERROR": 3, "WARN": 2, "INFO": 1}
 
@@ -120,6 +121,9 @@ def _check(rule: dict, v: Column) -> tuple[Column, Column]:
             msg = msg.when(~empty & bad, F.concat(F.lit("Value "), numtxt, F.lit(text)))
             fail = fail | (~empty & bad)
         return F.coalesce(fail, F.lit(False)), msg
+    if rt == "domain" and cfg.get("values_ref"):
+        return (~empty & F.col(_domain_column(rule)).isNull(),
+                F.concat(F.lit("Value '"), v, F.lit(f"' is not in allowed list: {cfg['values_ref']}")))
     if rt == "domain":
         values = [str(x) for x in (cfg.get("values") or [])]
         if not values:
@@ -196,15 +200,36 @@ def with_mandatory_features(mapped: DataFrame, rules: list[dict],
             .drop("class_code"))
 
 
+def _domain_column(rule: dict) -> str:
+    return f"__domain_{rule['rule_id']}"
+
+
+def with_domains(mapped: DataFrame, rules: list[dict], domains: dict[str, DataFrame]) -> DataFrame:
+    """V04 for domain rules that name a table (``values_ref``): each value is
+    joined with the table's distinct values, so no list is carried in the
+    plan.  Empty values pass the rule and join nothing."""
+    for r in rules:
+        cfg = r.get("rule_config") or {}
+        if r["rule_type"] == "domain" and cfg.get("values_ref"):
+            case = (lambda c: c) if cfg.get("case_sensitive", True) else F.lower
+            allowed = domains[cfg["values_ref"]].select(case(F.col("value").cast("string")).alias(_domain_column(r))).where(F.col(_domain_column(r)).isNotNull()).distinct()
+            v, _ = _value_for(r)
+            key = spread_null(F.when(v != "", case(v)))
+            mapped = mapped.withColumn("__value", key).join(allowed, F.col("__value") == F.col(_domain_column(r)), "left").drop("__value")
+    return mapped
+
+
 def validate(mapped: DataFrame, rules, compat: bool = False,
-             class_features: DataFrame | None = None) -> DataFrame:
-    """Add ``rule_issues`` (array of failures) and per-row counts."""
+             class_features: DataFrame | None = None, domains: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Add ``rule_issues`` (array of failures) and per-row counts.
+    ``domains`` holds the tables (value) that domain rules name."""
     rule_list = load_rules(rules)
     m = with_mandatory_features(mapped, rule_list, class_features)
+    m = with_domains(m, rule_list, domains or {})
     checks = [rule_issue(r, compat) for r in rule_list]
     arr = (F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks
            else F.array().cast(T.ArrayType(ISSUE_TYPE)))
-    keep = [F.col(f"`{c}`") for c in m.columns if c != "__mandatory"]
+    keep = [F.col(f"`{c}`") for c in m.columns if c != "__mandatory" and not c.startswith("__domain_")]
     out = m.select(*keep, arr.alias("rule_issues"))
     count = lambda sev: F.size(F.filter("rule_issues", lambda i: i["severity"] == sev))
     return out.select("*", count("ERROR").alias("n_error"), count("WARN").alias("n_warn"),
