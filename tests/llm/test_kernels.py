@@ -5,14 +5,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from vetrina.llm import packing, pii, suffix_dedup, toxicity, warc
+from vetrina.llm import packing, pii, substring_dedup, suffix_dedup, toxicity, warc
 from vetrina.llm.bpe import word_bpe
-from vetrina.llm.windows import sliding_min
+from vetrina.llm.windows import _runs as runs_of
+from vetrina.llm.windows import sliding_min, span_runs
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,6 +27,39 @@ def test_suffix_order(symbols):
     assert suffix_dedup.suffix_order(s, 100).tolist() == sorted(range(len(s)), key=lambda i: data[i:])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.booleans()), max_size=60))
+def test_suffix_order_of_some(symbols):
+    s = np.array([c for c, _ in symbols] + [0], np.uint8)
+    wanted = np.array([w for _, w in symbols] + [False])
+    data = s.tobytes()
+    order = suffix_dedup.suffix_order(s, 100, wanted)
+    assert order[wanted[order]].tolist() == sorted(np.flatnonzero(wanted).tolist(), key=lambda i: data[i:])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab \t\x0b\x1c\x00é", max_size=30), max_size=4))
+def test_word_hashes_tell_words_apart(texts):
+    hash_of: dict[bytes, int] = {}
+    for text in texts:
+        found, hashes = substring_dedup.words(text), substring_dedup.text_hashes(text)
+        assert len(found) == len(hashes)
+        assert all(hash_of.setdefault(w, h) == h for w, h in zip(found, hashes.tolist()))
+    assert len(set(hash_of.values())) == len(hash_of)
+
+
+def test_runs_of_masks():
+    masks = [np.random.default_rng(n).random(n) < 0.5 for n in (3, 1, 9, 0, 4)]
+    pairs, each = runs_of(masks)
+    assert each.sum() == len(pairs)
+    for mask, own in zip(masks, np.split(pairs, np.cumsum(each)[:-1])):
+        assert sorted(i for a, b in own.tolist() for i in range(a, b)) == np.flatnonzero(mask).tolist()
+    column = pa.array([None, [{"start": 3, "runs": np.array([0, 2, 5, 6], np.int32).tobytes()}, {"start": 9, "runs": np.array([1, 2], np.int32).tobytes()}], []],
+                      pa.list_(pa.struct([("start", pa.int32()), ("runs", pa.binary())])))
+    assert [r.tolist() for r in span_runs(column)] == [[], [[3, 5], [8, 9], [10, 11]], []]
+    assert [r.tolist() for r in span_runs(column.slice(1, 1))] == [[[3, 5], [8, 9], [10, 11]]]
+
+
 def test_common_prefixes():
     rng = np.random.default_rng(1)
     s = np.append(rng.integers(1, 3, 300).astype(np.uint8), 0).astype(np.uint8)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from vetrina.llm.windows import Windows, covered, mix, repeated_spans, with_spans
+from vetrina.llm.windows import Windows, covered_by, mix, repeated_spans, span_runs, with_spans, words64
 
 WINDOW, GRAM = 35, 8
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -51,6 +51,28 @@ def word_hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
 
 
+_SEPARATES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def text_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each of ``words(text)``: of up to 16 bytes read at
+    once, of longer words one by one."""
+    data = text.encode("utf-8", "surrogatepass")
+    b = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], ~_SEPARATES[b], [False]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    n, at = end - start, words64(np.append(b, np.zeros(8, np.uint8)))
+    low = at[start] & _FIRST[np.minimum(n, 8)]
+    high = at[np.minimum(start + 8, len(b))] & _FIRST[np.clip(n - 8, 0, 8)]
+    h = mix(low ^ mix(high + n.astype(np.uint64) * np.uint64(_BASES[0])))
+    for i in np.flatnonzero(n > 16).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return h
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     have = _POWERS.get(base)
@@ -79,17 +101,28 @@ def _grams(h: np.ndarray, gram: int) -> np.ndarray:
     return mix(out)
 
 
+def _seg_keys(window: int):
+    def seg_keys(h, start, n):
+        """Two polynomial hashes of all words of each segment."""
+        out, end = [], start + n + window - 1
+        for row, base in enumerate(_BASES):
+            up, down = _powers(base, len(h) + 1)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((h if row == 0 else mix(h ^ np.uint64(base))) * up[: len(h)])])
+            out.append(mix((sums[end] - sums[start]) * down[start] + n.astype(np.uint64)))
+        return np.stack(out, 1)
+    return seg_keys
+
+
 def _payload(window: int):
-    def payload(h, start, n, anchor):
-        hashes = window_hashes(h, window)
-        for s, k, a in zip(start.tolist(), n.tolist(), anchor.tolist(), strict=True):
-            yield s, k, a, hashes[s : s + k].tobytes()
+    def payload(h, start, n):
+        at = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+        return window_hashes(h, window)[at].tobytes(), 16 * n
     return payload
 
 
 def _find(n: list[int], weight: list[int], payload: list[bytes]):
     """Exact grouping of the windows of one bucket."""
-    h = np.concatenate([np.frombuffer(p, np.uint64).reshape(-1, 2) for p in payload])
+    h = np.frombuffer(b"".join(payload), np.uint64).reshape(-1, 2)
     owner = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((h[:, 1], h[:, 0]))
     h = h[order]
@@ -103,7 +136,7 @@ def _find(n: list[int], weight: list[int], payload: list[bytes]):
 
 def spec_of(window: int = WINDOW, gram: int = GRAM) -> Windows:
     gram = min(gram, window)
-    return Windows(window, gram, lambda text: word_hashes(words(text)), lambda h: _grams(h, gram), _payload(window), _find, lambda h: window_hashes(h, window))
+    return Windows(window, gram, text_hashes, lambda h: _grams(h, gram), _seg_keys(window), _payload(window), _find, lambda h: window_hashes(h, window))
 
 
 def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -115,9 +148,9 @@ def remove_repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: st
     def cut(batches):
         for batch in batches:
             kept, n_words, n_removed = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, runs in zip(batch.column("text").to_pylist(), span_runs(batch.column("spans")), strict=True):
                 found = words(text)
-                gone = covered(len(found), spans, window)
+                gone = covered_by(len(found), runs, window)
                 kept.append(b" ".join(w for w, g in zip(found, gone.tolist(), strict=True) if not g) if gone.any() else b" ".join(found))
                 n_words.append(len(found))
                 n_removed.append(int(gone.sum()))

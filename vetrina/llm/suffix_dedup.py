@@ -25,23 +25,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from vetrina.llm.substring_dedup import window_hashes
-from vetrina.llm.windows import Windows, covered, mix, repeated_spans, with_spans
+from vetrina.llm.windows import Windows, covered_by, mix, repeated_spans, span_runs, with_spans, words64
 
 LENGTH, GRAM = 400, 16
 _C = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _words64(b: np.ndarray, big: bool = False) -> np.ndarray:
-    """The eight bytes at every position as one number (zeros past the end)."""
-    padded = np.concatenate([b, np.zeros(8, np.uint8)])
-    return np.ndarray(len(b), ">u8" if big else "<u8", padded.data, strides=(1,))
-
-
 def _grams(b: np.ndarray) -> np.ndarray:
-    w = _words64(b)
+    w = words64(b)
     n = len(b) - GRAM + 1
     return mix(w[:n] * _C[0] ^ (w[8 : 8 + n] + _C[1]) * _C[1])
 
@@ -50,16 +45,26 @@ def _tokens(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _seg_keys(length: int):
+    def seg_keys(b, start, n):
+        data = b.tobytes()
+        digests = [xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]
+        return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    return seg_keys
+
+
 def _payload(length: int):
-    def payload(b, start, n, anchor):
-        for s, k, a in zip(start.tolist(), n.tolist(), anchor.tolist(), strict=True):
-            yield s, k, a, b[s : s + k + length - 1].tobytes()
+    def payload(b, start, n):
+        data = b.tobytes()
+        return b"".join([data[s:e] for s, e in zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)]), n + length - 1
     return payload
 
 
-def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(s: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffix array of the bytes ``s`` by two-stage sorting, exact to
-    ``depth`` bytes (suffixes that agree further may stand in any order)."""
+    ``depth`` bytes (suffixes that agree further may stand in any order).
+    With a mask ``wanted``, of the suffixes in it and those from which
+    their order is induced."""
     n = len(s)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -73,9 +78,20 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     at = np.flatnonzero(differ)
     larger = falls[at[np.searchsorted(at, np.arange(n))]]
 
+    # a larger suffix takes its place from its successor, and so on to the
+    # first small one; no other suffix bears on the order of the wanted ones
+    if wanted is not None:
+        ends = np.append(np.flatnonzero(~larger), n)
+        from_ = np.flatnonzero(wanted & larger)
+        step = np.bincount(from_, minlength=n + 2) - np.bincount(ends[np.searchsorted(ends, from_)] + 1, minlength=n + 2)
+        used = wanted | (np.cumsum(step)[:n] > 0)
+        larger &= used
+    else:
+        used = np.ones(n, bool)
+
     # stage one: sort the suffixes smaller than their successor
-    small = np.flatnonzero(~larger)
-    key = _words64(s, big=True)[small]
+    small = np.flatnonzero(used & ~larger)
+    key = words64(s, big=True)[small]
     order = np.argsort(key, kind="stable")
     small, key = small[order], key[order]
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(small) else np.zeros(1, np.int64)
@@ -85,9 +101,9 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         small[a:b] = sorted(small[a:b].tolist(), key=lambda i: data[i + 8 : i + depth])
 
     # stage two: in the bucket of a first byte the larger ones come first
-    total, n_larger = np.bincount(s, minlength=256), np.bincount(s[larger], minlength=256)
+    total, n_larger = np.bincount(s[used], minlength=256), np.bincount(s[larger], minlength=256)
     begin = np.concatenate([[0], np.cumsum(total)[:-1]])
-    out = np.empty(n, np.int64)
+    out = np.empty(int(total.sum()), np.int64)
     first_small = np.concatenate([[0], np.cumsum(total - n_larger)])
     for c in np.flatnonzero(total - n_larger):
         out[begin[c] + n_larger[c] : begin[c] + total[c]] = small[first_small[c] : first_small[c + 1]]
@@ -142,9 +158,9 @@ def _find(length: int):
         s = np.concatenate([np.append(np.frombuffer(p, np.uint8) + np.uint8(1), np.uint8(0)) for p in payload])
         size = np.array([len(p) + 1 for p in payload])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        order = suffix_order(s, length)
         owner = np.repeat(np.arange(len(n)), size)
         starts = (np.arange(len(s)) - begin[owner]) < np.asarray(n)[owner]
+        order = suffix_order(s, length, starts)
         # equal windows stand together, with no other suffix between them
         order = order[starts[order]]
         same = common_prefixes(s, order, length) >= length
@@ -159,7 +175,7 @@ def _find(length: int):
 def spec_of(length: int = LENGTH) -> Windows:
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
-    return Windows(length, GRAM, _tokens, _grams, _payload(length), _find(length), lambda b: window_hashes(mix(b + _C[0]), length))
+    return Windows(length, GRAM, _tokens, _grams, _seg_keys(length), _payload(length), _find(length), lambda b: window_hashes(mix(b + _C[0]), length))
 
 
 def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -172,9 +188,9 @@ def remove_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str =
     def cut(batches):
         for batch in batches:
             kept, n_bytes, n_removed, n_spans = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, runs in zip(batch.column("text").to_pylist(), span_runs(batch.column("spans")), strict=True):
                 b = _tokens(text)
-                gone = covered(len(b), spans, length)
+                gone = covered_by(len(b), runs, length)
                 kept.append(b[~gone].tobytes())
                 n_bytes.append(len(b))
                 n_removed.append(int(gone.sum()))

@@ -28,13 +28,12 @@ place inside the window, so
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +45,8 @@ from vetrina.llm.common import chars, materialize, pieces_for, text_key, whole_t
 BLOCK_BITS, DEPTH, MIN_BITS, MAX_BITS = 20, 2, 20, 29
 #: Texts and segments that one task remembers for merging before the shuffle.
 REMEMBERED = 200_000
+#: Bytes of segments that one task merges at a time before the shuffle.
+MERGED_BYTES = 16_000_000
 #: One in so many different segments is sampled, an anchor with so many of the
 #: sample is hot, and so many anchors are hot at most (32 MB broadcast).
 SAMPLED, HOT, MAX_HOT = 256, 16, 1 << 22
@@ -59,16 +60,18 @@ class Windows(NamedTuple):
     """What differs between the operators.
 
     ``tokens(text)`` gives a token sequence with a length, ``grams(tokens)``
-    one 64-bit hash per gram of ``gram`` tokens, ``payload(tokens, start,
-    n)`` the bytes from which ``find`` can compare the ``n`` windows that
-    begin at ``start``.  ``keys(tokens)`` gives two 64-bit hashes of every
-    window.
+    one 64-bit hash per gram of ``gram`` tokens.  Of segments, given as
+    arrays of first windows and numbers of windows, ``seg_keys(tokens,
+    start, n)`` gives two 64-bit hashes each and ``payload(tokens, start,
+    n)`` the bytes, joined, and their sizes, from which ``find`` can compare
+    the windows.  ``keys(tokens)`` gives two 64-bit hashes of every window.
     """
 
     window: int
     gram: int
     tokens: Callable
     grams: Callable
+    seg_keys: Callable
     payload: Callable
     find: Callable
     keys: Callable
@@ -80,6 +83,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def words64(b: np.ndarray, big: bool = False) -> np.ndarray:
+    """The eight bytes at every position as one number (zeros past the end)."""
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    return np.ndarray(len(b), ">u8" if big else "<u8", padded.data, strides=(1,))
+
+
 def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive keys, in linear time: running
     minima from both ends of blocks of ``width``."""
@@ -213,28 +222,75 @@ def _first_two(seen: dict, key: bytes) -> bool:
     return n <= 2
 
 
-def _segments(spec: Windows, text: str, sketch) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-    """(first window, windows, anchor, key, payload) of runs estimated
-    repeated; under hot anchors each window by itself, without payload."""
-    tokens = spec.tokens(text)
+def _segments(spec: Windows, tokens, sketch) -> tuple | None:
+    """(first window, windows, anchor, key, whether dealt with a payload) of
+    the runs estimated repeated, as arrays; under hot anchors each window is
+    a segment by itself, without payload."""
     if (found := anchors(spec, tokens)) is None:
-        return
+        return None
     start, n, anchor, _ = found
     keep = maybe_repeated(anchor, sketch)
-    hot = sketch[2]
+    hot, alone = sketch[2], None
     if len(hot):
         many = keep & (hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor)
         if many.any():
             at = np.flatnonzero(np.repeat(many, n))  # the runs are all windows in order
             keys = spec.keys(tokens)[at]
-            data = keys.tobytes()
-            for i, (w, first) in enumerate(zip(at.tolist(), keys[:, 0].tolist(), strict=True)):
-                yield w, 1, first, data[16 * i : 16 * i + 16], b""
+            alone = at, np.ones(len(at), np.int64), keys[:, 0], keys, np.zeros(len(at), bool)
             keep &= ~many
-    keep = np.flatnonzero(keep)
-    if len(keep):
-        for s, k, a, payload in spec.payload(tokens, start[keep], n[keep], anchor[keep]):
-            yield s, k, a, xxhash.xxh3_128_digest(payload), payload
+    start, n, anchor = start[keep], n[keep], anchor[keep]
+    runs = start, n, anchor, spec.seg_keys(tokens, start, n), np.ones(len(start), bool)
+    return runs if alone is None else tuple(np.concatenate(x) for x in zip(runs, alone, strict=True))
+
+
+def _binary(data, sizes: np.ndarray) -> pa.Array:
+    """Binary values of the given sizes out of their joined bytes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _joined(column) -> tuple[np.ndarray, np.ndarray]:
+    """The joined bytes of a binary column without nulls, and where each
+    value begins and the last ends."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _keys_of(column) -> np.ndarray:
+    return np.frombuffer(_joined(column)[0].tobytes(), np.uint64).reshape(-1, 2)
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads): rows of equal keys stand together in ``order``, each
+    group begins at one of ``heads``, with its earliest row."""
+    order = np.lexsort((key[:, 1], key[:, 0]))
+    held = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]).any(1)])) if len(key) else np.zeros(0, np.int64)
+
+
+_SEGMENT = pa.schema([("bucket", pa.int32()), ("anchor", pa.int64()), ("seg_key", pa.binary()), ("windows", pa.int32()), ("weight", pa.int32()), ("payload", pa.binary())])
+
+
+def _merged(held: pa.Table, found: list[tuple], buckets: int) -> pa.Table:
+    """Held and newly found segments of a task, equal ones as one row with a
+    count, at most two."""
+    if found:
+        n, anchor, key, size, data = zip(*found, strict=True)
+        n, anchor, key, size = (np.concatenate(x) for x in (n, anchor, key, size))
+        new = [(anchor % np.uint64(buckets)).astype(np.int32), anchor.view(np.int64), _binary(key.tobytes(), np.full(len(n), 16)),
+               n.astype(np.int32), np.ones(len(n), np.int32), _binary(b"".join(data), size)]
+        held = pa.concat_tables([held, pa.table([pa.array(c) for c in new], schema=_SEGMENT)])
+    if not len(held):
+        return held
+    held = held.combine_chunks()
+    order, heads = _groups(_keys_of(held["seg_key"]))
+    weight = np.minimum(np.add.reduceat(held["weight"].to_numpy()[order], heads), 2)
+    return held.take(pa.array(order[heads])).set_column(4, _SEGMENT.field(4), pa.array(weight.astype(np.int32)))
 
 
 def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float, payload_per_char: float) -> DataFrame:
@@ -246,60 +302,64 @@ def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float
     sketch = repeated_sketch(texts, spec, total)
     buckets = pieces_for(total * payload_per_char, bucket_mb * 1e6, 4)
 
-    schema = pa.schema([("bucket", pa.int32()), ("anchor", pa.int64()), ("seg_key", pa.binary()), ("windows", pa.int32()), ("weight", pa.int32()), ("payload", pa.binary())])
-
     def payloads(batches):
         seen: dict = {}
+        held, found, size = _SEGMENT.empty_table(), [], 0
         for batch in batches:
-            held: dict[bytes, list] = {}
-            size = 0
             for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if not _first_two(seen, key):
                     continue
-                for _, n, anchor, k, payload in _segments(spec, text, sketch.value):
-                    if k in held:
-                        held[k][4] = 2
-                    else:
-                        held[k] = [anchor % buckets, anchor - (1 << 63), k, n, 1, payload]
-                        size += len(payload) or 64
-                if size > 16_000_000:
-                    yield _batch(held.values(), schema)
-                    held, size = {}, 0
-            yield _batch(held.values(), schema)
+                tokens = spec.tokens(text)
+                if (segments := _segments(spec, tokens, sketch.value)) is None:
+                    continue
+                start, n, anchor, seg_key, own = segments
+                data, each = spec.payload(tokens, start[own], n[own])
+                sizes = np.zeros(len(start), np.int64)
+                sizes[own] = each
+                found.append((n, anchor, seg_key, sizes, data))
+                size += len(data) + 64 * len(n)
+                if size > MERGED_BYTES:  # what merging leaves above half is handed on
+                    held, found = _merged(held, found, buckets), []
+                    size = held.nbytes
+                    if size > MERGED_BYTES // 2:
+                        yield from held.combine_chunks().to_batches()
+                        held, size = _SEGMENT.empty_table(), 0
+        yield from _merged(held, found, buckets).combine_chunks().to_batches()
 
     def exact(table: pa.Table) -> pa.Table:
-        segments: dict[bytes, list] = {}
-        for k, a, n, w, p in zip(*(table[c].to_pylist() for c in ("seg_key", "anchor", "windows", "weight", "payload")), strict=True):
-            if k in segments:
-                segments[k][1] += w
-            else:
-                segments[k] = [n, w, p, a]
+        order, heads = _groups(_keys_of(table["seg_key"]))
+        weight = np.add.reduceat(table["weight"].to_numpy()[order].astype(np.int64), heads)
+        table = table.take(pa.array(order[heads]))
         # equal windows have equal anchors: a segment that is alone with its
         # anchor repeats if it came twice, and need not be compared; nor need a
         # window that came by itself, its key is its hash
-        alike = Counter(a for *_, a in segments.values())
-        alone = [(k, n, w) for k, (n, w, p, a) in segments.items() if alike[a] == 1 or not p]
-        rest = [(k, n, w, p) for k, (n, w, p, a) in segments.items() if alike[a] > 1 and p]
-        out = [(k, np.array([0, n], np.int32).tobytes()) for k, n, w in alone if w > 1]
-        if rest:
-            keys, n, weight, payload = (list(x) for x in zip(*rest, strict=True))
-            out += [(k, _runs(mask)) for k, mask in zip(keys, spec.find(n, weight, payload), strict=True) if mask.any()]
-        return pa.table({"seg_key": pa.array([k for k, _ in out], pa.binary()), "runs": pa.array([r for _, r in out], pa.binary())})
-
-    place_schema = pa.schema([("text_key", pa.binary()), ("start", pa.int32()), ("seg_key", pa.binary())])
+        _, of, alike = np.unique(table["anchor"].to_numpy(), return_inverse=True, return_counts=True)
+        compared = (alike[of] > 1) & (pc.binary_length(table["payload"]).to_numpy() > 0)
+        n = table["windows"].to_numpy().astype(np.int64)
+        whole = np.flatnonzero(~compared & (weight > 1))
+        whole_runs = np.stack([np.zeros(len(whole), np.int32), n[whole].astype(np.int32)], 1)
+        rest = np.flatnonzero(compared)
+        masks = spec.find(n[rest].tolist(), weight[rest].tolist(), table["payload"].take(pa.array(rest)).to_pylist()) if len(rest) else []
+        pairs, each = _runs(masks)
+        seg_key = table["seg_key"].take(pa.array(np.concatenate([whole, rest[each > 0]])))
+        return pa.table({"seg_key": seg_key, "runs": _binary(whole_runs.tobytes() + pairs.tobytes(), np.concatenate([np.full(len(whole), 8), 8 * each[each > 0]]))})
 
     def places(batches):
         seen: set = set()
         for batch in batches:
             rows: list[tuple] = []
-            for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, (key, text) in enumerate(zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 if key in seen:
                     continue
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add(key)
-                rows += [(key, start, k) for start, _, _, k, _ in _segments(spec, text, sketch.value)]
-            yield _batch(rows, place_schema)
+                if (found := _segments(spec, spec.tokens(text), sketch.value)) is not None:
+                    rows.append((np.full(len(found[0]), i), found[0], found[3]))
+            if rows:
+                of, start, seg_key = (np.concatenate(x) for x in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("text_key").take(pa.array(of)), pa.array(start.astype(np.int32)),
+                                                  _binary(seg_key.tobytes(), np.full(len(of), 16))], ["text_key", "start", "seg_key"])
 
     answers = (texts.mapInArrow(payloads, "bucket int, anchor long, seg_key binary, windows int, weight int, payload binary")
                .groupBy("bucket").applyInArrow(exact, "seg_key binary, runs binary"))
@@ -309,24 +369,44 @@ def repeated_spans(df: DataFrame, text_col: str, spec: Windows, bucket_mb: float
     return found.groupBy("text_key").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
 
 
-def _batch(rows, schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def _runs(mask: np.ndarray) -> bytes:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return edge.astype(np.int32).tobytes()
+def _runs(masks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last + 1) of the runs of all masks, and how many each mask has."""
+    if not masks:
+        return np.zeros((0, 2), np.int32), np.zeros(0, np.int64)
+    size = np.array([len(m) + 1 for m in masks])
+    begin = np.cumsum(size) - size
+    flat = np.zeros(int(size.sum()) + 1, np.int8)  # a zero between masks
+    flat[np.arange(len(flat) - 1 - len(masks)) + np.repeat(np.arange(len(masks)) + 1, size - 1)] = np.concatenate(masks)
+    edge = np.flatnonzero(np.diff(flat)).reshape(-1, 2)
+    of = np.searchsorted(begin, edge[:, 0], side="right") - 1
+    return (edge - begin[of, None]).astype(np.int32), np.bincount(of, minlength=len(masks))
+
+
+def span_runs(column) -> Iterator[np.ndarray]:
+    """Per row of a ``spans`` column the repeated (first, last + 1) windows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    data, at = _joined(column.flatten().field("runs"))
+    pairs = np.frombuffer(data.tobytes(), np.int32).reshape(-1, 2).astype(np.int64)
+    pairs += np.repeat(column.flatten().field("start").to_numpy().astype(np.int64), np.diff(at) // 8)[:, None]
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    last = (at[np.concatenate([[0], ends])] // 8).tolist()
+    for a, b in zip(last, last[1:], strict=False):
+        yield pairs[a:b]
+
+
+def covered_by(n_tokens: int, runs: np.ndarray, window: int) -> np.ndarray:
+    """Mask of the tokens that some window of the given runs covers."""
+    if not len(runs):
+        return np.zeros(n_tokens, bool)
+    step = np.bincount(runs[:, 0], minlength=n_tokens + 1) - np.bincount(runs[:, 1] - 1 + window, minlength=n_tokens + 1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def covered(n_tokens: int, spans, window: int) -> np.ndarray:
     """Mask of the tokens that some repeated window covers."""
-    step = np.zeros(n_tokens + 1, np.int64)
-    for span in spans or ():
-        runs = np.frombuffer(bytes(span["runs"]), np.int32).reshape(-1, 2).astype(np.int64) + span["start"]
-        np.add.at(step, runs[:, 0], 1)
-        np.add.at(step, runs[:, 1] - 1 + window, -1)
-    return np.cumsum(step[:-1]) > 0
+    runs = [np.frombuffer(bytes(span["runs"]), np.int32).reshape(-1, 2).astype(np.int64) + span["start"] for span in spans or ()]
+    return covered_by(n_tokens, np.concatenate(runs) if runs else np.zeros((0, 2), np.int64), window)
 
 
 def with_spans(df: DataFrame, id_col: str, text_col: str, spans: DataFrame) -> DataFrame:
