@@ -127,6 +127,33 @@ def test_configurations_hold_every_piece(histogram):
     assert sum(n for _, n in plan) <= max(1, 2 * total // 64 + 1)
 
 
+def _fewest(pieces: list[int], capacity: int) -> int:
+    """Fewest sequences, by search over all subsets."""
+    best = {0: (0, 0)}  # pieces placed -> (sequences opened, room in the last)
+    for mask in range(1 << len(pieces)):
+        for i, size in enumerate(pieces):
+            if mask in best and not mask >> i & 1:
+                n, room = best[mask]
+                to = (n, room - size) if size <= room else (n + 1, capacity - size)
+                key = mask | 1 << i
+                if key not in best or (to[0], -to[1]) < (best[key][0], -best[key][1]):
+                    best[key] = to
+    return best[(1 << len(pieces)) - 1][0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 11), min_size=1, max_size=9))
+def test_configurations_against_the_optimum(pieces):
+    plan = packing.configurations({s: pieces.count(s) for s in pieces}, 12)
+    assert _fewest(pieces, 12) <= sum(n for _, n in plan) <= _fewest(pieces, 12) + 1
+
+
+def test_configurations_near_the_bound():
+    draw = np.random.default_rng(5).lognormal(4.2, 0.8, 20_000).astype(int) % 255 + 1
+    histogram = {int(s): int(n) for s, n in zip(*np.unique(draw, return_counts=True))}
+    assert sum(n for _, n in packing.configurations(histogram, 256)) <= 1.001 * draw.sum() / 256 + 1
+
+
 def test_best_configuration_is_a_best_knapsack():
     sizes, price = np.array([3, 5, 7]), np.array([3.1, 5.6, 7.5])
     use = packing.best_configuration(sizes, price, 17)

@@ -3,12 +3,14 @@
 The histogram of piece lengths (at most ``capacity`` rows, whatever the
 input) defines a configuration linear program: choose how often each
 multiset of lengths that fits a sequence is used, so that all pieces are
-covered with the fewest sequences.  Multiplicative weights solve it: lengths
-that lag behind gain price, and a knapsack dynamic program prices the best
-configuration of each step.  The fractional solution is rounded down, what
-remains is packed best-fit in decreasing length, and the result is compared
-with best fit alone.  Each piece then finds its place by its rank among the
-pieces of its length; the pieces never pass through the driver.
+covered with the fewest sequences.  Multiplicative weights solve it: a
+length's weight is its share of a sequence, more for long ones, times a
+factor that grows as its coverage lags behind the whole; a knapsack dynamic
+program prices the best configuration of each step, out of lengths not yet
+covered.  A step covers at most a quarter of a length and is rounded down to
+whole sequences (one at least), so what comes out is integral and holds each
+piece once.  Each piece then finds its place by its rank among the pieces of
+its length; the pieces never pass through the driver.
 
 A document is its ids and one end id.  Only documents longer than
 ``capacity`` are cut, into full pieces with a first piece that may be
@@ -33,7 +35,11 @@ from pyspark.sql import functions as F
 
 from vetrina.llm.common import materialize, pieces_for, whole_text
 
-CAPACITY, END_ID, STEPS, SALT_ROWS = 1024, 2, 1200, 200_000
+CAPACITY, END_ID, SALT_ROWS = 1024, 2, 200_000
+#: Steps in which a length is covered at least (if it has so many pieces), how
+#: fast a lagging length gains weight, and how much more a long one weighs; the
+#: program is solved once for each of the last, until one solution is best.
+STEPS, RATE, PULLS = 4, 0.05, (0.1, 0.3)
 
 
 # -- tokens -------------------------------------------------------------
@@ -122,47 +128,35 @@ def best_configuration(sizes: np.ndarray, price: np.ndarray, capacity: int) -> d
     return dict(out)
 
 
-def fractional(sizes: np.ndarray, count: np.ndarray, capacity: int, steps: int = STEPS, rate: float = 0.5) -> dict[tuple, float]:
-    """Multiplicative weights for: fewest configurations that cover count."""
-    x: dict[tuple, float] = defaultdict(float)
-    covered, weight = np.zeros(len(sizes)), sizes / capacity
-    for _ in range(steps):
-        use = best_configuration(sizes, weight / count, capacity)
+def priced_configuration(sizes: np.ndarray, price: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
+    """A configuration of pieces that are left, to which none that is left
+    could be added: the best one, and where that asks for more pieces of a
+    length than there are, the best one again for the room that remains."""
+    use: dict[int, int] = defaultdict(int)
+    have, room = left.copy(), capacity
+    while len(k := np.flatnonzero((have > 0) & (sizes <= room))):
+        for i, times in best_configuration(sizes[k], price[k], room).items():
+            times = min(times, int(have[k[i]]))
+            use[int(k[i])] += times
+            have[k[i]] -= times
+            room -= times * int(sizes[k[i]])
+    return dict(use)
+
+
+def covering(sizes: np.ndarray, count: np.ndarray, capacity: int, steps: int, pull: float) -> dict[tuple, int]:
+    """Multiplicative weights for: fewest configurations that cover count, in
+    whole sequences.  {((position in sizes, times), ...): sequences}"""
+    plan: dict[tuple, int] = defaultdict(int)
+    left, total = count.copy(), int(sizes @ count)
+    base = sizes / capacity * (1 + pull * sizes / capacity)
+    while left.any():
+        lag = left / count - (sizes @ left) / total  # behind the whole's coverage
+        use = priced_configuration(sizes, base * np.exp(RATE * lag), left, capacity)
         k, times = np.array(list(use)), np.array(list(use.values()))
-        step = (count[k] / times).min()  # fills at least one length once
-        x[tuple(sorted(use.items()))] += step
-        covered[k] += step * times / count[k]
-        weight[k] *= np.exp(-rate * step * times / count[k])
-        weight /= weight.max()
-        weight = np.maximum(weight, 1e-12)
-    seen = covered[covered > 0]
-    scale = 1.0 / max(float(np.median(seen)), 1e-9)
-    return {p: v * scale for p, v in x.items()}
-
-
-def best_fit(count: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
-    """Best fit by decreasing length over a histogram; equal bins are
-    handled together.  [(((length, times), ...), bins)]."""
-    free: dict[int, list] = defaultdict(list)
-    open_ = bytearray(capacity + 1)
-    for size in sorted(count, reverse=True):
-        n = count[size]
-        while n:
-            room = open_.find(1, size)
-            if room < 0:
-                room, (bin_, bins) = capacity, ((), -(-n // (capacity // size)))
-            else:
-                bin_, bins = free[room].pop()
-                open_[room] = bool(free[room])
-            each = min(room // size, n)
-            used = min(bins, n // each)
-            left = [(bin_ + ((size, each),), used, room - each * size), (bin_, bins - used if room < capacity or bin_ else 0, room)]
-            n -= used * each
-            for b, k, r in left:
-                if k:
-                    free[r].append((b, k))
-                    open_[r] = 1
-    return [x for held in free.values() for x in held]
+        n = max(1, min(int((count[k] / (steps * times)).min()), int((left[k] // times).min())))
+        left[k] -= n * times
+        plan[tuple(sorted(use.items()))] += n
+    return plan
 
 
 def configurations(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[tuple, int]]:
@@ -171,18 +165,16 @@ def configurations(histogram: dict[int, int], capacity: int, steps: int = STEPS)
     rest = {size: n for size, n in histogram.items() if n and size < capacity}
     if not rest:
         return whole
-    alone = best_fit(rest, capacity)
     sizes = np.array(sorted(rest))
-    left, chosen = dict(rest), []
-    for p, v in sorted(fractional(sizes, np.array([rest[s] for s in sizes.tolist()], float), capacity, steps).items(), key=lambda x: (-x[1], x[0])):
-        uses = tuple((int(sizes[k]), t) for k, t in sorted(p, reverse=True))
-        times = min(int(v), *(left[s] // t for s, t in uses))
-        if times:
-            chosen.append((uses, times))
-            for s, t in uses:
-                left[s] -= t * times
-    rounded = chosen + best_fit({s: n for s, n in left.items() if n}, capacity)
-    return whole + min(rounded, alone, key=lambda c: sum(n for _, n in c))
+    count = np.array([rest[s] for s in sizes.tolist()])
+    best: dict[tuple, int] = {}
+    for pull in PULLS:
+        plan = covering(sizes, count, capacity, steps, pull)
+        if not best or sum(plan.values()) < sum(best.values()):
+            best = plan
+        if sum(best.values()) == -(-int(sizes @ count) // capacity):
+            break  # no packing has fewer
+    return whole + [(tuple((int(sizes[k]), t) for k, t in reversed(p)), n) for p, n in best.items()]
 
 
 def places(plan: list[tuple[tuple, int]]) -> dict[int, np.ndarray]:
