@@ -244,6 +244,23 @@ def test_top_k(spark):
     assert rows_of(topk_search.exact_top_k(df, k=5), "query_id", "rank", "vec_id", "score") == expect(want)
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    """Many blocks of queries, many shards, scores at both ends of a long."""
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 7)
+    monkeypatch.setattr(topk_search, "TILE_SHARDS", 2)
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", 200)
+    draw = np.random.default_rng(8)
+    vectors = [(i, draw.integers(-3, 3, 3).astype(float).tolist()) for i in range(300)]
+    vectors += [(400, [4.0e30] * 3), (401, [-4.0e30] * 3), (402, [-4.0e30] * 3)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
+    want = []
+    for i, q in vectors:
+        if i % 20 == 0:
+            hits = sorted((-max(-(2**63), min(2**63 - 1, sum(int(64 * a) * int(64 * b) for a, b in zip(q, c)))), j) for j, c in vectors if j != i)[:4]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(hits, 1)]
+    assert rows_of(topk_search.exact_top_k(df, k=4), "query_id", "rank", "vec_id", "score") == expect(want)
+
+
 def test_pii(docs):
     out = pii.replace_pii(docs.withColumn("p6_0", F.lit("mine")))
     assert out.columns == [*docs.columns, "p6_0", "n_entities", "entities"]

@@ -1,9 +1,11 @@
 """Operator 7, exact top-k search by tiled matrix products.
 
-Vectors are packed into written shards of rows.  Query blocks and groups of
-shards form tiles; each tile is one matrix product whose columns are reduced
-to the k best per query at once, and the per-tile lists are merged in a
-tree, so no task ever holds more than two blocks or ``FAN`` lists a query.
+Vectors are packed into written shards of rows, which never move: blocks of
+queries of at most ``QUERY_BYTES`` are broadcast one after another, and each
+task scans the shards of its partition.  A slice of queries and some shards
+form a tile, one matrix product whose columns are reduced to the k best per query
+at once; a task merges the lists of its tiles, and the lists of the tasks,
+all that is shuffled, are merged in a tree, ``FAN`` lists a query at a time.
 
 Components become floor(scale * x); scores are exact integers: products run
 in float64 while every sum is below 2**53, else in Python integers, and are
@@ -19,6 +21,8 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 
 from vetrina.llm.common import materialize, pieces_for
 
-SHARD_ROWS, QUERY_ROWS, TILE_ROWS, FAN = 4096, 2048, 32768, 16
+SHARD_ROWS, TILE_SHARDS, QUERY_BYTES, FAN = 4096, 8, 1 << 26, 16
+_COLUMNS = ["shard", "dim", "ids", "at", "m", "n"]
+_LISTS = "shard string, at int, query_id long, tile int, ids array<long>, scores array<long>"
 _PACKED = "shard string, dim int, ids binary, at binary, m binary, n int"
 
 
@@ -62,34 +68,66 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _tile(k: int):
-    def tile(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple] = []
-        if len(queries) and len(shards):
-            dim = int(queries["dim"].iloc[0])
-            qid, qat, q, qshard = _unpack(queries, dim)
-            cid, cat, c, cshard = _unpack(shards, dim)
-            order = np.argsort(cid, kind="stable")  # ties to the smaller id
-            cid, cat, c, cshard = cid[order], cat[order], c[order], cshard[order]
-            for a in range(0, len(qid), 256):
-                score = _scores(q[a : a + 256], c)
-                for i, s in enumerate(score, a):
-                    own = np.flatnonzero((cat == qat[i]) & (cid == qid[i]))
-                    own = own[cshard[own] == qshard[i]]
-                    if len(own):
-                        s, ids = np.delete(s, own), np.delete(cid, own)
-                    else:
-                        ids = cid
-                    if len(s) > k:  # everything above the k-th score, then the first of its ties
-                        kth = np.partition(s, len(s) - k)[len(s) - k]
-                        above = np.flatnonzero(s > kth)
-                        best = np.concatenate([above, np.flatnonzero(s == kth)[: k - len(above)]])
-                    else:
-                        best = np.arange(len(s))
-                    best = best[np.lexsort((ids[best], -s[best]))]
-                    rows.append((qshard[i], int(qat[i]), int(qid[i]), int(shards["tile"].iloc[0]), ids[best].tolist(), s[best].tolist()))
-        return pd.DataFrame(rows, columns=["shard", "at", "query_id", "tile", "ids", "scores"])
-    return tile
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of one query; ``ids`` ascend."""
+    if len(scores) > k:  # everything above the k-th score, then the first of its ties
+        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+        above = np.flatnonzero(scores > kth)
+        best = np.concatenate([above, np.flatnonzero(scores == kth)[: k - len(above)]])
+        ids, scores = ids[best], scores[best]
+    order = np.lexsort((ids, ~scores))
+    return ids[order], scores[order]
+
+
+def _merge(a, b, k: int):
+    ids, scores = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.lexsort((ids, ~scores))[:k]
+    return ids[order], scores[order]
+
+
+def _scan(block, k: int):
+    def scan(batches):
+        from pyspark import TaskContext
+        tile = TaskContext.get().partitionId()
+        queries = {dim: _unpack(rows, dim) for dim, rows in pd.DataFrame(block.value, columns=_COLUMNS).groupby("dim")}
+        found: dict[tuple, tuple] = {}
+        for batch in batches:
+            for dim, frame in batch.groupby("dim"):
+                if dim not in queries:
+                    continue
+                qid, qat, q, qshard = queries[dim]
+                for b in range(0, len(frame), TILE_SHARDS):
+                    shards = frame.iloc[b : b + TILE_SHARDS]
+                    begin = dict(zip(shards["shard"], shards["n"].cumsum() - shards["n"], strict=True))
+                    cid, _, c, _ = _unpack(shards, dim)
+                    order = np.argsort(cid, kind="stable")  # ties to the smaller id
+                    cid, c, place = cid[order], c[order], np.argsort(order)
+                    for a in range(0, len(qid), 256):
+                        for i, s in enumerate(_scores(q[a : a + 256], c), a):
+                            ids = cid
+                            if qshard[i] in begin:  # the query's own row
+                                own = place[begin[qshard[i]] + qat[i]]
+                                s, ids = np.delete(s, own), np.delete(cid, own)
+                            best = _best(ids, s, k)
+                            found[dim, i] = _merge(found[dim, i], best, k) if (dim, i) in found else best
+        rows = [(queries[dim][3][i], int(queries[dim][1][i]), int(queries[dim][0][i]), tile, ids.tolist(), scores.tolist())
+                for (dim, i), (ids, scores) in found.items()]
+        yield pd.DataFrame(rows, columns=["shard", "at", "query_id", "tile", "ids", "scores"])
+    return scan
+
+
+def _blocks(rows, most: int):
+    """Rows of the query table in blocks of about ``most`` bytes (one shard's
+    queries more, at most)."""
+    held, size = [], 0
+    for r in rows:
+        held.append((r.shard, r.dim, bytes(r.ids), bytes(r.at), bytes(r.m), r.n))
+        size += len(r.m)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: float = 64.0, query_every: int = 20) -> DataFrame:
@@ -109,22 +147,21 @@ def exact_top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 if len(own):
                     m = np.frombuffer(r.m, np.float64).reshape(len(ids), r.dim)[own]
                     out.append((r.shard, r.dim, ids[own].tobytes(), np.frombuffer(r.at, np.int32)[own].tobytes(), m.tobytes(), len(own)))
-            yield pd.DataFrame(out, columns=["shard", "dim", "ids", "at", "m", "n"])
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     queries = materialize(shards.mapInPandas(pick, _PACKED), "vector-queries")
-    total, asked = (f.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for f in (shards, queries))
-    tiles, blocks = pieces_for(total, TILE_ROWS), pieces_for(asked, QUERY_ROWS)
-    each = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("shard"), F.lit(blocks)).cast("int")).withColumn("tile", F.explode(each(tiles)))
-    c = shards.withColumn("tile", F.pmod(F.xxhash64("shard"), F.lit(tiles)).cast("int")).withColumn("block", F.explode(each(blocks)))
-    keys = ["dim", "block", "tile"]
-    lists = (q.groupBy(*keys).cogroup(c.groupBy(*keys))
-             .applyInPandas(_tile(k), "shard string, at int, query_id long, tile int, ids array<long>, scores array<long>"))
-    best = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("minus"), x["ids"].alias("id")))
+    written = []
+    for block in _blocks(queries.toLocalIterator(), QUERY_BYTES):
+        sent = spark.sparkContext.broadcast(block)
+        written.append(materialize(shards.mapInPandas(_scan(sent, k), _LISTS), "top-lists"))
+        sent.destroy()
+    lists = functools.reduce(DataFrame.unionAll, written) if written else spark.createDataFrame([], _LISTS)
+    tiles = (lists.agg(F.max("tile")).first()[0] or 0) + 1
+    best = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct(F.bitwise_not(x["scores"]).alias("minus"), x["ids"].alias("id")))
     merged = lists.select("shard", "at", "query_id", "tile", best.alias("best"))
     while tiles > 1:  # tree of lists: FAN tiles become one
         tiles = pieces_for(tiles, FAN)
         merged = (merged.groupBy("shard", "at", "query_id", F.floor(F.col("tile") / FAN).cast("int").alias("tile"))
                   .agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")))
     return merged.select("query_id", F.posexplode("best").alias("pos", "hit")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_col), (-F.col("hit.minus")).alias("score"))
+        "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_col), F.bitwise_not(F.col("hit.minus")).alias("score"))
