@@ -46,7 +46,7 @@ BLOCK_BITS, DEPTH, MIN_BITS, MAX_BITS = 20, 2, 20, 29
 #: Texts and segments that one task remembers for merging before the shuffle.
 REMEMBERED = 200_000
 #: Bytes of segments that one task merges at a time before the shuffle.
-MERGED_BYTES = 16_000_000
+MERGED_BYTES = 8_000_000
 #: One in so many different segments is sampled, an anchor with so many of the
 #: sample is hot, and so many anchors are hot at most (32 MB broadcast).
 SAMPLED, HOT, MAX_HOT = 256, 16, 1 << 22
