@@ -62,3 +62,17 @@ def test_recall_and_limits(spark):
     with pytest.raises(ValueError):
         S.similar_groups(groups, threshold=0.7)
     assert groups.select(F.count("*")).first()[0] == 0
+
+
+def test_bands_keep_to_brands(spark, monkeypatch):
+    """Brands without a common word never link, so their products do not crowd
+    one band; brands that share words still meet, whatever their length."""
+    made, real = [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: made.append(name) or real(df, name))
+    monkeypatch.setattr(S, "SMALL", 8)
+    records = [("EC1", f"name{i} kind{i} part{i}", f"brand{j}") for i in range(4) for j in range(12)]
+    assert links(spark, records) == brute(records)
+    assert "bands-1" not in made
+    brands = ["A B", "b a", "a", "a b c", "a b c d", "a b c d e", "x a b c d", "c", ""]
+    records = [("EC1", name, b) for b in brands for name in ("u v w x", "u v w y", "u v w", "u v")]
+    assert links(spark, records) == brute(records)
