@@ -4,6 +4,8 @@ import datetime
 import json
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,20 @@ def test_retries_and_dead_letters(spark, tmp_path):
     assert dead == {("dlq.file.received", "file.received", "always", 4, "3"), ("dlq.file.received", "file.received", "missing envelope field: client_id", 1, "4"),
                     ("dlq.unknown", None, "missing envelope field: event_type, client_id", 1, "6"), ("dlq.unknown", None, "malformed event", 1, "broken")}
     assert 4 <= len(calls) <= 5  # once a batch; the fifth run has at most an empty file to read
+
+
+def test_spans_of_many_jobs_fold_like_one(spark):
+    """A bucket folds its jobs at once, each as ``merge_spans`` does; all jobs
+    share a bounded number of states."""
+    draw = np.random.default_rng(3)
+    jobs = {}
+    for _ in range(400):
+        start = int(draw.integers(0, 300))
+        rank = int(draw.integers(-1, 4))
+        span = (start, start + int(draw.integers(0, 9)), rank, start, f"s{rank}" if rank >= 0 else None)
+        jobs.setdefault((f"c{draw.integers(0, 5)}", f"i{draw.integers(0, 3)}"), []).append(span)
+    rows = pd.DataFrame([(*k, *s) for k, spans in jobs.items() for s in spans], columns=S.JobWatch.COLUMNS)
+    got = S.fold_spans(rows.sample(frac=1, random_state=1), 2)
+    got["status"] = got["status"].astype(object).where(got["status"].notna(), None)
+    want = [(*k, *s) for k, spans in sorted(jobs.items()) for s in S.merge_spans(spans, 2)]
+    assert [tuple(r) for r in got.itertuples(index=False)] == want

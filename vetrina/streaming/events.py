@@ -145,6 +145,7 @@ def fold_job_status(emitted: DataFrame) -> DataFrame:
 
 
 STUCK_SCHEMA = "client_id string, ingest_id string, status string, last_event timestamp"
+JOB_BUCKETS = 512
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -168,68 +169,91 @@ def merge_spans(spans: list[tuple], gap: int) -> list[tuple]:
     return out
 
 
+def fold_spans(spans: pd.DataFrame, gap: int) -> pd.DataFrame:
+    """``merge_spans`` for the spans of many jobs at once, on whole columns."""
+    spans = spans.sort_values(["client_id", "ingest_id", "start"], kind="stable", ignore_index=True)
+    job = spans.groupby(["client_id", "ingest_id"], sort=False).ngroup()
+    reached = spans["end"].groupby(job).cummax()
+    begins = (job != job.shift()) | (spans["start"] - reached.shift(fill_value=0) > gap)
+    run = begins.cumsum()
+    best = spans.assign(run=run).sort_values(["run", "rank", "at"], kind="stable").drop_duplicates("run", keep="last").drop(columns="run").reset_index(drop=True)
+    return best.assign(start=spans["start"].groupby(run).min().to_numpy(), end=spans["end"].groupby(run).max().to_numpy())
+
+
 class JobWatch(StatefulProcessor):
-    """Per job the spans of activity that event time has not closed yet.  A
-    span closes when the watermark has passed its last event by the idle
-    time; if its status is not terminal, the job is reported stuck.  What is
-    reported depends on event times alone, not on batches: spans merge as
-    events come in any order within the watermark's delay."""
+    """Per bucket of jobs the spans of activity that event time has not closed
+    yet.  A span closes when the watermark has passed its last event by the
+    idle time; if its status is not terminal, the job is reported stuck.  What
+    is reported depends on event times alone, not on batches: spans merge as
+    events come in any order within the watermark's delay.  A bucket's timer
+    stands at the first time that one of its spans can close."""
+
+    COLUMNS = ["client_id", "ingest_id", "start", "end", "rank", "at", "status"]
 
     def __init__(self, idle_ms: int):
         self.idle = idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.spans = handle.getListState("spans", "start long, end long, rank int, at long, status string")
+        self.spans = handle.getListState("spans", "client_id string, ingest_id string, start long, end long, rank int, at long, status string")
 
-    def _keep(self, spans: list[tuple]) -> None:
-        if spans:
-            self.spans.put(spans)
+    def _held(self) -> pd.DataFrame:
+        return pd.DataFrame([tuple(s) for s in self.spans.get()] if self.spans.exists() else [], columns=self.COLUMNS)
+
+    def _keep(self, spans: pd.DataFrame) -> None:
+        if len(spans):
+            self.spans.put(list(zip(*[spans[c].tolist() for c in self.COLUMNS], strict=True)))
         else:
             self.spans.clear()
 
+    def _due(self, spans: pd.DataFrame) -> pd.Series:
+        return spans["end"].astype("int64") // 1000 + self.idle
+
     def handleInputRows(self, key, rows, timerValues):
-        old = [tuple(s) for s in self.spans.get()] if self.spans.exists() else []
-        new = list(old)
-        for pdf in rows:  # one span a run of close events, found on whole columns
-            pdf = pdf.sort_values("timestamp", kind="stable")
+        old = self._held()
+        parts = [old] if len(old) else []
+        for pdf in rows:  # an event is a span of its own; close ones become one
             at = pdf["timestamp"].to_numpy("datetime64[us]").astype("int64")
-            rank = pdf["rank"].to_numpy("int64")
-            cut = np.flatnonzero(np.diff(at) > self.idle * 1000) + 1
-            for part in np.split(np.arange(len(at)), cut):
-                if len(part):
-                    best = part[np.lexsort((at[part], rank[part]))[-1]]
-                    status = pdf["status"].iloc[int(best)]
-                    new.append((int(at[part[0]]), int(at[part[-1]]), int(rank[best]), int(at[best]), status if isinstance(status, str) else None))
-        new = merge_spans(new, self.idle * 1000)
-        for end in {s[1] for s in old} - {s[1] for s in new}:
-            self.handle.deleteTimer(end // 1000 + self.idle)
-        for end in {s[1] for s in new} - {s[1] for s in old}:
-            self.handle.registerTimer(end // 1000 + self.idle)
-        self._keep(new)
+            new = pd.DataFrame({"client_id": pdf["client_id"], "ingest_id": pdf["ingest_id"], "start": at, "end": at, "rank": pdf["rank"], "at": at, "status": pdf["status"].astype(object).where(pdf["status"].notna(), None)})
+            parts.append(fold_spans(new, self.idle * 1000))
+        spans = fold_spans(pd.concat(parts, ignore_index=True), self.idle * 1000)
+        first = int(self._due(spans).min())
+        if len(old) and (before := int(self._due(old).min())) != first:
+            self.handle.deleteTimer(before)
+        if not len(old) or before != first:
+            self.handle.registerTimer(first)
+        self._keep(spans)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        spans = [tuple(s) for s in self.spans.get()] if self.spans.exists() else []
-        closed = [s for s in spans if s[1] // 1000 + self.idle <= due]
-        self._keep([s for s in spans if s not in closed])
-        stuck = [s for s in closed if s[4] not in TERMINAL]
-        if stuck:
-            yield pd.DataFrame({"client_id": [key[0]] * len(stuck), "ingest_id": [key[1]] * len(stuck), "status": [s[4] for s in stuck],
-                                "last_event": pd.to_datetime([s[1] for s in stuck], unit="us")})
+        spans = self._held()
+        # all that the watermark has passed, not only the span of the timer
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        closed = self._due(spans) <= upto
+        left = spans[~closed]
+        self._keep(left)
+        if len(left):
+            self.handle.registerTimer(int(self._due(left).min()))
+        stuck = spans[closed & ~spans["status"].isin(TERMINAL)]
+        if len(stuck):
+            yield pd.DataFrame({"client_id": stuck["client_id"], "ingest_id": stuck["ingest_id"], "status": stuck["status"],
+                                "last_event": pd.to_datetime(stuck["end"], unit="us")})
 
     def close(self) -> None:
         pass
 
 
-def stuck_jobs(events: DataFrame, idle: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+def stuck_jobs(events: DataFrame, idle: str = "1 hour", delay: str = "10 minutes", buckets: int = JOB_BUCKETS) -> DataFrame:
     """T08 with timers: a job without events for ``idle`` of event time that
     has not finished is reported once, with the status it reached since it
-    last was idle, and its state is dropped.  Needs the RocksDB state store
+    last was idle, and its state is dropped.  Jobs are dealt to ``buckets``
+    keyed states by a hash, since a call per job costs more than its work; a
+    bucket holds its open spans only.  The number is fixed for a checkpoint.
+    Needs the RocksDB state store
     (``spark.sql.streaming.stateStore.providerClass``)."""
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    jobs = ranked(events).withWatermark("timestamp", delay).groupBy("client_id", "ingest_id")
+    bucket = F.pmod(F.xxhash64("client_id", "ingest_id"), F.lit(buckets)).cast("int")
+    jobs = ranked(events).withColumn("bucket", bucket).withWatermark("timestamp", delay).groupBy("bucket")
     return jobs.transformWithStateInPandas(JobWatch(idle_ms), STUCK_SCHEMA, "append", "EventTime")
 
 
