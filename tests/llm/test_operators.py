@@ -231,6 +231,13 @@ def test_warc(spark):
     assert out == expect(want)
 
 
+def test_warc_revisits_travel_without_payload(spark):
+    rows = [(1, "u", "x" * 1000), (2, "v", "x" * 1000), (2, "w", "x" * 1000), (2, None, "x" * 1000), (3, "u", "y" * 10)]
+    made = warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html").collect()
+    assert sorted((r.page_id, r.url or "", r.copy, r.refers_to, r.payload and len(r.payload)) for r in made if r.refers_to) == [(1, "u", 0, 2, None), (2, "", 2, 2, None), (2, "v", 1, 2, None)]
+    assert sorted((r.page_id, r.url, r.copy, len(r.payload)) for r in made if not r.refers_to) == [(2, "w", 0, 1000), (3, "u", 0, 10)]
+
+
 def test_top_k(spark):
     vectors = [(i, [float((i * 37 + j * 11) % 19) / 7 - 1 for j in range(4)]) for i in range(60)]
     vectors += [(20, [9.0, 1.0, 1.0, 1.0]), (70, None), (80, [1.0, None, 0.0, 0.0]), (100, [float("nan")] * 4), (120, [float("inf")] * 4), (140, [1.0, 2.0]), (None, [1.0] * 4), (160, [3.0e30] * 4), (161, [3.0e30] * 4)]

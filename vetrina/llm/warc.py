@@ -52,13 +52,14 @@ def record_id(page_id: int | None, copy: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(_URN, f'page/{page_id}/{copy}')}>"
 
 
-def write_record(rid: str, page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC/1.1 record; a revisit (``refers_to`` given) has no payload."""
+def write_record(rid: str, page_id, url, payload: bytes, digest: str, refers_to, size: int | None = None) -> bytes:
+    """One WARC/1.1 record; a revisit (``refers_to`` given) has no payload, only
+    its ``size`` (that of ``payload`` if not given)."""
     revisit = refers_to is not None
     head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", rid), ("WARC-Date", _DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url)))
-    head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload))]
+    head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload) if size is None else size)]
     if page_id is not None:
         head.append(("X-Page-ID", page_id))
     if revisit:
@@ -154,21 +155,28 @@ class BundleReader:
 # -- on Spark -----------------------------------------------------------
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = 1000) -> DataFrame:
-    """(page_id, url, payload, digest, copy, refers_to): what to write."""
+    """(page_id, url, payload, size, digest, copy, refers_to): what to write.
+
+    Small payloads are written where they are read.  A large one is shuffled
+    once, with the row of its response; revisits need its size and digest
+    only, so theirs (``payload`` null) travel without it."""
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
+    large = rows.where(F.col("size") >= least)
+    # of repeated rows with the largest id, the one with the largest url is the response
+    top = large.groupBy("digest", "size").agg(F.max_by(F.struct("page_id", "url", "payload"), F.struct("page_id", "url")).alias("r"))
+    responses = rows.where(F.col("size") < least).select("page_id", "url", "payload", "size", "digest").unionByName(top.select("r.page_id", "r.url", "r.payload", "size", "digest"))
     # one small row per large payload; only payloads that occur twice matter
-    first = (rows.where(F.col("size") >= least).groupBy("digest", "size")
-             .agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
-    rows = rows.join(first, ["digest", "size"], "left")
-    # repeated rows with the largest id: the first of them is the response
-    head = rows.where(F.col("response").isNotNull() & F.col("page_id").eqNullSafe(F.col("response")))
-    rest = rows.where(F.col("response").isNull() | ~F.col("page_id").eqNullSafe(F.col("response")))
-    head = head.withColumn("copy", F.row_number().over(Window.partitionBy("digest", "size", "page_id").orderBy(F.xxhash64("url"))) - 1)
-    return rest.withColumn("copy", F.lit(0)).unionByName(head).select(
-        "page_id", "url", "payload", "digest", "copy",
-        F.when((F.col("copy") > 0) | ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+    first = large.groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    twins = large.drop("payload").join(first, ["digest", "size"])
+    is_top = F.col("page_id").eqNullSafe(F.col("response"))
+    place = Window.partitionBy("digest", "size", "page_id").orderBy(F.col("url").desc())
+    again = twins.where(is_top).withColumn("copy", F.row_number().over(place) - 1).where("copy > 0")
+    revisits = twins.where(~is_top).withColumn("copy", F.lit(0)).unionByName(again)
+    names = ["page_id", "url", "payload", "size", "digest", "copy", "refers_to"]
+    return responses.withColumns({"copy": F.lit(0), "refers_to": F.lit(None).cast("long")}).select(*names).unionByName(
+        revisits.withColumns({"payload": F.lit(None).cast("binary"), "refers_to": F.col("response")}).select(*names))
 
 
 def write_bundles(records: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -184,9 +192,9 @@ def write_bundles(records: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_byt
 
         for batch in batches:
             whole = lambda c: [None if pd.isna(x) else int(x) for x in batch[c]]
-            for page, url, payload, digest, copy, refers in zip(whole("page_id"), batch["url"], batch["payload"], batch["digest"], batch["copy"], whole("refers_to"), strict=True):
+            for page, url, payload, size, digest, copy, refers in zip(whole("page_id"), batch["url"], batch["payload"], whole("size"), batch["digest"], batch["copy"], whole("refers_to"), strict=True):
                 rid = record_id(page, int(copy))
-                out.add(rid, write_record(rid, page, url, bytes(payload), digest, refers))
+                out.add(rid, write_record(rid, page, url, bytes(payload or b""), digest, refers, size))
                 if out.size >= bundle_bytes:
                     yield row()
                     n, out = n + 1, BundleWriter(frame_bytes)
