@@ -4,6 +4,7 @@ what stays has its personal data replaced and is packed into sequences.
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
+Stages with Python set the session's Arrow batches to 1000 rows or less.
 
 Defined cases: an empty table gives empty stages.  Rows are told apart by id
 and text, so rows that share an id are documents of their own: a copy or near
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetrina.llm import exact_dedup, jaccard_join, packing, pii, toxicity
-from vetrina.llm.common import materialize, table
+from vetrina.llm.common import materialize, small_batches, table
 
 #: No SQL states a learned score or the packing; tests compare brute force.
 ORACLE_SQL = None
@@ -27,6 +28,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labels of the given documents, drop those predicted toxic."""
+    small_batches(spark)
     return toxicity.reject_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -38,11 +40,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked texts, the one with the smallest id stays; rows
     are told apart by id and text."""
+    small_batches(spark)
     return jaccard_join.one_of_each_class(docs).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates for personal data; n_chars follows the new text."""
+    small_batches(spark)
     clean = pii.replace_pii(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -51,6 +55,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep_ids=False)
 
 

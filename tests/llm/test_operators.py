@@ -2,6 +2,7 @@
 rows, empty tables and clashing columns, against brute force."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -378,6 +379,27 @@ def test_empty_tables(spark, docs):
     assert topk_search.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_texts_reach_python_once_and_in_small_batches(spark):
+    """Memory of the pipeline's Python stages: a text is not sent beside itself,
+    batches of whole texts are bounded, groups become objects one by one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 10000)
+        df = spark.createDataFrame([(1, "call +49 30 1234567", 19), (2, None, None), (3, "", 0)], "doc_id long, text string, n_chars int")
+        out = corpus_pipeline.replace_personal_data(spark, df, SMALL)
+        assert int(spark.conf.get(key)) <= 1000
+        spark.conf.set(key, 7)
+        corpus_pipeline.replace_personal_data(spark, df, SMALL)
+        assert spark.conf.get(key) == "7"  # a smaller setting stays
+    finally:
+        spark.conf.set(key, before)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[2].text is None and rows[2].n_chars is None and rows[3].text == "" and rows[1].text != "call +49 30 1234567" and rows[1].n_chars == 19
+    plan = pii.replace_pii(df)._jdf.queryExecution().analyzed().toString()
+    assert "isnotnull(text" in plan and not re.search(r"text#\d+ AS p6_", plan)
+
+
 def test_pipeline_stages_keep_columns(spark, docs):
     own = docs.drop("text_key", "kept")
     assert [f for _, f in corpus_pipeline.STAGES] == [corpus_pipeline.drop_toxic, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.replace_personal_data, corpus_pipeline.pack]

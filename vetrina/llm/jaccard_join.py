@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vetrina.llm.common import materialize, pieces_for, text_key, whole_text
+from vetrina.llm.common import each, materialize, pieces_for, text_key, whole_text
 from vetrina.llm.exact_dedup import bloom_filter, filter_bits, filter_hits, might_contain
 from vetrina.llm.graph import components
 from vetrina.llm.substring_dedup import word_hashes
@@ -84,7 +84,7 @@ def _sketches(n: int, id_type: str):
     def run(batches):
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 s = shingles(text, n)
                 rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), len(text), sketch(s)) if len(s) else (None, 0, 0, None))
             made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema]
@@ -189,10 +189,10 @@ def _grouped(rows: DataFrame, keys: list[str], buckets: int, work, columns: str,
             same |= v[1:] != v[:-1]
         edges = [0, *(np.flatnonzero(same) + 1).tolist(), len(table)]
         block, i = table["block"].to_numpy(), table["i"].to_numpy()
-        columns = [table[c].to_pylist() for c in names]
         done: list[tuple] = []
         for a, b in zip(edges, edges[1:], strict=False):
-            done += work(block[a:b] == i[a:b], bool(table["i"][a].as_py() == table["j"][a].as_py()), *(c[a:b] for c in columns))
+            columns = (table[c].slice(a, b - a) for c in names)  # only one piece is ever held as Python objects
+            done += work(block[a:b] == i[a:b], bool(table["i"][a].as_py() == table["j"][a].as_py()), *(c.to_pylist() for c in columns))
         made = list(zip(*done, strict=True)) or [[] for _ in out_names]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
 

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vetrina.llm.common import materialize, text_key, whole_text
+from vetrina.llm.common import by_bytes, each, materialize, text_key, whole_text
 
 KEY = b"vetrina surrogate key"  # a default for tests; pass a secret one
 RESULT = ("n_entities", "entities")
@@ -287,7 +287,7 @@ def _mentions(texts: DataFrame) -> DataFrame:
         seen: set = set()
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for key, text in zip(batch.column("text_key").to_pylist(), each(batch.column("text")), strict=True):
                 if key not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
@@ -332,7 +332,8 @@ def replace_pii(df: DataFrame, text_col: str = "text", key: bytes = KEY) -> Data
     text)."""
     own = [c for c in df.columns if c not in RESULT]
     named = {c: f"p6_{i}" for i, c in enumerate(own)}  # names of the input never meet ours
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], whole_text(text_col).alias("text"))
+    # the text travels once; in its own place only whether there is one
+    rows = df.select(*[(F.col(f"`{c}`").isNotNull() if c == text_col else F.col(f"`{c}`")).alias(n) for c, n in named.items()], whole_text(text_col).alias("text"))
     hit = functools.reduce(lambda a, t: a | F.col("text").contains(t), _TITLES_BEGIN, F.col("text").rlike(TRIGGER))
     hot = rows.where(hit).withColumn("text_key", text_key(F.col("text")))
 
@@ -346,9 +347,9 @@ def replace_pii(df: DataFrame, text_col: str = "text", key: bytes = KEY) -> Data
     carried = list(named.values())
 
     def swap(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, "text", 1 << 22):
             texts, n, entities = [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            for text, found in zip(each(batch.column("text")), each(batch.column("found")), strict=True):
                 out, at, made = [], 0, []
                 for e in found or ():
                     new = dress(e["kind"], e["canonical"], text[e["begin"]:e["end"]])
@@ -366,6 +367,5 @@ def replace_pii(df: DataFrame, text_col: str = "text", key: bytes = KEY) -> Data
     schema = T.StructType([*rows.drop("text").schema.fields, *added.fields])
     swapped = joined.select(*carried, "text", "found").mapInArrow(swap, schema)
     straight = rows.where(~hit).withColumns({"n_entities": F.lit(0), "entities": F.array().cast(types)})
-    text_at = named[text_col]
-    text = F.when(F.col(f"{text_at}").isNotNull(), F.col("text")).cast(df.schema[text_col].dataType)
+    text = F.when(F.col(named[text_col]), F.col("text")).cast(df.schema[text_col].dataType)
     return straight.unionByName(swapped).select(*[(text if c == text_col else F.col(n)).alias(c) for c, n in named.items()], *RESULT)

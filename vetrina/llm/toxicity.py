@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vetrina.llm.common import materialize, whole_text
+from vetrina.llm.common import each, materialize, whole_text
 
 THRESHOLD, TRAIN_ROWS, SAMPLE_ROWS, MAX_WORDS, LEAST_Z, LEAST_DOCS = 0.7, 100_000, 8000, 4096, 4.0, 8
 _SENTENCE, _WORD = re.compile(r"[^.!?\n\r]+"), re.compile(r"[^\W\d_]+")
@@ -125,7 +125,7 @@ def _count_words(batches):
         return out
 
     for batch in batches:
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for label, text in zip(batch.column("label").to_pylist(), each(batch.column("text")), strict=True):
             count[label].update(features.of(text))
             if len(count[0]) + len(count[1]) > _COUNTED:
                 yield flush()
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         known = _Features(number)
         for batch in batches:
             plain, features = [], []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 found = [sorted(number[f] for f in known.of(s)) for s in sentences(text)]
                 features.append([f for f in found if f])
                 plain.append(len(found) - len(features[-1]))
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         known, p0 = _Features(model.weights), _sigmoid(model.bias)
         for batch in batches:
             scores, found = [], []
-            for text in batch.column("text").to_pylist():
+            for text in each(batch.column("text")):
                 quiet, hits = 1 - model.leak, []
                 for s in sentences(text):
                     words = known.of(s)
@@ -239,7 +239,7 @@ def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshol
         known, p0 = _Features(model.weights), _sigmoid(model.bias)
         for batch in batches:
             keep = []
-            for text in batch.column(at).to_pylist():
+            for text in each(batch.column(at)):
                 quiet = 1 - model.leak
                 for s in sentences("" if text is None else str(text)):
                     words = known.of(s)
