@@ -86,6 +86,36 @@ def test_walk_ends_on_a_cycle(spark):
     assert {tuple(r) for r in L.walk(ring, roots, "down").collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 3)}
 
 
+def test_walk_follows_trunks_without_an_aggregate(spark):
+    edges = spark.createDataFrame([("o1", "c1"), ("o2", "c1"), ("o3", "c2"), ("c1", "n"), ("c2", "n"), ("n", "s1"), ("n", "s2"), ("n", "r"), ("s1", "t"), ("s2", "t")],
+                                  "source_node_id string, target_node_id string")
+    roots = spark.createDataFrame([("o1", "o1"), ("o2", "o2"), ("o2", "o2"), ("o3", "o3")], "root string, node_id string")
+    got = L.walk(edges, roots, "down")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    far = [("n", 2), ("s1", 3), ("s2", 3), ("r", 3), ("t", 4)]
+    assert sorted(map(tuple, got.collect())) == sorted((o, *x) for o, c in (("o1", "c1"), ("o2", "c1"), ("o3", "c2")) for x in [(c, 1), *far])
+
+
+def test_walk_equals_brute_force_on_random_graphs(spark):
+    import random
+    for seed in (1, 2):
+        rnd = random.Random(seed)
+        pairs = [(str(rnd.randrange(14)), str(rnd.randrange(14))) for _ in range(13 + 3 * seed)]  # rings, self loops, repeats
+        starts = [(str(i), str(i)) for i in range(15)] + [("3", "5"), ("x", "2"), ("4", "4")]
+        want = {}
+        for root in {r for r, _ in starts}:
+            depth, level = 0, {n for r, n in starts if r == root}
+            seen = set(level)
+            while level:
+                depth, level = depth + 1, {b for a, b in pairs if a in level} - seen
+                seen |= level
+                want |= {(root, n): depth for n in level if n != root}
+        got = L.walk(spark.createDataFrame(pairs, "source_node_id string, target_node_id string"), spark.createDataFrame(starts, "root string, node_id string"), "down").collect()
+        own = {r for r, n in starts if r == n} - {"3"}
+        rows = [((r.root, r.node_id), r.depth) for r in got]
+        assert len(rows) == len(dict(rows)) and {k: d for k, d in rows if k[0] in own} == {k: d for k, d in want.items() if k[0] in own}
+
+
 def test_updated_since_is_not_ignored(spark):
     from vetrina.operators.export import export_filter
     rows = spark.createDataFrame([("p1", "active", "2024-01-01"), ("p2", "active", "2024-02-01")], "product_id string, status string, updated_at string")
