@@ -116,6 +116,31 @@ def test_walk_equals_brute_force_on_random_graphs(spark):
         assert len(rows) == len(dict(rows)) and {k: d for k, d in rows if k[0] in own} == {k: d for k, d in want.items() if k[0] in own}
 
 
+def test_walk_deals_a_hot_parting_node_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_NODES", 7)
+    monkeypatch.setattr(L, "PIECE_ROWS", 100)
+    edges = [(f"o{i}", f"c{i % 9}") for i in range(60)] + [(f"c{i}", "n") for i in range(9)] + [("n", f"s{i}") for i in range(40)] + [("n", "s0"), ("o1", "c1")]
+    roots = [(f"o{i}", f"o{i}") for i in range(60)] * 2 + [("n", "n"), ("s1", "s1"), ("none", "none"), (None, None)]
+    got = L.walk(spark.createDataFrame(edges, "source_node_id string, target_node_id string"), spark.createDataFrame(roots, "root string, node_id string"), "down")
+    want = {(f"o{i}", f"c{i % 9}", 1) for i in range(60)} | {(f"o{i}", "n", 2) for i in range(60)} | {(f"o{i}", f"s{k}", 3) for i in range(60) for k in range(40)}
+    assert sorted(map(tuple, got.collect())) == sorted(want | {("n", f"s{k}", 1) for k in range(40)})
+    # rows are made from blocks, dealt by pieces: 61 roots x 40 rows in 25 pieces of about 100
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(nodes" in plan and "RepartitionByExpression [at" in plan and "piece" in plan
+
+
+def test_walk_does_not_trust_hashes(spark, monkeypatch):
+    # all nodes share two hashes: ways part early, the rows are the same
+    monkeypatch.setattr(L, "_hashed", lambda df, c: df.withColumn("hash", F.length(c).cast("long") % 2))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "c"), ("c", "dd"), ("dd", "a"), ("dd", "e"), ("xx", "a"), ("f", "f"), ("f", "xx")],
+                                  "source_node_id string, target_node_id string")
+    roots = spark.createDataFrame([(x, x) for x in ("a", "b", "xx", "f", "e")], "root string, node_id string")
+    tail = ["a", "b", "c", "dd", "e"]
+    want = {("a", n, i) for i, n in enumerate(tail) if i} | {("b", "c", 1), ("b", "dd", 2), ("b", "a", 3), ("b", "e", 3)}
+    want |= {("xx", n, i + 1) for i, n in enumerate(tail)} | {("f", "xx", 1)} | {("f", n, i + 2) for i, n in enumerate(tail)}
+    assert sorted(map(tuple, L.walk(edges, roots, "down").collect())) == sorted(want)
+
+
 def test_updated_since_is_not_ignored(spark):
     from vetrina.operators.export import export_filter
     rows = spark.createDataFrame([("p1", "active", "2024-01-01"), ("p2", "active", "2024-02-01")], "product_id string, status string, updated_at string")
